@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 
-QUERIES = {f.__name__: f for f in (sharding.op8_flow_resharding,)}
+QUERIES = {f.__name__: f for f in (bpe.op1_bpe_round_trip, sharding.op8_flow_resharding)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {}
