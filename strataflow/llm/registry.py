@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, packing, sharding
 
-QUERIES = {f.__name__: f for f in (bpe.op1_bpe_round_trip, sharding.op8_flow_resharding)}
+QUERIES = {f.__name__: f for f in (bpe.op1_bpe_round_trip, packing.op7_pattern_packing, sharding.op8_flow_resharding)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {}
