@@ -61,3 +61,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows of docs, whole, whose text passes: keep takes a list of texts (None for null) and gives booleans."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ok = keep(b.column(b.schema.get_field_index(text)).to_pylist())
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def text_scores(docs: DataFrame, score, columns: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and the columns that score makes: it takes a list of texts and gives one list a column."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in columns.split(",")]
+    kinds = [{"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in columns.split(",")]
+
+    def run(batches):
+        for b in batches:
+            made = [pa.array(x, k) for x, k in zip(score(b.column(1).to_pylist()), kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["doc_id", *names])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
+def least_hashed(rows: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most n rows, the same ones each time: those with the least hash of the columns."""
+    return rows.orderBy(F.xxhash64(*columns), *columns).limit(n)
+
+
+class BoundedCache(dict):
+    """word -> what `make` gives, for at most two halves of `size` entries."""
+
+    def __init__(self, make, size: int = 1 << 17):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

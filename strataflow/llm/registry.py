@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, sharding
+from . import bpe, media, packing, sharding, toxicity
 
-QUERIES = {f.__name__: f for f in (bpe.op1_bpe_round_trip, media.op5_media_archives, packing.op7_pattern_packing, sharding.op8_flow_resharding)}
+QUERIES = {f.__name__: f for f in (bpe.op1_bpe_round_trip, media.op5_media_archives, toxicity.op6_nnpu_toxicity, packing.op7_pattern_packing, sharding.op8_flow_resharding)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {}
