@@ -3,7 +3,7 @@
 A linear classifier is trained with numpy from confirmed toxic examples (P) and unlabelled text (U). With the class
 prior c, the risk is c R_P(+) + max(0, R_U(-) - c R_P(-)): the second part estimates the risk on the non-toxic texts
 hidden in U, and where it falls below zero (the model then fits U's toxic texts as non-toxic) the step is taken against
-it. Features are the presence of words and word beginnings; those whose share in P differs from their share in U by a
+it. Features are the presence of words and word beginnings; those whose share in P exceeds their share in U by a
 clear margin take part. Labels, language, source and ids are no features.
 
 P and U are bounded samples (MOST_POSITIVE, MOST_UNLABELLED: documented bounds, least hash of the id first); the prior
@@ -28,7 +28,7 @@ from .common import BoundedCache, crc_mod, least_hashed, read, text_scores
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Beginnings of words that count as features, in characters.
 BEGINNINGS = (4, 5, 6)
-#: A feature takes part if its shares in P and U differ by so many standard errors and it is in so many documents.
+#: A feature takes part if its share in P exceeds that in U by so many standard errors and it is in so many documents.
 MARGIN, LEAST_DOCS = 4.5, 5
 
 
@@ -119,7 +119,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> Toxicity:
     in_p, in_u = (np.bincount(column[kind[row] == k], minlength=len(names)) for k in (True, False))
     n_p, n_u = kind.sum(), (~kind).sum()
     share = (in_p + in_u) / (n_p + n_u)
-    margin = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    margin = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
     chosen = (margin >= MARGIN) & (in_p + in_u >= LEAST_DOCS)
     if not chosen.any():
         chosen = margin >= np.sort(margin)[-min(len(margin), 20)]
