@@ -12,13 +12,12 @@ _BASE, _STEP = (int(x) | 1 for x in _rng.integers(1 << 62, 1 << 63, 2, dtype=np.
 _BYTES = _rng.integers(0, np.iinfo(np.int64).max, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_INVERSE, _MASK = pow(_BASE, -1, 1 << 64), (1 << 64) - 1
 
 
 _powers_of: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """1, base, ... base^(n-1) mod 2^64; kept for the longest text so far."""
     out = _powers_of.get(base)
     if out is None or len(out) < n:
@@ -28,17 +27,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word [^\\x20\\x09-\\x0D]+ of the bytes, A-Z as a-z, in order.
+def inverse_powers(base: int, n: int) -> np.ndarray:
+    return powers(pow(base, -1, 1 << 64), n)
+
+
+def word_spans(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words [^\\x20\\x09-\\x0D]+ of the bytes, in order: hashes (A-Z as a-z, if lower), starts, ends.
 
     A word's hash is a polynomial in its bytes, from differences of one running sum (mod 2^64, odd base)."""
-    x = np.frombuffer(data.translate(LOWER_AZ), np.uint8)
+    x = np.frombuffer(data.translate(LOWER_AZ) if lower else data, np.uint8)
     if not len(x):
-        return np.zeros(0, np.uint64)
-    edge = np.diff(np.concatenate([[True], _SPACE[x], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * _powers(_BASE, len(x)))])
-    return mix64((total[end] - total[start]) * _powers(_INVERSE, len(x) + 1)[start] + (end - start).astype(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = np.ones(len(x) + 2, bool)
+    space[1:-1] = _SPACE[x]
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(_BYTES[x] * powers(_BASE, len(x)), out=total[1:])
+    return mix64((total[end] - total[start]) * inverse_powers(_BASE, len(x) + 1)[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return word_spans(data)[0]
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
