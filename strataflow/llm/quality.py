@@ -33,6 +33,8 @@ ROUNDS, EACH = 5, 200
 #: Hash buckets of words and of word shapes, and of each metadata category.
 WORDS, SHAPES, CATEGORIES = 256, 128, 64
 META = ("source", "lang")
+#: Documents below this probability of being good are rejected: a wrong rejection weighs three times a wrong acceptance.
+KEEP_FROM = 0.25
 
 _kinds = ((re.compile(r"[a-z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\d_]+"), "l"), (re.compile(r"\d+"), "0"))
 
@@ -208,18 +210,18 @@ def score(docs: DataFrame, model: Quality, text: str = "text", doc_id: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = _of_batch(b, model, text, meta)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(float)) for x in s), pa.array(s[2] >= 0.5)], ["doc_id", "text_score", "meta_score", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.astype(float)) for x in s), pa.array(s[2] >= KEEP_FROM)], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text, *(m for m in meta if m in docs.columns)).mapInArrow(run, f"doc_id {kind}, text_score double, meta_score double, score double, keep boolean")
 
 
 def accepted(docs: DataFrame, model: Quality, text: str = "text", meta: tuple[str, ...] = META) -> DataFrame:
-    """The rows of docs, whole, that score 0.5 or more."""
+    """The rows of docs, whole, that score KEEP_FROM or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_of_batch(b, model, text, meta)[2] >= 0.5))
+            yield b.filter(pa.array(_of_batch(b, model, text, meta)[2] >= KEEP_FROM))
 
     return docs.mapInArrow(run, docs.schema)
 
