@@ -30,6 +30,8 @@ from .common import mix64, read, written
 from .shingles import inverse_powers, powers, word_spans
 
 LEAST, GRAM = 50, 25
+#: Text bytes hashed at a time (a longer text is a part of its own).
+PART = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = 24  # low bits of a key that hold a line's place in its batch
 
@@ -81,7 +83,7 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     size = begin = 0
     for k, t in enumerate(texts):
         data = (t or "").encode()
-        if part and size + len(data) > 1 << 23:
+        if part and size + len(data) > PART:
             yield begin, part
             part, size, begin = [], 0, k
         part.append(data)

@@ -21,7 +21,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """1, base, ... base^(n-1) mod 2^64; kept for the longest text so far."""
     out = _powers_of.get(base)
     if out is None or len(out) < n:
-        out = np.full(max(1 << 14, 2 * n), base, np.uint64)
+        out = np.full(max(1 << 14, 1 << (n - 1).bit_length()), base, np.uint64)
         out[0] = 1
         _powers_of[base] = out = np.cumprod(out)
     return out[:n]
