@@ -31,7 +31,7 @@ from .shingles import inverse_powers, powers, word_spans
 
 LEAST, GRAM = 50, 25
 #: Text bytes hashed at a time (a longer text is a part of its own).
-PART = 1 << 20
+PART = 1 << 18
 _STEP = 0x9E3779B97F4A7C15
 _PLACE = 24  # low bits of a key that hold a line's place in its batch
 
@@ -92,11 +92,18 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield begin, part
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that few texts are held twice."""
+    for b in batches:
+        for k in range(0, max(1, b.num_rows), rows):
+            yield b.slice(k, rows)
+
+
 def fingerprints(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """print, doc (the text's hash), place: of docs with columns doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             doc = b.column(0).to_numpy()
             for begin, part in _parts(b.column(1).to_pylist()):
                 words = Batch(part)
@@ -112,7 +119,7 @@ def passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             doc, places = b.column(0).to_numpy(), b.column(3)
             for begin, part in _parts(b.column(2).to_pylist()):
                 words = Batch(part)
@@ -184,7 +191,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, text: st
     run_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             at = b.schema.get_field_index
             texts, starts, copy = b.column(at(text)).to_pylist(), b.column(at("__s")), b.column(at("__copy")).to_pylist()
             out, counts, gone, runs = [], [], [], []
