@@ -6,7 +6,7 @@ A byte is coded in its longest known context: p = (2c - 1) / 2n, with escape d /
 bytes, n: their count), where bytes of longer contexts are excluded from c's competitors; after order 0 the bytes never
 seen share what is left. Training is in one pass over all training texts; the model is then fixed (pretrained).
 
-Nothing grows with the corpus on one machine: counts are grouped by key, code lengths are worked out apart for each
+Words are told apart by 64-bit hashes. Nothing grows with the corpus on one machine: counts are grouped by key, code lengths are worked out apart for each
 two-byte context ending (only orders 0 and 1, at most 65,792 counts, are broadcast), and a block of documents (a partition
 of the scan) gets just the code lengths and word counts that occur in it, by a co-group.
 
@@ -17,7 +17,6 @@ result. The rows must come from files or another source that deals them the same
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +25,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, crc_mod, read, written
+from .shingles import word_spans
 
 ORDER, END = 5, 10
 #: Bytes of a context and the byte after it, the last in the low bits.
 _GRAM = (1 << 8 * (ORDER + 1)) - 1
 #: Text bytes whose grams are sorted at a time.
-_STRETCH = 1 << 22
+_STRETCH = 1 << 20
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(LOWER_AZ).split()
+def coded(text: str | None) -> bytes:
+    words = (text or "").encode().translate(LOWER_AZ).split()
+    return b"".join((b" ".join(words), b" " if words else b"", bytes((END,))))
 
 
-def coded(words: list[bytes]) -> bytes:
-    return b"".join((b" ".join(words), b" " if words else b"", bytes((END,))))
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of the coded texts and 0 for each end, in order; tokens of each text)."""
+    data = b"".join(texts)
+    words, start, _ = word_spans(data)
+    end = np.cumsum([len(t) for t in texts]) - 1
+    at = np.concatenate([start, end])
+    order = np.argsort(at, kind="stable")
+    out = np.concatenate([words.view(np.int64), np.zeros(len(texts), np.int64)])[order]
+    last = np.flatnonzero(order >= len(words))
+    return out, np.diff(np.concatenate([[-1], last]))
 
 
 def grams_of(texts: list[bytes]) -> np.ndarray:
@@ -72,56 +81,46 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[first], np.add.reduceat(n, first)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """Of docs with text, train, block, one block a partition: block, gram (or null), word (or null), n (in training)."""
+def stretches(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The coded texts in lists of about _STRETCH bytes."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(coded(t))
+        size += len(held[-1])
+        if size >= _STRETCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        block = None
 
-        def take(texts: list[bytes], train: bool) -> None:
-            if texts:
-                key, n = _counted(grams_of(texts))
-                parts.append((key, n if train else np.zeros(len(n), np.int64)))
-                if len(parts) >= 8:
-                    parts[:] = [_added(parts)]
+def counts(docs: DataFrame) -> DataFrame:
+    """Of docs with text, train, block, one block a partition: block, word, key, n.
+
+    key: of a word its hash (0: the end), else a gram; n: how often in training."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: tuple[list, list] = ([], [])  # of grams, of words
+        block = 0
         for b in batches:
-            texts, train = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if b.num_rows:
-                block = b.column(2)[0].as_py()
-            held: tuple[list, list] = ([], [])
-            size = [0, 0]
-            for t, use in zip(texts, train):
-                w = words_of(t)
-                if use:
-                    words.update(w)
-                    words[b"\n"] += 1
-                else:
-                    words.update(dict.fromkeys(w, 0))
-                    words[b"\n"] += 0
-                c = coded(w)
-                held[use].append(c)
-                size[use] += len(c)
-                if size[use] >= _STRETCH:
-                    take(held[use], use)
-                    held[use].clear()
-                    size[use] = 0
-            for use in (0, 1):
-                take(held[use], bool(use))
-        names = ["block", "gram", "word", "n"]
-        if parts:
-            key, n = _added(parts)
-            for k in range(0, len(key), 100_000):
-                m = len(key[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int32)), pa.array(key[k : k + m]), pa.nulls(m, pa.binary()), pa.array(n[k : k + m])], names)
-        listed = list(words.items())
-        for k in range(0, len(listed), 100_000):
-            w, n = zip(*listed[k : k + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block, np.int32)), pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names)
-
-    return docs.select("text", "train", "block").mapInArrow(run, "block int, gram long, word binary, n long")
+            train = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+            for use in (False, True):
+                for texts in stretches(b.column(0).filter(pa.array(train == use)).to_pylist()):
+                    for k, values in enumerate((grams_of(texts), tokens_of(texts)[0])):
+                        key, n = _counted(values)
+                        parts[k].append((key, n if use else np.zeros(len(n), np.int64)))
+                        if len(parts[k]) >= 16:
+                            parts[k][:] = [_added(parts[k])]
+            block = b.column(2)[0].as_py() if b.num_rows else block
+        for k, part in enumerate(parts):
+            if part:
+                key, n = _added(part)
+                for at in range(0, len(key), 200_000):
+                    m = len(key[at : at + 200_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int32)), pa.array(np.full(m, bool(k))), pa.array(key[at : at + m]), pa.array(n[at : at + m])], ["block", "word", "key", "n"])
+
+    return docs.select("text", "train", "block").mapInArrow(run, "block int, word boolean, key long, n long")
 
 
 def _level(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,18 +169,36 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, low: dict[int, tuple[np.ndarra
 
 
 def model(grams: DataFrame) -> DataFrame:
-    """gram, code (log10 probability) of gram, n (sums of training counts, one row a gram)."""
+    """key, value: the log10 probability of each gram of key, n (sums of training counts, one row a gram)."""
     low = {}
     for j in (0, 1):  # at most 256 and 65,536 rows
-        rows = grams.filter("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
+        rows = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
         low[j] = (rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
     def run(group: pa.Table) -> pa.Table:
-        gram, n = group["gram"].to_numpy(), group["n"].to_numpy()
-        return pa.table({"gram": gram, "code": code_lengths(gram, n, low)})
+        key, n = group["key"].to_numpy(), group["n"].to_numpy()
+        return pa.table({"key": key, "value": code_lengths(key, n, low)})
+
+    ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    return grams.groupBy(ending.alias("ending")).applyInArrow(run, "key long, value double")
+
+
+def bundled(rows: DataFrame) -> DataFrame:
+    """block, word, keys, values (bytes of arrays): the rows of a task for one block at a time, as few rows as may be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, word, key, value = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            group = block.astype(np.int64) * 2 + word.astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            group, key, value = group[order], key[order], value[order]
+            cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+            if len(group):
+                first = group[cut[:-1]]
+                bundle = [pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()) for x in (key, value)]
+                yield pa.RecordBatch.from_arrays([pa.array((first >> 1).astype(np.int32)), pa.array((first & 1).astype(bool)), *bundle], ["block", "word", "keys", "values"])
 
-    ending = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    return grams.groupBy(ending.alias("ending")).applyInArrow(run, "gram long, code double")
+    return rows.select("block", "word", "key", "value").mapInArrow(run, "block int, word boolean, keys binary, values binary")
 
 
 class Lookup:
@@ -190,7 +207,7 @@ class Lookup:
     def __init__(self, gram: np.ndarray, code: np.ndarray):
         order = np.argsort(gram)
         self.gram, self.code = gram[order], code[order]
-        self.bits = max(10, int(len(gram) * 4).bit_length())
+        self.bits = max(10, int(len(gram) * 2).bit_length())
         self.key, self.value = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
         at = self._place(self.gram)
         self.key[at], self.value[at] = self.gram, self.code
@@ -212,44 +229,31 @@ def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out")).withColumn("block", F.spark_partition_id())
     rows = written(counts(docs.select("text", (~F.col("held_out")).alias("train"), "block")), "ppm-counts")
-    words = written(rows.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
-    total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = written(rows.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    codes = written(model(grams), "ppm-codes")
-    mine = rows.filter("gram is not null").select("block", "gram").join(codes, "gram").select("block", "gram", "code", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"))
-    mine = mine.unionByName(rows.filter("word is not null").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("code"), "word", "c"))
+    totals = written(rows.groupBy("word", "key").agg(F.sum("n").alias("n")), "ppm-totals")
+    total, distinct = totals.filter("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    codes = model(totals.filter("not word").select("key", "n")).withColumn("word", F.lit(False))
+    values = written(codes.unionByName(totals.filter("word").select("key", F.col("n").cast("double").alias("value"), "word")), "ppm-values")
+    mine = bundled(rows.select("block", "word", "key").join(values, ["word", "key"]))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(part: pa.Table, known: pa.Table) -> pa.Table:
-        is_gram = known["gram"].is_valid()
-        g = known.filter(is_gram)
-        lookup = Lookup(g["gram"].to_numpy(), g["code"].to_numpy())
-        w = known.filter(known["word"].is_valid())
-        count = dict(zip(w["word"].to_pylist(), w["c"].to_pylist()))
+        word, lookup = known["word"].to_numpy(), []
+        for kind_ in (False, True):
+            keys, values_ = (known[c].filter(pa.array(word == kind_)) for c in ("keys", "values"))
+            lookup.append(Lookup(*(np.frombuffer(b"".join(v.as_buffer() for v in x), t) for x, t in ((keys, np.int64), (values_, float)))))
         n_tokens, n_known, base, score = [], [], [], []
         per_token = np.log10(total + distinct + 1)
-        held: list[bytes] = []
-
-        def flush() -> None:
-            if held:
-                code = lookup(grams_of(held))
-                score.extend(np.add.reduceat(code, np.cumsum([0, *map(len, held[:-1])])).tolist())
-                held.clear()
-
-        size = 0
-        for t in part["text"]:
-            ws = words_of(t.as_py())
-            c = np.fromiter(map(count.__getitem__, (*ws, b"\n")), np.int64, len(ws) + 1)
-            n_tokens.append(len(c))
-            n_known.append(int(np.count_nonzero(c)))
-            base.append(float(np.log10(c + 1.0).sum() - len(c) * per_token))
-            held.append(coded(ws))
-            size += len(held[-1])
-            if size >= _STRETCH:
-                flush()
-                size = 0
-        flush()
-        return pa.table([part["doc_id"], part["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(len(base), total, np.int64)), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names)
+        for batch in part.select(["text"]).to_batches():
+            for texts in stretches(batch.column(0).to_pylist()):
+                code = lookup[0](grams_of(texts))
+                score.append(np.add.reduceat(code, np.cumsum([0, *map(len, texts[:-1])])))
+                tokens, each = tokens_of(texts)
+                c, at = lookup[1](tokens), np.cumsum([0, *each[:-1]])
+                n_tokens.append(each)
+                n_known.append(np.add.reduceat((c > 0).astype(np.int64), at))
+                base.append(np.add.reduceat(np.log10(c + 1), at) - each * per_token)
+        columns = [np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((n_tokens, np.int64), (n_known, np.int64), (base, float), (score, float))]
+        return pa.table([part["doc_id"], part["held_out"], pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(part.num_rows, total, np.int64)), pa.array(columns[2]), pa.array(columns[3])], names)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return docs.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, schema)
