@@ -230,3 +230,14 @@ def test_stream(spark, log, tmp_path):
     q.stop()
     got = spark.table("carried")
     assert got.count() == log.count() and got.filter("well_id = 1 and tvt_filled is null").count() == 0
+
+
+def test_plane_equals_least_squares(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(x), float(2 * x if g == 2 else y), float(z)) for g in (1, 2) for x, y, z in rng.random((12, 3))] + [(3, 0.0, 0.0, 1.0), (3, 1.0, 0.0, 2.0)]
+    got = {r.g: (r.a, r.b) for r in rel.plane(spark.createDataFrame(rows, "g int, x double, y double, z double"), "g", "x", "y", "z").collect()}
+    for g in (1, 2):
+        p = np.array([r[1:] for r in rows if r[0] == g])
+        p = p - p.mean(0)
+        assert np.allclose(got[g], np.linalg.lstsq(p[:, :2], p[:, 2], rcond=None)[0])
+    assert got[3] == (0.0, 0.0)
