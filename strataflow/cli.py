@@ -14,7 +14,7 @@ from .operators import models as ml
 from .operators import relational as rel
 from .sources import files, kv
 
-FEATURES = ("md", "x", "y", "z", "gr_mean_5", "gr_std_5", "gr_mean_20", "horiz_dist", "md_frac", "tvt_ffill", "dist_from_last_known")
+FEATURES = ("md", "x", "y", "z", "gr_rmean_5", "gr_rstd_5", "gr_rmean_20", "horiz_dist", "md_frac", "tvt_ffill", "dist_from_last_known")
 
 
 def _frame(spark, path, priors):
@@ -61,10 +61,12 @@ def ontology(spark, a):
 def anomaly(spark, a):
     """Flag one reading against the history of a series."""
     df = spark.createDataFrame([(a.gr, a.tvt_delta)], "gr double, d double")
-    h = spark.createDataFrame([(float(x),) for x in a.history], "h double").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"))
-    p = rules.continuity_prior(F.col("m"), F.col("s"), F.lit(a.tectonic), F.lit(a.sedimentary))
+    recent = a.history[-10:]
+    changes = [(float(y - x),) for x, y in zip(recent, recent[1:])]
+    h = spark.createDataFrame(changes, "h double").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s")).withColumn("n", F.lit(len(recent)))
+    p = rules.continuity_prior(F.col("m"), F.col("s"), F.lit(a.tectonic), F.lit(a.sedimentary), F.col("n"))
     df = df.crossJoin(h).withColumns(p)
-    return df.select(*(c.alias(n) for n, c in rules.anomaly_flags(F.col("gr"), F.col("d"), F.col("expected_delta"), F.col("expected_std"), F.col("max_plausible_jump"), F.lit(a.sedimentary)).items())).first().asDict()
+    return df.select(*(c.alias(n) for n, c in rules.anomaly_flags(F.col("gr"), F.col("d"), F.col("expected_std"), F.col("max_plausible_jump"), F.lit(a.sedimentary)).items())).first().asDict()
 
 
 def cache(spark, a):
@@ -91,7 +93,7 @@ def scrape(spark, a):
 def pipeline(spark, a):
     """Features, gated feature groups, final errors: the staged pipeline."""
     df = _frame(spark, a.data, {})
-    groups = {"gamma": ["gr_mean_5", "gr_std_5", "gr_mean_20"], "target": ["tvt_ffill", "dist_from_last_known"], "position": ["horiz_dist", "md_frac"]}
+    groups = {"gamma": ["gr_rmean_5", "gr_rstd_5", "gr_rmean_20"], "target": ["tvt_ffill", "dist_from_last_known"], "position": ["horiz_dist", "md_frac"]}
     groups = dict(list(groups.items())[: a.phase])
     t, v = rel.split_wells(df)
     kept, log = ml.gated(t, v, ["md", "x", "y", "z"], groups, "tvt", trees=a.trees, depth=a.depth)

@@ -108,6 +108,8 @@ def sequence_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
     df = df.withColumns({f"tvt_extrap_{k}": F.col("last_known_tvt") + F.col(f"tvt_pre_slope_{k}") * F.col("dist_from_last_known") for k in (5, 10, 20, 50)})
     df = w.rolling(df, "tvt_ffill", ("mean", "std"), (5, 10, 20, 50), "tvt", s)
     df = anchors(w.lags(df, "tvt_ffill", (1, 2, 3, 5, 10, 20), "tvt_lag", s), s).drop("__gr", "__t")
+    names = {f"{n}_{k}_{x}": f"{n}_r{k}_{x}" for n in ("gr", "tvt") for k in ("mean", "std", "min", "max") for x in (3, 5, 10, 20, 50)} | {f"gr_lag_lead{k}": f"gr_lead{k}" for k in (1, 2, 3, 5, 10, 20)}
+    df = df.withColumnsRenamed(names)
     return df.fillna(0, subset=[c for c in df.columns if c not in before])
 
 
@@ -177,7 +179,7 @@ def baseline_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
     """The predictor family: lags, rolling statistics and rates of five signals, target trends, proxies (per series)."""
     for c in (s.gr, s.md, s.x, s.y, s.z):
         df = w.rolling(w.lags(df, c, (1, 2, 3, 5, 10), f"{c}_lag", s), c, ("mean", "std"), (5, 10, 20), f"{c}_roll", s)
-        df = df.withColumn(f"{c}_roc", F.col(c) - F.lag(c).over(s.ordered))
+        df = df.withColumn(f"{c}_roc", F.coalesce(F.col(c) - F.lag(c).over(s.ordered), F.lit(0.0)))
     df = w.lags(df, s.known, (1, 2, 5), "tvt_lag", s)
     df = w.rolling_slope(df, s.known, 10, "tvt_trend", s)
     df = df.withColumns({
@@ -295,9 +297,27 @@ def spectral_features(df: DataFrame, width: int = 100, step: int = 10, s: Series
         rows = []
         for v in a:
             p = welch(np.asarray(v, float))
-            n, total = len(p), p.sum() + 1e-12
+            n, total = len(p), p.sum() + 1e-9
             rows.append((p[n // 6 : n // 3].sum() / total, p[: n // 3].sum() / total, p[n // 3 :].sum() / total))
         return pd.DataFrame(rows, columns=["cyclicity", "low", "high"])
 
     out = arrays.withColumn("p", shares("a"))
     return out.select(s.well, "start", F.col("p.cyclicity").alias("depo_cyclicity"), F.col("p.low").alias("depo_spectral_low"), F.col("p.high").alias("depo_spectral_high"))
+
+
+def fingerprint(df: DataFrame, width: int = 100, step: int = 10, s: SeriesSchema = DEFAULT) -> DataFrame:
+    """fingerprint_windows() with the spectral features, marine score and environment code (1 channel, 2 marine shale,
+    3 rhythmic, 4 clean sand, 0 mixed) of each bucket."""
+    df = fingerprint_windows(df, width, step, s).withColumns({"__rn": F.row_number().over(s.ordered) - 1, "__n": F.count("*").over(s.whole)})
+    bucket = F.floor(F.col("__rn") / step)
+    start = step * F.when(F.col("__n") - bucket * step >= step, bucket).otherwise(F.greatest(F.lit(0), bucket - 1))
+    spectral = spectral_features(df, width, step, s).withColumnRenamed("start", "__start")
+    df = df.withColumn("__start", start.cast("int")).join(spectral, [s.well, "__start"], "left")
+    df = df.fillna(0.0, subset=["depo_cyclicity", "depo_spectral_low", "depo_spectral_high"])
+    there = F.col("__n") >= step
+    marine = 0.5 * F.col("depo_shale_fraction") + 0.3 * (1 - F.col("depo_boundary_sharp")) + 0.2 * (1 - F.col("depo_cyclicity"))
+    df = df.withColumn("depo_marine_score", F.when(there, marine).otherwise(F.lit(0.0)))
+    code = F.when(F.col("depo_channel_score") > 0.5, 1.0).when(F.col("depo_marine_score") > 0.5, 2.0).when(F.col("depo_cyclicity") > 0.3, 3.0).when(F.col("depo_sand_fraction") > 0.5, 4.0).otherwise(0.0)
+    df = df.withColumn("depo_environment_enc", F.when(there, code).otherwise(F.lit(0.0))).drop("__rn", "__n", "__start")
+    p = lambda q: F.percentile(s.gr, F.lit(q)).over(s.whole)
+    return df.withColumns({"well_gr_mean": F.avg(s.gr).over(s.whole), "well_gr_std": F.stddev_pop(s.gr).over(s.whole), "well_gr_p10": p(0.1), "well_gr_p90": p(0.9), "well_gr_range": F.max(s.gr).over(s.whole) - F.min(s.gr).over(s.whole)})

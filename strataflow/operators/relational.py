@@ -33,7 +33,7 @@ def split_wells(df: DataFrame, fraction: float = 0.2, seed: int = 42, s: SeriesS
 
 
 def plane(df: DataFrame, by: str, x: str, y: str, z: str) -> DataFrame:
-    """Least-squares plane z = a x + b y + c: dip magnitude (degrees) and azimuth; fewer than three points: 0.
+    """Least-squares plane z = a x + b y + c: dip magnitude (slope) and azimuth (degrees); fewer than three points: 0.
 
     Points on one line leave the slope across it open: it is 0 (the least slope that fits)."""
     m = df.groupBy(by).agg(F.count("*").alias("n"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"))
@@ -42,7 +42,7 @@ def plane(df: DataFrame, by: str, x: str, y: str, z: str) -> DataFrame:
     flat = F.abs(det) <= 1e-9 * spread * spread
     solve = lambda u, line: F.when(F.col("n") < 3, F.lit(0.0)).when(flat, F.coalesce(ratio(F.col(line), spread), F.lit(0.0))).otherwise(ratio(u, det))
     m = m.withColumns({"a": solve(F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy"), "xz"), "b": solve(F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy"), "yz")})
-    return m.select(by, "a", "b", F.degrees(F.atan(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")))).alias("dip"), F.pmod(F.degrees(F.atan2("a", "b")), F.lit(360.0)).alias("azimuth"))
+    return m.select(by, "a", "b", F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")).alias("dip"), F.pmod(F.degrees(F.atan2("a", "b")), F.lit(360.0)).alias("azimuth"))
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, x: str = "x", y: str = "y") -> DataFrame:

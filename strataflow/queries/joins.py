@@ -55,7 +55,7 @@ def synthetic_tops(spark, sf_dir):
     return shaped(q.unpivot(["well_id"], ["lower", "upper"], "zone", "depth"), ["well_id", "zone"], [], ["depth"])
 
 
-@query(with_views(shape("SELECT formation, degrees(atan(sqrt(a * a + b * b))) AS dip, (degrees(atan2(a, b)) + 360) % 360 AS azimuth FROM (SELECT formation, CASE WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN xz / (xx + yy) ELSE (xz * yy - yz * xy) / (xx * yy - xy * xy) END AS a, CASE WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN yz / (xx + yy) ELSE (yz * xx - xz * xy) / (xx * yy - xy * xy) END AS b FROM (SELECT formation, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, depth) AS xz, covar_pop(y, depth) AS yz FROM tops GROUP BY 1))", ["formation"], [], ["dip", "azimuth"]), "tops"))
+@query(with_views(shape("SELECT formation, sqrt(a * a + b * b) AS dip, (degrees(atan2(a, b)) + 360) % 360 AS azimuth FROM (SELECT formation, CASE WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN xz / (xx + yy) ELSE (xz * yy - yz * xy) / (xx * yy - xy * xy) END AS a, CASE WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN yz / (xx + yy) ELSE (yz * xx - xz * xy) / (xx * yy - xy * xy) END AS b FROM (SELECT formation, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, depth) AS xz, covar_pop(y, depth) AS yz FROM tops GROUP BY 1))", ["formation"], [], ["dip", "azimuth"]), "tops"))
 def plane_dip(spark, sf_dir):
     return shaped(rel.plane(tops(spark, sf_dir), "formation", "x", "y", "depth"), ["formation"], [], ["dip", "azimuth"])
 

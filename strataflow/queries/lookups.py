@@ -15,8 +15,8 @@ def case(cases, default):
     return "CASE " + " ".join(f"WHEN {c} THEN {v!r}" for c, v in cases) + f" ELSE {default!r} END"
 
 
-_SIZE = "greatest(abs(min(x)), abs(max(x)), abs(min(y)), abs(max(y)))"
-_FRAMES = [("min(x) >= -180 AND max(x) <= 180 AND min(y) >= -90 AND max(y) <= 90", "latlon", 0.95), ("min(x) >= 100000 AND max(x) <= 900000 AND min(y) >= 0 AND max(y) <= 10000000", "utm", 0.85), (f"{_SIZE} <= 500000 AND max(z) - min(z) > 1000", "local_feet", 0.8), (f"{_SIZE} <= 200000", "local_metres", 0.75)]
+_SPAN = "greatest(max(x) - min(x), max(y) - min(y))"
+_FRAMES = [(f"min(x) >= -180 AND max(x) <= 180 AND min(y) >= -90 AND max(y) <= 90 AND {_SPAN} < 30", "latlon", 0.95), ("min(x) >= 100000 AND max(x) <= 900000 AND min(y) >= 0 AND max(y) <= 10000000", "utm", 0.85), (f"{_SPAN} < 100000 AND abs(min(x)) < 100000", "local_feet", 0.8), (f"{_SPAN} < 30000", "local_meters", 0.75)]
 
 
 @query(with_views(f"SELECT {case([(c, n) for c, n, _ in _FRAMES], 'unknown')} AS frame, CAST({case([(c, v) for c, _, v in _FRAMES], 0.0)} AS DOUBLE) AS confidence FROM well_log", "well_log"))
@@ -26,7 +26,7 @@ def coord_probe(spark, sf_dir):
 
 _PLACE = "SELECT c_custkey, CAST(c_custkey % 181 - 90 AS DOUBLE) AS lat, CAST(c_custkey % 359 - 179 AS DOUBLE) AS lon, CAST(c_custkey % 400 AS DOUBLE) AS age FROM customer"
 _ZONE = case([(f"abs(lat) < {k}", v) for k, v in ((10, "tropical"), (25, "subtropical"), (40, "warm_temperate"), (55, "cool_temperate"), (70, "subpolar"))], "polar")
-_TEMP = case([(f"abs(lat) < {k}", v) for k, v in ((10, 28.0), (25, 24.0), (40, 18.0), (55, 10.0), (70, 2.0))], -10.0)
+_TEMP = case([(f"abs(lat) < {k}", v) for k, v in ((10, 28.0), (25, 24.0), (40, 18.0), (55, 10.0), (70, 2.0))], -8.0)
 
 
 def _places(spark, sf_dir):
@@ -40,10 +40,10 @@ def paleoclimate(spark, sf_dir):
     return shaped(_places(spark, sf_dir).withColumns({"zone": zone, "temp": temp}), ["c_custkey", "zone"], [], ["temp"])
 
 
-_SEA, _TET = "(age BETWEEN 66 AND 100 AND lat BETWEEN 25 AND 60 AND lon BETWEEN -115 AND -90)", "(age > 66 AND abs(lat) < 30 AND lon BETWEEN 0 AND 120)"
+_OCEAN = [("age BETWEEN 250 AND 300 AND abs(lat) < 20 AND lon > -30 AND lon < 30", "continental_interior", "fluvial_channel,eolian,lacustrine"), ("age BETWEEN 250 AND 300", "passive_margin_distal", "shallow_marine,deltaic_plain,carbonate_platform"), ("age BETWEEN 65 AND 145 AND abs(lat) < 50", "epicontinental_sea", "shallow_marine,carbonate_platform,deep_marine"), ("age BETWEEN 65 AND 145", "open_ocean_margin", "shallow_marine,carbonate_platform,deep_marine"), ("age < 2.6", "modern_analog", "fluvial_channel,deltaic_plain,shallow_marine")]
 
 
-@query(shape(f"SELECT *, {case([(_SEA, 'epicontinental_seaway'), (_TET, 'tethyan_margin'), ('age > 252', 'shallow_marine_possible')], 'unknown')} AS category, {case([(_SEA, 'shallow_marine,deltaic,shoreface'), (_TET, 'carbonate_platform,reef,lagoon'), ('age > 252', 'shallow_marine,tidal_flat')], 'fluvial,lacustrine')} AS environments, CASE WHEN {_SEA} OR {_TET} THEN 0.6 ELSE 0.3 END AS confidence FROM ({_PLACE})", ["c_custkey", "category", "environments"], [], ["confidence"]))
+@query(shape(f"SELECT *, {case([(c, n) for c, n, _ in _OCEAN], 'uncertain')} AS category, {case([(c, v) for c, _, v in _OCEAN], 'unknown')} AS environments, {case([(c, 0.6) for c, _, _ in _OCEAN], 0.3)} AS confidence FROM ({_PLACE})", ["c_custkey", "category", "environments"], [], ["confidence"]))
 def ocean_proximity(spark, sf_dir):
     category, environments, confidence = rules.ocean_proximity(F.col("lat"), F.col("lon"), F.col("age"))
     return shaped(_places(spark, sf_dir).withColumns({"category": category, "environments": F.array_join(environments, ","), "confidence": confidence}), ["c_custkey", "category", "environments"], [], ["confidence"])
@@ -58,9 +58,9 @@ def has(column, words):
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT doc_id, {case([(has('lower(text)', w), n) for n, w in _PROV], 'unknown')} AS province FROM documents")
+@query(f"SELECT doc_id, {case([(has('lower(text)', w), n) for n, w in _PROV] + [(has('lower(source)', rules.OLD_AGES), 'cratonic_sag')], 'unclassified')} AS province FROM documents")
 def tectonic_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rules.tectonic_province(F.col("text"), _PROV).alias("province"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.tectonic_province(F.col("text"), F.col("source"), _PROV).alias("province"))
 
 
 _T = "lower(trim(text))"
@@ -142,14 +142,14 @@ def map_batch_cached(spark, sf_dir):
 
 _O = "OVER (PARTITION BY well_id ORDER BY row_seq)"
 _D10 = "OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)"
-_CP = f"SELECT *, coalesce(m, 0) AS expected_delta, CASE WHEN sd IS NULL THEN 0.5 ELSE least(greatest(sd * 1.3 * 1.5, 0.1), 5) END AS expected_std, CASE WHEN sd IS NULL THEN 2 ELSE least(greatest(3 * sd * 1.3 * 1.5, 0.3), 10) END AS max_plausible_jump FROM (SELECT *, avg(d) {_D10} AS m, stddev_pop(d) {_D10} AS sd FROM (SELECT *, tvt - lag(tvt) {_O} AS d FROM well_log))"
+_CP = f"SELECT *, coalesce(m, 0) AS expected_delta, least(greatest(coalesce(sd, 0.5) * 1.3 * 1.5, 0.1), 5) AS expected_std, least(greatest(3 * coalesce(sd, 0.5) * 1.3 * 1.5, 0.3), 10) AS max_plausible_jump FROM (SELECT *, avg(d) {_D10} AS m, stddev_pop(d) {_D10} AS sd FROM (SELECT *, tvt - lag(tvt) {_O} AS d FROM well_log))"
 _CPN = ["expected_delta", "expected_std", "max_plausible_jump"]
 
 
 def _continuity(spark, sf_dir):
     df = view(spark, sf_dir, "well_log").withColumn("d", F.col("tvt") - F.lag("tvt").over(S.ordered))
-    df = df.withColumns({"m": F.avg("d").over(S.last(9)), "sd": F.stddev_pop("d").over(S.last(9))})
-    return df.withColumns(rules.continuity_prior(F.col("m"), F.col("sd"), F.lit(0.3), F.lit(0.5)))
+    df = df.withColumns({"m": F.avg("d").over(S.last(9)), "sd": F.stddev_pop("d").over(S.last(9)), "n": F.count("tvt").over(S.last(10))})
+    return df.withColumns(rules.continuity_prior(F.col("m"), F.col("sd"), F.lit(0.3), F.lit(0.5), F.col("n")))
 
 
 @query(with_views(shape(_CP, ["well_id", "row_seq"], [], _CPN), "well_log"))
@@ -157,19 +157,20 @@ def continuity_prior(spark, sf_dir):
     return shaped(_continuity(spark, sf_dir), ["well_id", "row_seq"], [], _CPN)
 
 
-@query(with_views(shape(f"SELECT *, concat_ws(',', CASE WHEN abs(d) > max_plausible_jump THEN 'tvt_jump' END, CASE WHEN gr > 100 AND 0.2 < 0.3 THEN 'gr_lithology_mismatch' END, CASE WHEN gr > 100 AND abs(d) > max_plausible_jump THEN 'possible_fault' END) AS flags, abs(d - expected_delta) / (expected_std + 1e-6) AS z_score FROM ({_CP})", ["well_id", "row_seq", "flags"], [], ["z_score"]), "well_log"))
+@query(with_views(shape(f"SELECT *, concat_ws(',', CASE WHEN abs(d) > max_plausible_jump THEN 'unexpected_tvt_jump' END, CASE WHEN gr > 100 AND 0.2 < 0.3 THEN 'gr_lithology_mismatch' END, CASE WHEN gr > 100 AND abs(d) > max_plausible_jump THEN 'possible_fault_crossing' END) AS flags, abs(d) / greatest(expected_std, 0.01) AS z_score FROM ({_CP})", ["well_id", "row_seq", "flags"], [], ["z_score"]), "well_log"))
 def anomaly_flags(spark, sf_dir):
-    made = rules.anomaly_flags(F.col("gr"), F.col("d"), F.col("expected_delta"), F.col("expected_std"), F.col("max_plausible_jump"), F.lit(0.2))
+    made = rules.anomaly_flags(F.col("gr"), F.col("d"), F.col("expected_std"), F.col("max_plausible_jump"), F.lit(0.2))
     df = _continuity(spark, sf_dir).withColumns(made).withColumn("flags", F.array_join("anomaly_flags", ","))
     return shaped(df, ["well_id", "row_seq", "flags"], [], ["z_score"])
 
 
-_PR = ["lith_sedimentary", "age_mid", "age_span", "paleo_lat", "paleo_abs_lat", "climate", "tectonic", "minerals"]
+_PR = ["paleo_lat_norm", "paleo_lon_norm", "paleo_abs_lat_norm", "paleo_temp_norm", "climate_zone_enc", "ocean_prox_enc", "frac_sedimentary", "age_min_norm", "age_max_norm", "age_span_norm", "tectonic_enc", "mineral_site_density"]
+_CODES = lambda column, codes, default: case([(f"{column} = {k!r}", float(v)) for k, v in codes.items()], float(default))
 
 
-@query(shape(f"SELECT c_custkey, 0.5 AS lith_sedimentary, (0 + age) / 2 / 541 AS age_mid, age / 541 AS age_span, lat / 90 AS paleo_lat, abs(lat) / 90 AS paleo_abs_lat, {case([(f'zone = {k!r}', float(v)) for k, v in rules.CLIMATE_CODES.items()], 2.0)} / 5 AS climate, 0.3 AS tectonic, least(1, greatest(0, ln(1 + c_custkey % 50) / 5)) AS minerals FROM (SELECT *, {_ZONE} AS zone FROM ({_PLACE}))", ["c_custkey"], [], _PR))
+@query(shape(f"SELECT c_custkey, lat / 90 AS paleo_lat_norm, lon / 180 AS paleo_lon_norm, abs(lat) / 90 AS paleo_abs_lat_norm, temp / 35 AS paleo_temp_norm, {_CODES('zone', rules.CLIMATE_CODES, -1)} / 5 AS climate_zone_enc, {_CODES('category', rules.OCEAN_CODES, -1)} / 5 AS ocean_prox_enc, 0.0 AS frac_sedimentary, ln(101) / ln(541) AS age_min_norm, ln(1 + age) / ln(541) AS age_max_norm, ln(1 + greatest(0, age - 100)) / ln(541) AS age_span_norm, 0.9 AS tectonic_enc, least(1, (c_custkey % 90) / 50.0) AS mineral_site_density FROM (SELECT *, {_ZONE} AS zone, {_TEMP} + CASE WHEN age > 66 THEN 4.0 ELSE 0 END AS temp, {case([(c, n) for c, n, _ in _OCEAN], 'uncertain')} AS category FROM ({_PLACE}))", ["c_custkey"], [], _PR))
 def prior_features(spark, sf_dir):
     df = _places(spark, sf_dir)
-    zone = rules.paleoclimate(F.col("lat"), F.col("age"))[0]
-    record = {"regional_age_max_ma": F.col("age"), "paleo_lat": F.col("lat"), "paleo_climate_zone": zone, "mineral_site_count": F.col("c_custkey") % 50}
+    zone, temp = rules.paleoclimate(F.col("lat"), F.col("age"))
+    record = {"regional_age_max_ma": F.col("age"), "paleo_lat": F.col("lat"), "paleo_lon": F.col("lon"), "paleo_climate_zone": zone, "paleo_temp_proxy_c": temp, "paleo_ocean_proximity": rules.ocean_proximity(F.col("lat"), F.col("lon"), F.col("age"))[0], "mineral_site_count": F.col("c_custkey") % 90}
     return shaped(df.withColumns(rules.prior_features(record)), ["c_custkey"], [], _PR)

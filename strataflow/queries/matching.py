@@ -64,16 +64,24 @@ def strat_similarity(spark, sf_dir):
     return shaped(mt.similarity(df, df.filter("well_id = 3")), ["well_id"], [], ["similarity"])
 
 
-@query(with_views(shape(f"SELECT *, gr - avg(gr) OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS res_gr_spike, g1 - lag(g1) {O} AS res_gr_accel, z1 - lag(z1) {O} AS res_z_accel, 1 - exp(-0.05 * (row_seq - coalesce(max(CASE WHEN tvt_input IS NOT NULL THEN row_seq END) OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0))) AS res_physics_uncertainty FROM (SELECT *, gr - lag(gr) {O} AS g1, z - lag(z) {O} AS z1 FROM well_log)", K, [], list(fc.RESIDUALS)), "well_log"))
+_FLAT = "SELECT *, tvt - 1 AS physics_tvt, gr - avg(gr) OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS spike"
+
+
+@query(with_views(shape(f"SELECT *, abs(spike) AS res_gr_spike, coalesce(g1 - lag(g1) {O}, 0) AS res_gr_accel, coalesce(z1 - lag(z1) {O}, 0) AS res_z_accel, coalesce(abs(physics_tvt - lag(physics_tvt) {O}), 0) AS res_physics_uncertainty FROM ({_FLAT}, gr - lag(gr) {O} AS g1, z - lag(z) {O} AS z1 FROM well_log)", K, [], list(fc.RESIDUALS)), "well_log"))
 def residual_features(spark, sf_dir):
-    return shaped(fc.residual_features(log(spark, sf_dir)), K, [], list(fc.RESIDUALS))
+    return shaped(fc.residual_features(log(spark, sf_dir).withColumn("physics_tvt", F.col("tvt") - 1)), K, [], list(fc.RESIDUALS))
+
+
+_NEXT = "lag(well_id, o) OVER w AS other, lag(m, o) OVER w AS n FROM m, (SELECT unnest([1, 2, -1, -2]) AS o) WINDOW w AS (PARTITION BY o ORDER BY m, well_id)"
 
 
-@query(with_views(shape("""WITH r AS (SELECT *, row_seq - coalesce(max(CASE WHEN tvt_input IS NOT NULL THEN row_seq END) OVER (PARTITION BY well_id), 0) AS step, arg_max(tvt_input, row_seq) FILTER (tvt_input IS NOT NULL) OVER (PARTITION BY well_id) AS a FROM well_log),
- m AS (SELECT well_id, avg(gr) AS m FROM well_log GROUP BY 1),
- c AS (SELECT well_id, other, 1 / (1 + abs(m - n)) AS score FROM (SELECT well_id, m, lag(well_id, o) OVER w AS other, lag(m, o) OVER w AS n FROM m, (SELECT unnest([1, 2]) AS o) WINDOW w AS (PARTITION BY o ORDER BY m, well_id) UNION ALL SELECT well_id, m, lead(well_id, o) OVER w, lead(m, o) OVER w FROM m, (SELECT unnest([1, 2]) AS o) WINDOW w AS (PARTITION BY o ORDER BY m, well_id)) WHERE other IS NOT NULL),
- v AS (SELECT x.well_id, x.row_seq, score, x.a + t.tvt - b.tvt AS v FROM r x JOIN c ON c.well_id = x.well_id JOIN r t ON t.well_id = c.other AND t.step = x.step JOIN r b ON b.well_id = c.other AND b.step = 0 WHERE x.step > 0)
- SELECT well_id, row_seq, sum(v * score) / sum(score) AS transfer, CASE WHEN count(*) = 1 THEN 0.3 ELSE sqrt(greatest(0, sum(score * v * v) / sum(score) - (sum(v * score) / sum(score)) ** 2)) END AS transfer_sigma FROM v WHERE v IS NOT NULL GROUP BY 1, 2""", K, [], ["transfer", "transfer_sigma"]), "well_log"))
+@query(with_views(shape(f"""WITH r AS (SELECT *, tvt_input IS NOT NULL AS k, row_number() OVER (PARTITION BY well_id, tvt_input IS NOT NULL ORDER BY row_seq) AS step, row_number() OVER (PARTITION BY well_id, tvt_input IS NOT NULL ORDER BY row_seq DESC) AS back FROM well_log),
+ m AS (SELECT well_id, avg(gr) AS m FROM well_log GROUP BY 1), c AS (SELECT well_id, other, 1 / (1 + abs(m - n)) AS score FROM (SELECT well_id, m, {_NEXT}) WHERE other IS NOT NULL),
+ e AS (SELECT well_id, max(tvt_input) FILTER (back = 1) AS last, max(tvt_input) FILTER (back = 5) AS fifth, max(tvt_input) FILTER (step = 1) AS first, count(*) AS have FROM r WHERE k GROUP BY 1),
+ q AS (SELECT well_id, count(*) AS need FROM r WHERE NOT k GROUP BY 1),
+ v AS (SELECT x.well_id, x.row_seq, score, t.tvt_input - f.first + e.last AS v FROM r x JOIN q USING (well_id) JOIN e USING (well_id) JOIN c ON c.well_id = x.well_id JOIN e f ON f.well_id = c.other AND f.have >= need JOIN r t ON t.well_id = c.other AND t.k AND t.step = x.step WHERE NOT x.k),
+ g AS (SELECT well_id, row_seq, sum(v * score) / sum(score) AS m, CASE WHEN count(*) = 1 THEN 0.3 ELSE sqrt(greatest(0, sum(score * v * v) / sum(score) - (sum(v * score) / sum(score)) ** 2)) END AS d FROM v GROUP BY 1, 2)
+ SELECT x.well_id, x.row_seq, coalesce(g.m, e.last + coalesce((e.last - fifth) / 4, 0) * step) AS transfer, coalesce(g.d, 0.5) AS transfer_sigma FROM r x LEFT JOIN e USING (well_id) LEFT JOIN g ON g.well_id = x.well_id AND g.row_seq = x.row_seq WHERE NOT x.k""", K, [], ["transfer", "transfer_sigma"]), "well_log"))
 def well_transfer(spark, sf_dir):
     df = log(spark, sf_dir)
     return shaped(fc.transferred(df, fc.similar_wells(df, 2)), K, [], ["transfer", "transfer_sigma"])

@@ -10,11 +10,11 @@ from ..operators import relational as rel
 from ..plans.views import view
 from . import query, shaped
 
-FEATURES = ["md", "x", "y", "z", "gr_mean_5", "gr_std_5", "gr_lag1", "horiz_dist", "md_frac"]
+FEATURES = ["md", "x", "y", "z", "gr_rmean_5", "gr_rstd_5", "gr_lag1", "horiz_dist", "md_frac"]
 
 
 def _frame(spark, sf_dir):
-    return ft.sequence_features(view(spark, sf_dir, "well_log")).select("well_id", "row_seq", "tvt", *FEATURES, "tvt_ffill", "dist_from_last_known", "gr_mean_20", "z_d1")
+    return ft.sequence_features(view(spark, sf_dir, "well_log")).select("well_id", "row_seq", "tvt", *FEATURES, "tvt_ffill", "dist_from_last_known", "gr_rmean_20", "z_d1")
 
 
 @query()
@@ -35,14 +35,14 @@ def gbt_baseline(spark, sf_dir):
 @query()
 def ablation(spark, sf_dir):
     train, val = rel.split_wells(_frame(spark, sf_dir))
-    groups = {"position": FEATURES[:4], "gamma": ["gr_mean_5", "gr_std_5"], "target": ["tvt_ffill", "dist_from_last_known"]}
+    groups = {"position": FEATURES[:4], "gamma": ["gr_rmean_5", "gr_rstd_5"], "target": ["tvt_ffill", "dist_from_last_known"]}
     return shaped(ml.ablation(train, val, groups, "tvt", trees=5, depth=3), ["name"], ["step", "n_features"], ["mae", "rmse", "lift"])
 
 
 @query()
 def gated_pipeline(spark, sf_dir):
     train, val = rel.split_wells(_frame(spark, sf_dir))
-    kept, log = ml.gated(train, val, FEATURES[:4], {"gamma": ["gr_mean_20"], "target": ["tvt_ffill", "dist_from_last_known"], "depth": ["z_d1"]}, "tvt", trees=5, depth=3)
+    kept, log = ml.gated(train, val, FEATURES[:4], {"gamma": ["gr_rmean_20"], "target": ["tvt_ffill", "dist_from_last_known"], "depth": ["z_d1"]}, "tvt", trees=5, depth=3)
     rows = [(n, float(m), bool(a), len(kept)) for n, m, a in log]
     return shaped(spark.createDataFrame(rows, "name string, mae double, accepted boolean, n_features int"), ["name", "accepted"], ["n_features"], ["mae"])
 

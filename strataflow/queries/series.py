@@ -294,3 +294,9 @@ def median_fill(spark, sf_dir):
 def confidence_gate(spark, sf_dir):
     df = log(spark, sf_dir).withColumns({"conf": (F.col("row_seq") % 10) / F.lit(10.0), "gated": F.col("gr")})
     return shaped(ft.confidence_gate(df, ["gated"], "conf"), K, [], ["gated"])
+
+
+@query()
+def fingerprint(spark, sf_dir):
+    df = ft.fingerprint(view(spark, sf_dir, "well_log_long"), s=LONG)
+    return shaped(df, K, [], [c for c in df.columns if c.startswith(("depo_", "well_gr"))])

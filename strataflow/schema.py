@@ -70,22 +70,18 @@ def aligned(df: DataFrame, columns: list[str], default: float = 0.0) -> DataFram
     return df.select(*(F.col(c) if c in df.columns else F.lit(default).alias(c) for c in columns))
 
 
-#: The prefixes (or names) by which a column belongs to a feature group.
-GROUPS = {
-    "position": ("md", "x", "y", "z", "horiz", "x_", "y_"),
-    "gamma": ("gr_",),
-    "depth": ("z_", "dz_", "d2z"),
-    "target": ("tvt_", "last_known", "dist_from", "in_nan", "dtvt", "d2tvt"),
-    "anchor": ("anchor_", "nan_", "boundary"),
-    "physics": ("dgr", "d2gr", "curvature", "dogleg", "azimuth", "path_", "formation_dip", "geo_", "transition"),
-    "match": ("tw_",),
-    "fingerprint": ("depo_", "well_"),
-    "cluster": ("cluster_",),
-}
-
-
-def feature_groups(df: DataFrame) -> dict[str, list[str]]:
-    return {g: [c for c in df.columns if c.startswith(p)] for g, p in GROUPS.items()}
+def feature_groups(df: DataFrame, s: SeriesSchema = DEFAULT) -> dict[str, list[str]]:
+    """Columns of the sequence family by group, told by names."""
+    # Groups with (prefixes, parts of names, whole names).
+    groups = {
+        "gr_rolling": (("gr_r",), (), ()), "gr_derivatives": (("gr_d",), ("gr_grad",), ()), "gr_lags": ((), ("gr_lag", "gr_lead"), ()), "gr_proxies": ((), ("proxy",), ()),
+        "trajectory": ((), ("horiz", "x_d1", "y_d1", "z_d1", "z_d2", "z_curve", "z_rm", "z_dev", "md_step", "md_frac"), ()),
+        "tvt_continuation": ((), ("pre_slope", "tvt_extrap"), ("last_known_tvt", "dist_from_last_known", "tvt_ffill", "in_nan_zone", "gr_vs_pre_nan", "z_vs_pre_nan")),
+        "tvt_history": (("tvt_r", "tvt_lag"), (), ("tvt_d1", "tvt_d2")),
+        "anchor_stats": ((), (), ("anchor_tvt_mean", "anchor_tvt_last", "anchor_tvt_range", "anchor_global_slope", "anchor_length", "nan_length", "tvt_known_frac", "nan_to_anchor_ratio", "gr_at_boundary", "gr_std_at_boundary")),
+    }
+    found = {g: [c for c in df.columns if c.startswith(p) or any(x in c for x in parts) or c in whole] for g, (p, parts, whole) in groups.items()}
+    return {"baseline": [c for c in (s.gr, s.md, s.x, s.y, s.z) if c in df.columns], **found}
 
 
 def ratio(a: Column, b: Column) -> Column:

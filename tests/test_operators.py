@@ -101,7 +101,7 @@ def test_sequence_family_and_targets(log):
     df = ft.sequence_features(log)
     assert len(df.columns) - len(log.columns) >= 98
     assert df.filter("tvt_input is null").count() == log.filter("tvt_input is null").count()
-    assert schema.feature_groups(df)["anchor"] and "gr" in schema.numeric_columns(df) and schema.aligned(df, ["gr", "absent"]).columns == ["gr", "absent"]
+    assert len(schema.feature_groups(df)) == 9 and all(schema.feature_groups(df).values()) and "gr" in schema.numeric_columns(df) and schema.aligned(df, ["gr", "absent"]).columns == ["gr", "absent"]
 
 
 def test_nearest_by_cells_equals_broadcast(spark):
