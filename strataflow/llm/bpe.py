@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 
 #: Characters read at a time, pre-tokens (characters) that are cached, and entries of one half of the cache.
-CHUNK, CACHED_LEN, CACHED = 1 << 16, 48, 1 << 17
+CHUNK, CACHED_LEN, CACHED = 1 << 16, 48, 1 << 18
 #: Bytes that a pre-token's buffer takes in beyond the lookahead before stable tokens leave it.
 STEP = 1024
 
