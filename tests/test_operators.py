@@ -241,3 +241,32 @@ def test_plane_equals_least_squares(spark):
         p = p - p.mean(0)
         assert np.allclose(got[g], np.linalg.lstsq(p[:, :2], p[:, 2], rcond=None)[0])
     assert got[3] == (0.0, 0.0)
+
+
+def test_ontology_cache_mapper_and_rules(spark):
+    from strataflow.functions import ontology
+
+    df = spark.createDataFrame([("Shale ",), ("shale",), ("granite",), (None,)], "d string")
+    now = F.lit("2024-01-02").cast("timestamp")
+    out, new = ontology.mapped(df, "d", kv.empty(spark), now)
+    assert sorted(str(r.lith_class) for r in out.collect()) == ["igneous", "sedimentary", "sedimentary", "unknown"] and new.count() == 3
+
+    def mapper(t):
+        if t == "granite":
+            raise ValueError
+        return json.dumps({"lith_class": "mine", "lith_type": "x", "environment": "y", "confidence": 0.9}) if t else None
+
+    assert sorted(r.lith_class for r in ontology.mapped(df, "d", kv.empty(spark), now, mapper)[0].collect()) == ["igneous", "mine", "mine", "unknown"]
+    assert ontology.mapped(df, "d", new, now, mapper)[1].count() == 0
+
+
+def test_physics_needs_two_known_values(spark):
+    rows = [(1, i, float(10 * i), 0.0, 0.0, -float(i), 50.0, 5.0 if i == 1 else None) for i in range(1, 5)] + [(2, i, float(10 * i), 0.0, 0.0, -float(i), 50.0, None) for i in range(1, 3)]
+    got = fc.physics(spark.createDataFrame(rows, "well_id long, row_seq long, md double, x double, y double, z double, gr double, tvt_input double")).collect()
+    assert {(r.well_id, r.physics_tvt) for r in got} == {(1, 5.0), (2, 0.0)}
+
+
+def test_fingerprint_codes(spark):
+    one = series(spark, {1: 120, 2: 9})
+    got = ft.fingerprint(one).toPandas()
+    assert len(got) == 129 and set(got["depo_environment_enc"]) <= {0.0, 1.0, 2.0, 3.0, 4.0} and (got[got.well_id == 2]["depo_marine_score"] == 0).all()
