@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Scalar rules and term mapping."""

@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Operators on series: windows, feature families, relational helpers, matching, continuation, surfaces, learning."""

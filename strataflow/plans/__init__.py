@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Views that give the driver's tables the shape of series."""

@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""File scans and sinks, the key/value cache, service connectors."""

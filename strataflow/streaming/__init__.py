@@ -1 +1 @@
-"""See the package README for the contents of this folder."""
+"""Structured Streaming over arriving readings."""
