@@ -133,16 +133,20 @@ def _savgol_rows(x: np.ndarray, width: int, degree: int, derivative: int) -> np.
     return out
 
 
-def savgol(df: DataFrame, column: str, name: str, width: int = 11, degree: int = 3, s: SeriesSchema = DEFAULT) -> DataFrame:
-    """name: smoothed column, name_d1: its derivative (degree 2); NULLs count as the series' median. Needs fits at the
-    ends of each series, so it runs on one series at a time in numpy."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{name}_d1", T.DoubleType())])
+def savgol(df: DataFrame, columns: dict[str, str], width: int = 11, degree: int = 3, s: SeriesSchema = DEFAULT) -> DataFrame:
+    """For each column and its new name: name, smoothed, and name_d1, its derivative (degree 2); NULLs count as the series'
+    median. The ends of each series need fits of their own, so numpy takes one series at a time, all columns at once."""
+    added = [T.StructField(f"{n}{e}", T.DoubleType()) for n in columns.values() for e in ("", "_d1")]
+    schema = T.StructType([*df.schema.fields, *added])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(list(s.order))
-        x = p[column].astype(float)
-        x = x.fillna(x.median()).fillna(0.0).to_numpy()
-        return p.assign(**{name: _savgol_rows(x, width, degree, 0), f"{name}_d1": _savgol_rows(x, width, 2, 1)})
+        made = {}
+        for column, name in columns.items():
+            x = p[column].astype(float)
+            x = x.fillna(x.median()).fillna(0.0).to_numpy()
+            made |= {name: _savgol_rows(x, width, degree, 0), f"{name}_d1": _savgol_rows(x, width, 2, 1)}
+        return p.assign(**made)
 
     return df.groupBy(s.well).applyInPandas(run, schema)
 
@@ -172,7 +176,7 @@ def physics_features(df: DataFrame, s: SeriesSchema = DEFAULT, smooth: bool = Fa
     df = df.withColumn("formation_dip_proxy", F.coalesce(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), dip)), F.lit(0.0)))
     df = w.state_change(df, {"dgr_dmd": 0.4, "dz_dmd": 0.3, "dtvt_dmd": 0.3}, "geo_state_change", s)
     df = df.withColumnRenamed("geo_state_change_flag", "transition_signal").drop("__g", "__rn", "__s", "__md", "__az", "__d2x", "__d2y", "__t", "__h", "__dt")
-    return savgol(savgol(df, s.gr, "gr_savgol", s=s), s.z, "z_savgol", s=s) if smooth else df
+    return savgol(df, {s.gr: "gr_savgol", s.z: "z_savgol"}, s=s) if smooth else df
 
 
 def baseline_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
@@ -258,21 +262,24 @@ def fingerprint_windows(df: DataFrame, width: int = 100, step: int = 10, s: Seri
     df = df.withColumns({"__rn": F.row_number().over(s.ordered) - 1, "__n": F.count("*").over(s.whole), "__d": F.abs(F.col(s.gr) - F.lag(s.gr).over(s.ordered))})
     bucket = F.floor(F.col("__rn") / step)
     df = df.withColumn("__b", F.when(F.col("__n") - bucket * step >= step, bucket).otherwise(F.greatest(F.lit(0), bucket - 1)).cast("int"))
-    ahead = s.ordered.rowsBetween(0, width - 1)
-    inner = s.ordered.rowsBetween(1, width - 1)
     gr = F.col(s.gr)
-    at = df.withColumns({
-        "__m": F.count("*").over(ahead), "__slope": F.regr_slope(gr, F.col("__rn").cast("double")).over(ahead), "depo_gr_var": F.stddev_pop(gr).over(ahead),
-        "depo_shale_fraction": F.avg((gr > SHALE).cast("double")).over(ahead), "depo_sand_fraction": F.avg((gr < SAND).cast("double")).over(ahead),
-        "__ds": F.collect_list("__d").over(inner), "__p": F.percentile("__d", F.lit(0.75)).over(inner),
-    }).filter((F.col("__rn") % step == 0) & (F.col("__m") >= step))
+    # a row takes part in the windows of the width / step buckets up to its own: grouping by window does a tenth of a sliding frame's work
+    parts = df.select(s.well, s.gr, "__rn", "__d", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("__rn") - width) / step).cast("int") + 1), bucket.cast("int"))).alias("__k"))
+    inner = F.when(F.col("__rn") > F.col("__k") * step, F.col("__d"))
+    at = parts.groupBy(s.well, "__k").agg(
+        F.count("*").alias("__m"), F.regr_slope(gr, F.col("__rn").cast("double")).alias("__slope"), F.stddev_pop(gr).alias("depo_gr_var"),
+        F.avg((gr > SHALE).cast("double")).alias("depo_shale_fraction"), F.avg((gr < SAND).cast("double")).alias("depo_sand_fraction"), F.sort_array(F.collect_list(inner)).alias("__ds"),
+    ).filter(F.col("__m") >= step)
+    place = 0.75 * (F.size("__ds") - 1)
+    low, high = F.get("__ds", F.floor(place).cast("int")), F.get("__ds", F.ceil(place).cast("int"))
+    at = at.withColumn("__p", low + (high - low) * (place - F.floor(place)))
     slope = F.coalesce("__slope", F.lit(0.0))
     sharp = F.coalesce(ratio(F.size(F.filter("__ds", lambda d: d > 2 * F.col("__p"))).cast("double"), F.size("__ds").cast("double")), F.lit(0.0))
     up = lambda sign: F.greatest(F.lit(0.0), sign * slope / (F.col("depo_gr_var") + 1e-9))
     at = at.withColumns({"depo_boundary_sharp": sharp, "__fine": up(1), "depo_coarsening_up": F.least(F.lit(3.0), up(-1)), "depo_fining_up": F.least(F.lit(3.0), up(1)), "depo_gr_trend": F.least(F.lit(5.0), F.greatest(F.lit(-5.0), slope))})
     at = at.withColumn("depo_channel_score", 0.4 * F.col("depo_boundary_sharp") + 0.3 * F.col("__fine") + 0.3 * F.col("depo_sand_fraction"))
     names = [c for c in at.columns if c.startswith("depo_")]
-    per_bucket = at.select(F.col(s.well).alias("__w"), (F.col("__rn") / step).cast("int").alias("__k"), *names)
+    per_bucket = at.select(F.col(s.well).alias("__w"), "__k", *names)
     out = df.join(per_bucket, (F.col(s.well) == F.col("__w")) & (F.col("__b") == F.col("__k")), "left")
     return out.fillna(0.0, subset=names).drop("__rn", "__n", "__d", "__b", "__w", "__k")
 

@@ -228,7 +228,7 @@ def baseline_features(spark, sf_dir):
 
 @query()
 def savgol(spark, sf_dir):
-    return shaped(ft.savgol(log(spark, sf_dir), "z", "z_savgol"), K, [], ["z_savgol", "z_savgol_d1"])
+    return shaped(ft.savgol(log(spark, sf_dir), {"z": "z_savgol"}), K, [], ["z_savgol", "z_savgol_d1"])
 
 
 @query()
