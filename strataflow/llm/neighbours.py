@@ -2,10 +2,10 @@
 
 Equal vectors of a label are one node. Neighbour lists of LIST entries start from random-projection buckets (as many trees as
 the number of nodes asks for), then NN-descent refines them: each node brings its neighbours and reverse neighbours together,
-and any two of them that are closer than the worst entry of a list enter it. Entries at the threshold or above are links, and
-their connected components follow. A list that links fill is too short: lists grow to the whole component, in which
-all links are counted exactly by blocks of BLOCK x BLOCK nodes, without listing pairs. Recall is audited on a bounded
-sample of AUDIT nodes against all vectors; below RECALL, more trees and rounds follow.
+and any two of them that are closer than the worst entry of a full list, or meet a list with room, enter it. Entries at the
+threshold or above are links, and their connected components follow. Lists that links fill leave links out, also between
+components, so all pairs of a space are then held against the threshold by blocks, without listing them: that counts
+the links exactly and joins the components that the lists left apart. It is quadratic in the nodes of a label.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with nothing (each is
 its own component); vectors of different lengths are never linked; repeated rows are linked with each other; other columns
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import read, written
 from .components import components
 
-LIST, BUCKET, BLOCK = 12, 256, 512
-AUDIT, RECALL, MOST_ROUNDS = 128, 0.99, 3
+LIST, BUCKET = 12, 256
+#: Side of a block of pairs: an eighth of the space's nodes, within these bounds. Products are taken STRIP rows at a time.
+LEAST_SIDE, MOST_SIDE, STRIP = 512, 8192, 512
 #: The chance that a pair at the threshold meets in none of the first trees.
 MISSED = 1e-3
 
@@ -135,7 +136,7 @@ def projected(nodes: DataFrame, trees: range) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / BUCKET).cast("long")))
 
     def closest(t: pa.Table) -> pa.RecordBatch | None:
-        return _closest(t["node"].to_numpy(), matrix(t["vec"]), LIST // 2)
+        return _closest(t["node"].to_numpy(), matrix(t["vec"]), LIST)
 
     return grouped(rows, columns, ["node", "vec"], closest, "u long, v long, sim double")
 
@@ -158,8 +159,8 @@ def shortened(edges: DataFrame) -> DataFrame:
 
 
 def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: pairs of neighbours (and reverse ones) of a node that improve on a list."""
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst")).select(F.col("u").alias("node"), "worst")
+    """One round: pairs of neighbours (and reverse ones) of a node that improve on a list or find room in it."""
+    worst = graph.groupBy("u").agg(F.when(F.count("*") >= LIST, F.min("sim")).alias("worst")).select(F.col("u").alias("node"), "worst")
     both = graph.select("u", "v").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     # a node in many lists has many reverse neighbours: they meet in parts
     degree = both.groupBy("u").agg(F.count("*").alias("n"))
@@ -176,57 +177,60 @@ def descended(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return grouped(rows, ["u", "part"], ["node", "vec", "worst"], meet, "u long, v long, sim double")
 
 
-def counted(members: DataFrame, threshold: float) -> DataFrame:
-    """node, links (sum of `many` of the other nodes linked): members has root, node, vec, many; all pairs of a root count.
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Enough of the edges a-b to connect what they connect."""
+    root: dict[int, int] = {}
 
-    A root's nodes are dealt to parts of about BLOCK; each pair of parts is one block product."""
-    size = members.groupBy("root").agg(F.count("*").alias("n"))
-    rows = members.join(size, "root").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long"))
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = find(x), find(y)
+        if p != q:
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def compared(members: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a space, by blocks: rows (node, links: sum of `many` of the other nodes linked) and rows (a, b: roots
+    that a link joins). members: space, node, vec, many, root.
+
+    A space's nodes are dealt to parts; each pair of parts is one block product."""
+    size = members.groupBy("space").agg(F.count("*").alias("n"))
+    side = F.least(F.greatest(F.ceil(F.col("n") / 8), F.lit(LEAST_SIDE)), F.lit(MOST_SIDE))
+    rows = members.join(size, "space").withColumn("parts", F.ceil(F.col("n") / side).cast("long"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     # each node meets every part: as a row of block (own part, other part)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o")
-    rows = rows.select("root", "part", "node", "vec", "many", other)
-    rows = rows.select("root", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "node", "vec", "many", "part")
+    rows = rows.select("space", "part", "node", "vec", "many", "root", other)
+    rows = rows.select("space", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "node", "vec", "many", "root", "part")
 
     def product(t: pa.Table) -> pa.RecordBatch | None:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        node, x, many, part = t["node"].to_numpy(), matrix(t["vec"]), t["many"].to_numpy(), t["part"].to_numpy()
-        if i == j:
-            hit = x @ x.T >= threshold
-            np.fill_diagonal(hit, False)
-            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(hit @ many)], ["node", "links"])
-        a, b = part == i, part == j
-        hit = x[a] @ x[b].T >= threshold
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[a], node[b]])), pa.array(np.concatenate([hit @ many[b], many[a] @ hit]))], ["node", "links"])
-
-    parts = grouped(rows, ["root", "i", "j"], ["node", "vec", "many", "part"], product, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of all links of AUDIT nodes (the least hashed that have any) that `links` (node, links) counts."""
-    has = links.filter("links > 0").select("node", "links")
-    asked = nodes.join(has, "node", "left").withColumn("h", F.xxhash64("node", F.lit(3)))
-    some = asked.orderBy(F.col("links").isNull(), "h").limit(AUDIT // 2).unionByName(asked.orderBy("h").limit(AUDIT // 2)).dropDuplicates(["node"])
-    rows = some.select("node", "space", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()  # at most AUDIT
-    if not rows:
-        return 1.0
-    wanted = [(r["node"], r["space"], bytes(r["vec"])) for r in rows]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = dict.fromkeys((w[0] for w in wanted), 0)
-        for b in batches:
-            node, space, many = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
-            for name, where, vec in wanted:
-                at = np.flatnonzero((space == where) & (node != name))
-                if len(at):
-                    q = np.frombuffer(vec, np.float32).astype(float)
-                    s = matrix(b.column(2).take(pa.array(at))) @ (q / np.linalg.norm(q))
-                    found[name] += int(many[at][s >= threshold].sum())
-        yield pa.RecordBatch.from_pydict({"node": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
-
-    true = sum(r[1] for r in nodes.select("node", "space", "vec", "many").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n")).collect())
-    return min(1.0, sum(r["links"] for r in rows) / true) if true else 1.0
+        node, x, many, root, part = t["node"].to_numpy(), matrix(t["vec"]), t["many"].to_numpy(), t["root"].to_numpy(), t["part"].to_numpy()
+        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        links, joins = np.zeros(len(node), np.int64), [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(a), STRIP):
+            s = a[k : k + STRIP]
+            hit = x[s] @ x[b].T >= threshold
+            if i == j:
+                hit[np.arange(len(s)), np.arange(k, k + len(s))] = False
+            else:
+                links[b] += many[s] @ hit
+            links[s] += hit @ many[b]
+            u, v = np.nonzero(hit & (root[s][:, None] != root[b]))
+            if len(u):
+                joins.append(np.array(forest(root[s][u], root[b][v]), np.int64))
+        ends = np.array(forest(*np.concatenate(joins).T), np.int64).reshape(-1, 2)
+        none = lambda n: pa.nulls(n, pa.int64())
+        cells = [(pa.array(node), none(len(ends))), (pa.array(links), none(len(ends))), (none(len(node)), pa.array(ends[:, 0])), (none(len(node)), pa.array(ends[:, 1]))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cells], ["node", "links", "a", "b"])
+
+    return grouped(rows, ["space", "i", "j"], ["node", "vec", "many", "root", "part"], product, "node long, links long, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, embedding: str = "embedding", label: str = "label", vec_id: str = "vec_id") -> DataFrame:
@@ -241,20 +245,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, embedding: str
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     apart = (1 - math.acos(threshold) / math.pi) ** most
     trees = max(4, math.ceil(math.log(MISSED) / math.log(max(1e-9, 1 - apart)))) if apart < 1 else 4
-    graph, done = None, 0
-    for round_ in range(MOST_ROUNDS):
-        new = projected(nodes, range(done, done + trees))
-        done += trees
-        graph = written(shortened(new if graph is None else new.unionByName(graph.drop("r"))), "neighbours")
-        for _ in range(2):
-            graph = written(shortened(descended(graph.drop("r"), nodes).unionByName(graph.drop("r"))), "neighbours")
-        close = graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        roots = written(components(close), "roots")
-        links = written(counted(roots.join(nodes, "node").select("root", "node", "vec", "many"), threshold), "links")
-        if audit(nodes, links, threshold) >= RECALL:
-            break
-    out = rows.drop("vec", "space").join(nodes.select("node", "many"), "node", "left").join(links, "node", "left").join(roots, "node", "left")
-    out = out.withColumn("root", F.coalesce("root", "node"))
+    graph = written(shortened(projected(nodes, range(trees))), "neighbours")
+    for _ in range(2):
+        graph = written(shortened(descended(graph.drop("r"), nodes).unionByName(graph.drop("r"))), "neighbours")
+    close = graph.filter(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    nodes = written(nodes.join(components(close), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    pairs = written(compared(nodes.select("space", "node", "vec", "many", "root"), threshold), "compared")
+    links = pairs.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    joins = components(pairs.filter("a is not null").select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+    known = nodes.select("node", "many", "root").join(links, "node").join(joins, "root", "left")
+    out = rows.drop("vec", "space").join(known.select("node", "many", "links", F.coalesce("joined", "root").alias("root")), "node", "left")
     least = out.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = out.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))

@@ -139,3 +139,15 @@ def test_embeddings_equal_brute_force(spark):
     assert {i: r.component_id for i, r in got.items()} == want
     assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in linked) for i in want}
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_links_between_clumps(spark):
+    """Each vector has more near neighbours in its own clump than a list holds, and every pair across is a link too."""
+    rng = np.random.default_rng(8)
+    a, b = np.eye(16)[0], 0.945 * np.eye(16)[0] + (1 - 0.945**2) ** 0.5 * np.eye(16)[1]
+    rows = [(k, [float(v) for v in np.float32((a, b)[k % 2] + 0.003 * rng.standard_normal(16))], 1) for k in range(60)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert (x @ x.T).min() >= 0.93
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
