@@ -8,7 +8,8 @@ Texts of one set are one class and stand in the search once. Signatures are cut
 that agree in a band share a bucket (a pair at the threshold misses all bands with probability 5e-7). Buckets can be huge, so
 pairs inside one are not listed: in each round a few members are centres and every other member is held against them,
 similar members join one component, and the next round takes other centres where a bucket still has several components,
-until a round links nothing. Buckets of up to SMALL members are compared in full. A pair whose signatures agree too little to be
+until a round links nothing. Buckets of up to SMALL members are compared in full. Centres can miss a link, so the pairs of
+different components that are left in larger buckets are then compared in full too, block by block. A pair whose signatures agree too little to be
 near the threshold (MOST_BITS_APART, over four standard errors from it) is not looked at further; every other pair is
 confirmed on the full sets.
 
@@ -30,11 +31,14 @@ from pyspark.sql import types as T
 
 from .common import read, written
 from .components import components
+from .neighbours import grouped
 from .shingles import shingle_hashes
 
 BANDS, ROWS = 48, 6
 UNIVERSE = 1 << 20
 SMALL, LEAST_ROUNDS, MOST_ROUNDS = 16, 2, 12
+#: Side of a block of members in the comparison of what is left, and of a cell of sets.
+SIDE, CELL = 2048, 256
 #: The estimate keeps two bits of each coordinate, so many 64-bit words in all; a pair at similarity 0.8 differs in 58 bits
 #: on average (standard deviation 8.7), and pairs that differ in more than this are not looked at further.
 SKETCH_WORDS, MOST_BITS_APART = BANDS * ROWS * 2 // 64, 94
@@ -135,6 +139,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
 
 
+def left_over(here: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of a bucket of more than SMALL whose roots differ and whose sizes and sketches leave room for percent.
+
+    here: bucket, size, node, root, m (n, sketch). A bucket's members are dealt to parts; each pair of parts is one block."""
+    # buckets of the same members are compared once
+    sets = here.filter(f"size > {SMALL}").groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    sets = sets.filter("lo != hi").groupBy("many", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("many") / SIDE).cast("long").alias("parts"))
+    rows = here.join(sets, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    words = [F.col("m.sketch")[k].alias(f"w{k}") for k in range(SKETCH_WORDS)]
+    rows = rows.select("bucket", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "node", "root", F.col("m.n").alias("n"), *words)
+
+    def block(t: pa.Table) -> pa.RecordBatch | None:
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        part, node, root, n = (t[c].to_numpy() for c in ("part", "node", "root", "n"))
+        sketch = np.stack([t[f"w{k}"].to_numpy().view(np.uint64) for k in range(SKETCH_WORDS)], 1)
+        first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        u, v = [], []
+        for k in range(0, len(first), 256):
+            a, b = first[k : k + 256], second[k:] if i == j else second
+            near = (root[a][:, None] != root[b]) & (100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b]))
+            x, y = np.nonzero(near)
+            x, y = a[x], b[y]
+            for z in range(0, len(x), 1 << 16):
+                c, d = x[z : z + (1 << 16)], y[z : z + (1 << 16)]
+                ok = np.bitwise_count(sketch[c] ^ sketch[d]).sum(1, dtype=np.int64) <= MOST_BITS_APART
+                u.append(node[c[ok]])
+                v.append(node[d[ok]])
+        if not u:
+            return None
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+    columns = ["part", "node", "root", "n", *(f"w{k}" for k in range(SKETCH_WORDS))]
+    return grouped(rows, ["bucket", "i", "j"], columns, block, "a long, b long").distinct()
+
+
+def confirmed_in_cells(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """As confirmed(), for many pairs of few nodes: both ends are dealt to parts, and a set goes once to each cell (of two
+    parts) that has a pair of it."""
+    ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    parts = max(1, -(-ends.count() // CELL))
+    known = written(sets.join(ends.hint("shuffle_hash"), "node"), "sets-of-pairs")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    dealt = pairs.select(part("a").alias("i"), part("b").alias("j"), "a", "b")
+    asked = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = asked.join(known, "node").select("i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    rows = rows.unionByName(dealt.withColumn("shingles", F.lit(None).cast("binary")))
+
+    def hold(t: pa.Table) -> pa.RecordBatch | None:
+        is_pair = t["b"].is_valid().to_numpy()
+        held, mates = {}, {}
+        for node, s in zip(t["a"].filter(pa.array(~is_pair)).to_pylist(), t["shingles"].filter(pa.array(~is_pair))):
+            held[node] = np.frombuffer(s.as_buffer(), np.uint64)
+        only = t.filter(pa.array(is_pair))
+        for a, b in zip(only["a"].to_pylist(), only["b"].to_pylist()):
+            mates.setdefault(a, []).append(b)
+        u, v = [], []
+        for a, bs in mates.items():
+            x = held[a]
+            for k in range(0, len(bs), 64):
+                some = bs[k : k + 64]
+                sizes = np.array([len(held[b]) for b in some])
+                y = np.concatenate([held[b] for b in some])
+                hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+                for b, ok in zip(some, 100 * shared >= percent * (len(x) + sizes - shared)):
+                    if ok:
+                        u.append(a)
+                        v.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    return grouped(rows, ["i", "j"], ["a", "b", "shingles"], hold, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, node, root, component_id, kept: one row for each row of docs.
 
@@ -183,6 +262,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
             roots = written(components(links), "roots")
         if not found and r + 1 >= LEAST_ROUNDS:
             break
+    if roots is None:
+        here = members.withColumn("root", F.col("node"))
+    else:
+        here = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = written(left_over(here, percent).join(tried, ["a", "b"], "left_anti"), "left-over")
+    new = written(confirmed_in_cells(rest, sets, percent), "links")
+    if not new.isEmpty():
+        links = new if links is None else links.unionByName(new)
+        roots = written(components(links), "roots")
     if roots is None:
         out = slim.withColumn("root", F.col("node"))
     else:

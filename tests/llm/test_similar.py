@@ -151,3 +151,16 @@ def test_links_between_clumps(spark):
     assert (x @ x.T).min() >= 0.93
     got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
+
+
+def test_pairs_hidden_by_boilerplate(spark, monkeypatch):
+    """Texts of one boilerplate agree at 0.785, partners at 0.82: mostly in buckets that hold hundreds of others too."""
+    monkeypatch.setattr(minhash, "MOST_ROUNDS", 2)
+    rng = random.Random(6)
+    new = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    same, rows = new(193), []
+    for g in range(300):
+        shared = new(5)
+        rows += [(2 * g + k, " ".join(same + shared + new(21))) for k in range(2)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
