@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,21 +133,62 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: Seq
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
-    """Write the shards that gain or lose documents to path/shard=N (ids must be unique); the rest stay untouched.
+def _numbered(rows: DataFrame, doc_id: str, keys: list[str]) -> DataFrame:
+    """rows and __k: 1, 2, ... for rows that are equal in the id and keys."""
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id, *keys).orderBy(F.lit(0))))
 
-    Returns the shards written. placed: of reshard()."""
-    placed = placed.select(F.col("doc_id").alias("__id"), "shard", "old_shard", "moved")
+
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None) -> list[int]:
+    """Write the shards that gain or lose documents to path/shard=N; the rest stay untouched.
+
+    Returns the shards written. placed: of reshard(). Rows of one id are told apart by their texts, equal ones by
+    old_shard, which is needed where they may stand in several old shards with other columns that differ."""
     moved = placed.filter("moved").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     touched = sorted(r[0] for r in moved.collect())  # at most the number of shards
-    rows = docs.join(placed.filter(F.col("shard").isin(touched)), docs[doc_id].eqNullSafe(F.col("__id"))).drop("__id", "old_shard", "moved")
-    rows.write.mode("overwrite").partitionBy("shard").parquet(path or fresh_path(docs.sparkSession, "shards"))
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    mine, theirs = [F.col(doc_id), (F.octet_length(body) + 1).cast("long"), F.crc32(body)], [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
+    if old_shard is not None:
+        mine, theirs = [*mine, old_shard.cast("int")], [*theirs, F.col("old_shard")]
+    to = placed.groupBy(F.xxhash64(*theirs).alias("__h")).agg(F.sort_array(F.collect_list("shard")).alias("__to"))
+    to = to.filter(F.exists("__to", lambda s: s.isin(touched)))
+    # the texts are dealt once: the join and the numbering have the same key
+    rows = docs.withColumn("__h", F.xxhash64(*mine)).join(to, "__h").withColumn("__k", F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0))))
+    rows = rows.withColumn("shard", F.get("__to", F.col("__k") - 1)).filter(F.col("shard").isin(touched)).select(*docs.columns, "shard")
+    path = path or fresh_path(docs.sparkSession, "shards")
+    if touched:
+        # dynamic: only the shards that rows go to are replaced
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r[0] for r in placed.select("shard").distinct().collect()}
+    for emptied in set(touched) - filled:
+        docs.limit(0).write.mode("overwrite").parquet(f"{path}/shard={emptied}")
     return touched
 
 
+def _all(conditions) -> Column:
+    return reduce(and_, conditions)
+
+
+def resharded_files(docs: DataFrame, old_shard: Column, shards: int = 8) -> DataFrame:
+    """The columns of reshard(), for the rows of a layout in files: the affected shards are rewritten, the others laid out
+    by old_shard as they are, and all rows read back with the shard that they lie in."""
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "shards")
+    placed = written(reshard(docs, old_shard, shards), "placed")
+    laid = docs.withColumn("shard", old_shard.cast("int"))
+    touched = rewrite_affected(docs, placed, path, old_shard=old_shard)
+    kept = placed.filter(~F.col("old_shard").isin(touched)).limit(1)
+    if not touched or not kept.isEmpty():
+        laid.filter(~F.col("shard").isin(touched)).write.mode("append").partitionBy("shard").parquet(path)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    found = spark.read.schema(laid.schema).parquet(path).select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), "shard")
+    keys = ["size", "text_crc32", "old_shard", "shard"]
+    to = _numbered(placed, "doc_id", keys).select(F.col("doc_id").alias("__id"), "slot", "moved", *(F.col(n).alias(f"{n}_to") for n in (*keys, "__k")))
+    out = _numbered(found, "doc_id", keys).join(to, F.col("doc_id").eqNullSafe(F.col("__id")) & _all(F.col(n) == F.col(f"{n}_to") for n in (*keys, "__k")), "left")
+    return out.select("doc_id", *keys, "slot", "moved")
+
+
 def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, laid out by source in 8 uneven shards, resharded to equal bytes."""
+    """documents, laid out by source in 8 uneven shards, resharded to equal bytes; rows as read from the rewritten files."""
     docs = read(spark, sf_dir, "documents")
     old = F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")) % 8
-    out = reshard(docs, old, 8)
+    out = resharded_files(docs, old, 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")

@@ -142,3 +142,28 @@ def test_resharding(spark, odd, tmp_path):
     assert len(size) == 4 and max(size) - min(size) <= 200
     touched = sharding.rewrite_affected(docs, placed, str(tmp_path / "out"))
     assert touched == [0, 1, 2, 3] and spark.read.parquet(str(tmp_path / "out")).count() == 400
+
+
+def test_rewriting_leaves_other_shards(spark, tmp_path):
+    """Shards 0 and 1 exchange rows, 3 loses all of its rows, 2 isn't affected; an id is repeated."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "out")
+    rows = [(1, "a", 0, 0), (1, "a", 0, 1), (1, "bb", 0, 0), (None, "c", 1, 0), (4, "d", 2, 2), (5, "e", 3, 1)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, old int")
+    docs.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+    body = F.col("text").cast("binary")
+    placed = spark.createDataFrame(rows, "doc_id long, text string, old_shard int, shard int").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "old_shard", "shard", (F.col("old_shard") != F.col("shard")).alias("moved"))
+    assert sharding.rewrite_affected(docs, placed, path, old_shard=F.col("old")) == [0, 1, 3]
+    got = spark.read.schema("doc_id long, text string, old int, shard int").parquet(path).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, rows))
+
+
+def test_resharding_reads_files_back(spark, odd):
+    from pyspark.sql import functions as F
+
+    docs, old = odd.drop("shard"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot", "moved"]
+    plain = lambda df: sorted(str(tuple(r)) for r in df.select(columns).collect())
+    assert plain(sharding.resharded_files(docs, old, 3)) == plain(sharding.reshard(docs, old, 3))
+    assert sharding.resharded_files(docs.limit(0), old, 3).count() == 0
