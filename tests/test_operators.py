@@ -270,3 +270,12 @@ def test_fingerprint_codes(spark):
     one = series(spark, {1: 120, 2: 9})
     got = ft.fingerprint(one).toPandas()
     assert len(got) == 129 and set(got["depo_environment_enc"]) <= {0.0, 1.0, 2.0, 3.0, 4.0} and (got[got.well_id == 2]["depo_marine_score"] == 0).all()
+
+
+def test_typewell_without_readings(spark):
+    from strataflow.operators import relational
+
+    rows = spark.createDataFrame([(w, float(k), k, None) for w in (2, 1) for k in range(4)], "well_id long, md double, row_seq long, gr double")
+    assert sorted((r.well_id, r.row_seq) for r in relational.typewell(rows, rows=6).collect()) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)]
+    some = rows.withColumn("gr", F.when(F.col("well_id") == 2, F.col("md")))
+    assert {r.well_id for r in relational.typewell(some, rows=6).collect()} == {2}
