@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -23,10 +23,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u != v").distinct(), "large-star")
+        large, before = written(large.filter("u != v").distinct(), "large-star"), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        discard(before, large)
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = edges.select("v").distinct()
