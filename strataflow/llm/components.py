@@ -13,7 +13,7 @@ from .common import discard, written
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (columns a, b of one type, a != b)."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges", True)
     state = None
     for _ in range(most_rounds):
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -23,10 +23,10 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, before = written(large.filter("u != v").distinct(), "large-star"), edges
+        large, before = written(large.filter("u != v").distinct(), "large-star", True), edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star", True)
         discard(before, large)
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")

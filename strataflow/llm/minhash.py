@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs u, v of classes, as a and b, whose full sets share percent of their union or more.
 
     v should be the end that is in many pairs: its set goes once to every STAR of its partners."""
-    near = written(pairs.select("u", "v").distinct(), "candidates")
+    near = written(pairs.select("u", "v").distinct(), "candidates", True)
     parts = near.groupBy("v").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     near_parts = near.join(parts, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.col("u").alias("cid"))
     own = parts.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("v").alias("cid"))
@@ -167,7 +167,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out.append(cid[k])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(out), v, np.int64)), pa.array(np.array(out, np.int64))], ["a", "b"]) if out else None
 
-    out = written(grouped(rows, ["v", "part"], ["cid", "shingles"], star, "a long, b long"), "links")
+    out = written(grouped(rows, ["v", "part"], ["cid", "shingles"], star, "a long, b long"), "links", True)
     discard(near)
     return out
 
@@ -197,7 +197,7 @@ def left_buckets(here: DataFrame) -> DataFrame:
     all_ = each.groupBy("bucket").agg(F.max(F.struct("k", "root", "s")).alias("top"), F.count("*").alias("roots"), F.sum("k").alias("size"), F.sum("s").alias("s"))
     blocks = lambda k, s: F.greatest(F.ceil(k / SIDE), F.ceil(s / SIDE_SHINGLES), F.lit(1)).cast("int")
     out = all_.filter("roots > 1").select("bucket", "size", F.col("top.root").alias("major"), blocks(F.col("size") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("rest"), blocks(F.col("top.k"), F.col("top.s")).alias("mine"))
-    return written(out, "left-buckets")
+    return written(out, "left-buckets", True)
 
 
 def small_pairs(here: DataFrame, left: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     classes = classes.select(F.monotonically_increasing_id().alias("cid"), "name", "name2", "least", "r.id", "r.text_hash", "r.n", ones.alias("ones"), "r.bands", "r.map")
     classes = written(classes, "classes")
     banded = classes.select("cid", F.posexplode("bands").alias("band", "bucket"))
-    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "buckets")
+    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket"), "buckets", True)
     members = written(banded.join(buckets, "bucket").dropDuplicates(["bucket", "cid"]), "members")
     active = written(classes.join(members.select("cid").distinct(), "cid"), "active")
     discard(buckets)
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         nonlocal links, roots
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            roots = written(components(links), "roots")
+            roots = written(components(links), "roots", True)
 
     take(confirmed(centre_pairs(_joined(members, None), 1, 0, percent), sets, percent))
     here = written(_joined(members, roots), "members-joined")
@@ -342,12 +342,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     blocks = F.col("major"), F.col("rest"), F.col("mine")
     large = here.join(left.filter(f"size > {SMALL}").select("bucket", *blocks), "bucket")
     maps = [F.col("m.map")[k].alias(f"w{k}") for k in range(MAP_WORDS)]
-    some = written(with_partners(in_blocks(large).select("bucket", "i", "j", "side", "cid", "root", "m.n", "m.ones", *maps), percent), "with-partners")
+    some = written(with_partners(in_blocks(large).select("bucket", "i", "j", "side", "cid", "root", "m.n", "m.ones", *maps), percent), "with-partners", True)
     again = here.join(some, ["bucket", "cid"])
     left_again = left_buckets(again)
     full = again.join(left_again.select("bucket", *blocks), "bucket").select("bucket", "band", "cid", "root", *blocks)
     whole = sets.join(active.select("cid", "bands"), "cid")
-    take(written(joined_in_blocks(in_blocks(full).join(whole, "cid"), percent), "links"))
+    take(written(joined_in_blocks(in_blocks(full).join(whole, "cid"), percent), "links", True))
     discard(here, left, left_again, some, members, sets)
     own = classes.select("name", "name2", F.col("cid"), "least")
     own = _joined(own, roots)
@@ -369,7 +369,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, text: str =
     chosen = written(docs.filter(~wordless).join(stay.hint("shuffle_hash"), here, "left_semi"), "one-of-each")
     bare = docs.filter(wordless)
     key = F.xxhash64(text)
-    twice = written(chosen.groupBy(F.col(doc_id).alias("__minhash_id"), key.alias("__minhash_text")).count().filter("count > 1").drop("count"), "repeated-rows")
+    twice = written(chosen.groupBy(F.col(doc_id).alias("__minhash_id"), key.alias("__minhash_text")).count().filter("count > 1").drop("count"), "repeated-rows", True)
     if twice.isEmpty():
         return bare.unionByName(chosen)
     again = chosen.withColumn("__minhash_key", key).join(twice, here, "left_semi").dropDuplicates([doc_id, "__minhash_key"]).drop("__minhash_key")

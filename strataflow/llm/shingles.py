@@ -47,6 +47,13 @@ def word_spans(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return mix64((total[end] - total[start]) * inverse_powers(_BASE, len(x) + 1)[start] + (end - start).astype(np.uint64)), start, end
 
 
+def word_starts(data: bytes) -> np.ndarray:
+    """Where the words of word_spans() begin."""
+    space = np.ones(len(data) + 1, bool)
+    space[1:] = _SPACE[np.frombuffer(data, np.uint8)]
+    return np.flatnonzero(space[:-1] & ~space[1:])
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     return word_spans(data)[0]
 

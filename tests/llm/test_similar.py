@@ -153,9 +153,22 @@ def test_links_between_clumps(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
 
 
-def test_pairs_hidden_by_boilerplate(spark, monkeypatch):
+def linked(rows, width=4):
+    """Components by brute force: 100 * intersection >= 80 * union of the shingle sets."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(t.lower())
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    near = []
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                near.append((a, b))
+    return closure(sets, near)
+
+
+def test_pairs_hidden_by_boilerplate(spark):
     """Texts of one boilerplate agree at 0.785, partners at 0.82: mostly in buckets that hold hundreds of others too."""
-    monkeypatch.setattr(minhash, "MOST_ROUNDS", 2)
     rng = random.Random(6)
     new = lambda n: [f"w{rng.random()}" for _ in range(n)]
     same, rows = new(193), []
@@ -164,3 +177,67 @@ def test_pairs_hidden_by_boilerplate(spark, monkeypatch):
         rows += [(2 * g + k, " ".join(same + shared + new(21))) for k in range(2)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("side", [512, 40])
+def test_mutants_of_one_text(spark, monkeypatch, side):
+    """Each text has four words of 200 replaced, so some pairs are links, and all stand in large buckets; blocks of any side."""
+    monkeypatch.setattr(minhash, "SIDE", side)
+    rng, base, rows = random.Random(12), [f"b{k}" for k in range(200)], []
+    for i in range(900):
+        words = list(base)
+        for k in rng.sample(range(200), 4):
+            words[k] = f"new{rng.random()}"
+        rows.append((i, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows of one id, or of none, are told apart by their texts; copies of one row stay one by one in the result."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, text)] * 40 + [(None, text + " more")] * 40 + [(7, " ".join(f"v{k}" for k in range(60)))] * 3 + [(None, f"alone {k}") for k in range(50)] + [(1, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(docs, 4, 80).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(7, 1, False), (None, 1, False), (7, 7, True), (None, None, True), (1, 1, True)}
+    assert sorted((str(r.doc_id), r.text[:5]) for r in minhash.one_of_each(docs, 4, 80).collect()) == sorted([("1", "w0 w1"), ("7", "v0 v1"), *(("None", "alone") for _ in range(50))])
+
+
+def test_bit_maps_never_rule_out_links():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 3000):
+        for shared in range(0, n + 1, max(1, n // 20)):
+            pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+            x, y = np.unique(pool[:n]), np.unique(pool[n - shared : 2 * n - shared])
+            held, size = np.array([minhash.bit_map(x), minhash.bit_map(y)]), np.array([len(x), len(y)])
+            near = minhash._may_be_near(size, held, np.bitwise_count(held).sum(1, dtype=np.int64), np.array([0]), np.array([1]), 80)[0, 0]
+            both = len(np.intersect1d(x, y))
+            assert near or 100 * both < 80 * (len(x) + len(y) - both)
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeats_of_common_passages(spark, monkeypatch, hot):
+    """A line and a passage that most documents share, whole and in part; a fingerprint of many positions, or of few."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng = random.Random(21)
+    line, passage, rows = prose(rng, 30), prose(rng, 120), []
+    for i in range(80):
+        words = prose(rng, rng.randint(0, 70))
+        for piece in rng.sample([line, passage, passage[: rng.randint(30, 110)], passage[rng.randint(5, 60) :]], rng.randint(0, 3)):
+            at = rng.randint(0, len(words))
+            words[at:at] = piece
+        rows.append((i, " ".join(words)))
+    rows += [(90, " ".join(prose(rng, 20) * 300))]  # long, and repeats itself
+    again = [rows[0], rows[0], rows[40], rows[90 - 10]]  # repeated rows, which are one document each
+    got = {r.doc_id: r for r in linededup.deduplicated(spark.createDataFrame(rows + again, "doc_id long, text string").repartition(4), report=True).collect()}
+    assert {i: WORD.findall(r.text) for i, r in got.items()} == removed(rows, 50)
+
+
+def test_fingerprints_of_a_text_longer_than_a_stretch(monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(prose(rng, 900)).encode()
+    want = linededup.Batch([text]).windows(50, 25)
+    monkeypatch.setattr(linededup, "STRETCH", 64)
+    got = linededup.Batch([text]).windows(50, 25)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and ((got[1] >= got[0]) & (got[1] <= got[0] + 25)).all()
