@@ -6,49 +6,73 @@ hidden in U, and where it falls below zero (the model then fits U's toxic texts
 it. Features are the presence of words and word beginnings; those whose share in P exceeds their share in U by a
 clear margin take part. Labels, language, source and ids are no features.
 
-P and U are bounded samples (MOST_POSITIVE, MOST_UNLABELLED: documented bounds, least hash of the id first); the prior
-is a count over all labels that may be learnt from. U is text whose labels, if any, are not looked at.
+P is a bounded sample of labelled documents (MOST_POSITIVE: a documented bound, least hash of the id first), where near copies
+(texts that agree in their three least hashed shingles of five words) count once. U is every document that may be learnt
+from; its labels, if any, are not looked at. What training needs of U is exact and small: how many documents have each
+candidate feature, and how many have each set of the chosen ones. Risk and gradient are sums over those sets, taken on the
+driver if there are at most MOST_SETS of them, else by a pass over their table for each step. The prior is a count over all
+labels that may be learnt from.
 
 Cases: null and empty texts have no features and score as the intercept says; texts of any length count each word once;
-repeated rows score alike; with no positive example every text scores 0; an empty table gives an empty result.
+repeated rows score alike; null ids are in U; with no positive example every text scores 0; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import zlib
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, crc_mod, least_hashed, read, text_scores
+from .common import BoundedCache, crc_mod, discard, least_hashed, read, text_scores, written
+from .shingles import shingle_hashes
 
-#: Bounds of the training samples (documents).
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
+#: Bound of the labelled sample (documents), and of the candidate features it gives (the most frequent ones).
+MOST_POSITIVE, MOST_CANDIDATES = 4000, 1 << 16
+#: Feature sets that are summed up on the driver (more of them are summed up by Spark).
+MOST_SETS = 1 << 18
 #: Beginnings of words that count as features, in characters.
 BEGINNINGS = (4, 5, 6)
-#: A feature takes part if its share in P exceeds that in U by so many standard errors and it is in so many documents.
+#: A feature takes part if its share in P exceeds that in U by so many standard errors and it is in so many texts of P.
 MARGIN, LEAST_DOCS = 4.5, 5
 
-
-def words_of(text: str | None) -> set[str]:
-    import regex
-
-    global _letters
-    try:
-        letters = _letters
-    except NameError:
-        letters = _letters = regex.compile(r"[^\W\d_]+")
-    return set(letters.findall(text.lower())) if text else set()
+_letters = re.compile(r"[^\W\d_]+")
 
 
 def features_of_word(word: str) -> tuple[str, ...]:
     return (f"{word} ", *(word[:n] for n in BEGINNINGS if len(word) >= n))
 
 
+def features_of_token(token: str) -> set[str]:
+    """Of the words in it; white space parts words, so a text's features are those of its tokens."""
+    return {f for w in _letters.findall(token) for f in features_of_word(w)}
+
+
+def tokens_of(text: str | None) -> set[str]:
+    return set(text.lower().split()) if text else set()
+
+
 def features_of(text: str | None) -> set[str]:
-    return {f for w in words_of(text) for f in features_of_word(w)}
+    return {f for t in tokens_of(text) for f in features_of_token(t)}
+
+
+class Present:
+    """Which of the given features a text has, as ascending numbers."""
+
+    def __init__(self, names: list[str]):
+        number = {f: k for k, f in enumerate(names)}
+        self.of = BoundedCache(lambda t: tuple(number[f] for f in features_of_token(t) if f in number))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found: set[int] = set()
+        for ks in map(self.of.__getitem__, tokens_of(text)):
+            if ks:
+                found.update(ks)
+        return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
 class Toxicity:
@@ -56,40 +80,58 @@ class Toxicity:
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._cache = None
+        self._present = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": None}
+        return self.__dict__ | {"_present": None}
 
     def score(self, texts: list[str | None]) -> list[float]:
-        if self._cache is None:
-            known = self.weights
-            self._cache = BoundedCache(lambda w: tuple(f for f in features_of_word(w) if f in known))
-        out = []
-        for t in texts:
-            found = {f for fs in map(self._cache.__getitem__, words_of(t)) for f in fs}
-            z = self.bias + sum(self.weights[f] for f in sorted(found))
-            out.append(float(1 / (1 + np.exp(-min(max(z, -500), 500)))))
-        return out
+        if self._present is None:
+            names = sorted(self.weights)
+            self._present, self._w = Present(names), np.array([self.weights[f] for f in names])
+        z = [self.bias + float(self._w[self._present(t)].sum()) for t in texts]
+        return [float(1 / (1 + np.exp(-min(max(x, -500), 500)))) for x in z]
+
+
+#: Sets of features, one after the other, with the number of texts that have each: (numbers, first of each set, texts).
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def sets_of(rows: list[bytes], many: np.ndarray) -> Sets:
+    size = np.array([len(r) // 4 for r in rows], np.int64)
+    return np.frombuffer(b"".join(rows), np.uint32).astype(np.int64), np.concatenate([[0], np.cumsum(size)]), np.asarray(many, float)
+
+
+def logits(sets: Sets, w: np.ndarray, b: float) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(w[sets[0]])])
+    return b + total[sets[1][1:]] - total[sets[1][:-1]]
+
+
+def pull(sets: Sets, d: np.ndarray, width: int) -> np.ndarray:
+    """The sum over sets of d at each of their features, and of d, as one vector of width + 1."""
+    return np.append(np.bincount(sets[0], np.repeat(d, np.diff(sets[1])), width), d.sum())
 
 
-def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3, slack: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model with logistic loss and the non-negative risk, by Adam on whole samples.
+def negative_sums(sets: Sets, w: np.ndarray, b: float) -> np.ndarray:
+    """Over all texts: loss of being called negative, then its gradient."""
+    z = logits(sets, w, b)
+    return np.append((sets[2] * np.logaddexp(0, z)).sum(), pull(sets, sets[2] / (1 + np.exp(-np.clip(z, -50, 50))), len(w)))
 
-    x: presence matrix of both samples; positive: which rows are P, the others are U."""
-    p, u = x[positive], x[~positive]
-    w, b = np.zeros(x.shape[1]), -1.0
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+
+def nnpu(positive: Sets, unlabelled: Callable[[np.ndarray, float], np.ndarray], n_unlabelled: int, width: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-5, slack: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear model with logistic loss and the non-negative risk, by Adam on all of both samples.
+
+    unlabelled: negative_sums() of U for weights and bias."""
+    n_p = positive[2].sum()
+    w, b = np.zeros(width), -1.0
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
-        zp, zu = p @ w + b, u @ w + b
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
-        risk_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = sp / len(p), su / len(u)  # of the loss of being called negative
-        if risk_negative >= -slack:
-            dp, du = prior * (sp - 1) / len(p) - prior * gp, gu
+        of_u, of_p = unlabelled(w, b) / n_unlabelled, negative_sums(positive, w, b) / n_p
+        if of_u[0] - prior * of_p[0] >= -slack:
+            # of c R_P(+) + R_U(-) - c R_P(-): the losses of P differ by the logit alone
+            g = of_u[1:] - prior * pull(positive, positive[2], width) / n_p
         else:
-            dp, du = prior * gp, -gu
-        g = np.append(p.T @ dp + u.T @ du, dp.sum() + du.sum())
+            g = prior * of_p[1:] - of_u[1:]
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -97,38 +139,33 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, r
     return w, float(b)
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float) -> Toxicity:
-    """From texts. Copies, near copies included, count once: texts alike in their two least hashed words are one."""
-    seen: set[tuple[bool, tuple[int, ...]]] = set()
-    sets: list[list[int]] = []
-    kinds: list[bool] = []
-    names: dict[str, int] = {}
-    for kind, texts in ((True, positive), (False, unlabelled)):
-        for t in texts:
-            found = features_of(t)
-            key = (kind, tuple(sorted(zlib.crc32(f.encode()) for f in found)[:2]))
-            if key not in seen:
-                seen.add(key)
-                sets.append([names.setdefault(f, len(names)) for f in sorted(found)])
-                kinds.append(kind)
-    kind = np.array(kinds, bool)
-    if not kind.any() or kind.all() or not 0 < prior < 1:
-        return Toxicity({}, -500.0 if not kind.any() or prior <= 0 else 0.0)
-    column = np.fromiter((f for s in sets for f in s), np.int64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    in_p, in_u = (np.bincount(column[kind[row] == k], minlength=len(names)) for k in (True, False))
-    n_p, n_u = kind.sum(), (~kind).sum()
-    share = (in_p + in_u) / (n_p + n_u)
-    margin = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-    chosen = (margin >= MARGIN) & (in_p + in_u >= LEAST_DOCS)
-    if not chosen.any():
-        chosen = margin >= np.sort(margin)[-min(len(margin), 20)]
-    place = np.cumsum(chosen) - 1
-    x = np.zeros((len(sets), int(chosen.sum())), np.float32)
-    hit = chosen[column]
-    x[row[hit], place[column[hit]]] = 1
-    w, b = nnpu(x, kind, prior)
-    return Toxicity({f: float(w[place[k]]) for f, k in names.items() if chosen[k]}, b)
+def numbered(texts: DataFrame, names: list[str], extra: str = "") -> DataFrame:
+    """features (bytes of ascending 32-bit numbers in names) of each row of texts: text, and the columns of extra."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = Present(names)
+        for b in batches:
+            found = pa.array([present(t).tobytes() for t in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([found, *b.columns[1:]], ["features", *b.schema.names[1:]])
+
+    return texts.mapInArrow(run, "features binary" + extra)
+
+
+def candidates(positive: DataFrame) -> tuple[list[str], DataFrame]:
+    """(features in LEAST_DOCS or more texts of P, in order; P as a table of key, text without near copies)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            key = [shingle_hashes((t or "").encode(), 5)[:3].tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(0), pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))], ["key", "text", "names"])
+
+    rows = positive.select("text").mapInArrow(keyed, "key binary, text string, names array<string>")
+    # of near copies the least text; a repeated id can bring many rows
+    rows = rows.groupBy("key").agg(F.min(F.struct("text", "names")).alias("r")).select("key", "r.text", "r.names")
+    rows = written(least_hashed(rows, MOST_POSITIVE, "key"), "positive")
+    many = rows.select(F.explode("names").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST_DOCS)
+    return sorted(r.f for r in many.orderBy(F.desc("count"), "f").limit(MOST_CANDIDATES).collect()), rows
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Toxicity:
@@ -136,14 +173,85 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
     allowed = F.lit(True) if may_learn is None else may_learn
     labels = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     n, toxic = labels.agg(F.count("*"), F.sum("y")).first()
+    prior = (toxic or 0) / n if n else 0.0
+    if not 0 < prior < 1:
+        return Toxicity({}, 0.0 if prior >= 1 else -500.0)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    p = least_hashed(labels.filter("y = 1").select("doc_id").distinct(), MOST_POSITIVE, "doc_id")
-    u = least_hashed(texts.filter(allowed).select("doc_id"), MOST_UNLABELLED, "doc_id").distinct()
-    ids = p.withColumn("p", F.lit(True)).unionByName(u.withColumn("p", F.lit(False)))
-    got = texts.join(F.broadcast(ids), "doc_id").select("p", "text", "doc_id").toArrow()  # bounded by the two samples
-    order = sorted(range(got.num_rows), key=lambda k: str(got["doc_id"][k].as_py()))
-    rows = list(zip(got["p"].to_pylist(), got["text"].to_pylist()))
-    return train([rows[k][1] for k in order if rows[k][0]], [rows[k][1] for k in order if not rows[k][0]], (toxic or 0) / n if n else 0.0)
+    ids = least_hashed(labels.filter("y = 1").select("doc_id").distinct(), MOST_POSITIVE, "doc_id")
+    names, positive = candidates(texts.join(F.broadcast(ids), "doc_id"))
+    if not names:
+        return Toxicity({}, -500.0)
+    rows = written(numbered(texts.filter(allowed).select("text"), names), "candidate-features")
+    p = numbered(positive.select("text", "key"), names, ", key binary").orderBy("key").toArrow()  # MOST_POSITIVE rows at most
+    in_p, in_u, n_p = np.zeros(len(names)), np.zeros(len(names)), p.num_rows
+    for x in p["features"]:
+        in_p[np.frombuffer(x.as_buffer(), np.uint32)] += 1
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, n = np.zeros(len(names), np.int64), 0
+        for b in batches:
+            many += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32), minlength=len(names))
+            n += b.num_rows
+        at = np.flatnonzero(many)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(many[at], n))], ["f", "n"])
+
+    for r in rows.mapInArrow(counted, "f long, n long").groupBy("f").agg(F.sum("n")).collect():  # a row for each candidate
+        if r[0] < 0:
+            n_u = r[1]
+        else:
+            in_u[r[0]] = r[1]
+    if not n_p or not n_u:
+        return Toxicity({}, -500.0)
+    share = (in_p + in_u) / (n_p + n_u)
+    margin = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
+    chosen = margin >= MARGIN
+    if not chosen.any():
+        chosen = margin >= np.sort(margin)[-min(len(margin), 20)]
+    place = np.where(chosen, np.cumsum(chosen) - 1, -1)
+    width = int(chosen.sum())
+
+    def of_chosen(x: bytes) -> bytes:
+        k = place[np.frombuffer(x, np.uint32)]
+        return k[k >= 0].astype(np.uint32).tobytes()
+
+    def grouped_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many: dict[bytes, int] = {}
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                k = of_chosen(x)
+                many[k] = many.get(k, 0) + 1
+            if len(many) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.binary()), pa.array(list(many.values()), pa.int64())], ["features", "n"])
+                many = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.binary()), pa.array(list(many.values()), pa.int64())], ["features", "n"])
+
+    of_u = written(rows.mapInArrow(grouped_sets, "features binary, n long").groupBy("features").agg(F.sum("n").alias("n")), "feature-sets", True)
+    discard(rows, positive)
+    one = sets_of([of_chosen(x) for x in p["features"].to_pylist()], np.ones(n_p))
+    w, b = nnpu(one, summed(of_u), n_u, width, prior)
+    return Toxicity({names[k]: float(w[place[k]]) for k in np.flatnonzero(chosen)}, b)
+
+
+def summed(sets: DataFrame) -> Callable[[np.ndarray, float], np.ndarray]:
+    """negative_sums() of a table of features, n: on the driver if its rows are few, else by a pass of Spark each time."""
+    if sets.limit(MOST_SETS + 1).count() <= MOST_SETS:
+        t = sets.orderBy("features").toArrow()
+        held = sets_of(t["features"].to_pylist(), t["n"].to_numpy())
+        return lambda w, b: negative_sums(held, w, b)
+
+    def of_spark(w: np.ndarray, b: float) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 2)
+            for x in batches:
+                total += negative_sums(sets_of(x.column(0).to_pylist(), x.column(1).to_numpy()), w, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "s"])
+
+        out = np.zeros(len(w) + 2)
+        for k, s in sets.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s")).collect():  # a row for each feature
+            out[k] = s
+        return out
+
+    return of_spark
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -115,15 +115,95 @@ def test_classifiers_take_odd_rows(spark, odd, labels, empty):
     assert quality.score(odd.limit(0), quality.learn(odd, table)).count() == 0
 
 
+def made_sets(rng, n=3000):
+    y = rng.random(n) < 0.2
+    x = rng.random((n, 5)) < np.where(y[:, None], [0.8, 0.7, 0.5, 0.5, 0.5], [0.02, 0.1, 0.5, 0.5, 0.5])
+    return y, x, [np.flatnonzero(r).astype(np.uint32).tobytes() for r in x]
+
+
 def test_nnpu_risk_stays_sane():
-    rng = np.random.default_rng(1)
-    y = rng.random(3000) < 0.2
-    x = (rng.random((3000, 5)) < np.where(y[:, None], [0.8, 0.7, 0.5, 0.5, 0.5], [0.02, 0.1, 0.5, 0.5, 0.5])).astype(np.float32)
-    use = np.concatenate([np.flatnonzero(y)[:200], np.arange(1000, 3000)])
-    w, b = toxicity.nnpu(x[use], np.arange(len(use)) < 200, 0.2)
+    y, x, rows = made_sets(np.random.default_rng(1))
+    p = toxicity.sets_of([rows[k] for k in np.flatnonzero(y)[:200]], np.ones(200))
+    u = toxicity.sets_of(rows[1000:], np.ones(2000))
+    w, b = toxicity.nnpu(p, lambda w, b: toxicity.negative_sums(u, w, b), 2000, 5, 0.2)
     assert np.mean(((x @ w + b) > 0) == y) > 0.9
 
 
+def test_sums_equal_brute_force_on_the_driver_and_by_spark(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    _, x, rows = made_sets(rng, 400)
+    many = rng.integers(1, 9, 400)
+    table = spark.createDataFrame([(bytes(r), int(n)) for r, n in zip(rows, many)], "features binary, n long").repartition(3)
+    w, b = rng.standard_normal(5), -0.3
+    z = x @ w + b
+    want = [(many * np.log1p(np.exp(z))).sum(), *((many / (1 + np.exp(-z)))[:, None] * x).sum(0), (many / (1 + np.exp(-z))).sum()]
+    assert np.allclose(toxicity.summed(table)(w, b), want)
+    monkeypatch.setattr(toxicity, "MOST_SETS", 10)
+    assert np.allclose(toxicity.summed(table)(w, b), want)
+
+
+def test_all_texts_train_and_copies_count_once(spark):
+    """Distinct texts that share common words are all examples; a copied one, whole or nearly, is one."""
+    rng = random.Random(8)
+    common = [f"common{chr(97 + k)}" for k in range(20)]
+    rows = [(i, " ".join(rng.sample(common, 15) + [f"own{chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(3)])) for i in range(200)]
+    rows += [(i, rows[0][1]) for i in range(200, 260)] + [(i, rows[1][1] + " tail") for i in range(260, 300)] + [(300, rows[2][1])] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names, kept = toxicity.candidates(docs)
+    assert 200 <= kept.count() <= 202 and set(names) >= {f"{w} " for w in common}
+
+
+def test_surest_documents_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (300, quality.WORDS + quality.SHAPES + 2)).astype(np.uint8)
+    b = np.column_stack([rng.integers(0, quality.CATEGORIES, (300, 2)), rng.integers(0, 256, (300, 8))]).astype(np.uint8)
+    a[200:], b[200:] = a[:100], b[:100]  # copies
+    pool = spark.createDataFrame([(x.tobytes(), y.tobytes()) for x, y in zip(a, b)], "a binary, b binary").repartition(5)
+    weights = [rng.standard_normal(quality.WORDS + quality.SHAPES + 3) * 3, rng.standard_normal(2 * quality.CATEGORIES + 9) * 3]
+    surest = quality.surest_of(pool, 2)
+    z = [quality.raw(quality.text_matrix(list(a[:200])), weights[0]), quality.raw(quality.meta_matrix(list(b[:200]), 2), weights[1])]
+    first = surest(weights, [set(), set()], (7, 9))
+    for v in (0, 1):
+        for label, n in ((0, 7), (1, 9)):
+            s = z[v] if label else -z[v]
+            order = [k for k in np.argsort(-s) if s[k] > 2][:n]
+            assert {r[1:] for r in first[v][label]} == {(a[k].tobytes(), b[k].tobytes()) for k in order}
+    taken = [{r[0] for label in (0, 1) for r in first[v][label]} for v in (0, 1)]
+    again = surest(weights, taken, (7, 9))
+    assert all(r[0] not in taken[v] for v in (0, 1) for label in (0, 1) for r in again[v][label])
+
+
+def test_pseudo_labels_cross_views():
+    """Labels show the text view alone what to learn; the metadata view learns it from what the text view is sure of."""
+    rng = np.random.default_rng(6)
+    n, width = 400, quality.WORDS + quality.SHAPES + 2
+    y = (rng.random(n) < 0.5).astype(float)
+    a = np.zeros((n, width), np.float32)
+    a[:, 0], a[:, 1] = y, 1 - y
+    b = np.zeros((n, 2 * quality.CATEGORIES + 8), np.float32)  # labelled documents have no metadata that says anything
+    seen = []
+
+    def surest(weights, taken, asked):
+        seen.append([len(t) for t in taken])
+        out = []
+        for v in (0, 1):
+            sides = []
+            for label in (0, 1):
+                views = []
+                for k in range(asked[label] if v == 0 and len(seen) == 1 else 0):
+                    x, m = np.zeros(width, np.uint8), np.zeros(10, np.uint8)
+                    x[0 if label else 1], m[0] = 255, 5 if label else 9
+                    views.append((bytes([label, k % 256, k // 256]), x.tobytes(), m.tobytes()))
+                sides.append(views)
+            out.append(tuple(sides))
+        return out
+
+    model = quality.co_train(a, b, y, surest, 2, np.arange(n) % 5 == 0)
+    text, meta = model.parts[0], model.parts[1]
+    assert seen[1][0] > 100 and seen[1][1] == 0  # taken by view 0 for view 1
+    assert text[0] > 1 > -1 > text[1] and meta[5] > 1 and meta[9] < -1
+
+
 def test_pipeline_stages(spark, odd, labels, tmp_path):
     import corpus_pipeline
 
