@@ -8,7 +8,8 @@ archives of the attempts that count, so retried or lost attempts leave only unre
 Reading. The data source takes the manifest, cuts every archive into byte ranges and gives each range to a partition. A
 partition reads the archive's own directory, takes the members whose headers begin inside its range, and yields Arrow
 batches bounded in bytes. A member that can't be read or whose checksum is wrong is read again by its offset, alone; when
-that fails too, the row carries the error or the read stops, as asked.
+that fails too, the row carries the error or the read stops, as asked. An archive whose directory can't be read is one row
+with the error and no id.
 
 Cases: null text counts as empty (64 zero bytes); equal texts give equal media, so equal values; null ids and repeated
 rows are members of their own; an empty table gives an empty result; only the id and the text are read.
@@ -154,12 +155,19 @@ class ArchiveReader(DataSourceReader):
         path = f"{root}/{part.archive}"
         rows: list[tuple] = []
         size = 0
-        for entry in again(lambda: directory(fs, path), self.tries):
+        try:
+            entries = again(lambda: directory(fs, path), self.tries)
+        except OSError as e:
+            if self.stop:
+                raise OSError(f"{path}, directory: {e}") from e
+            # its members are unknown: one row for the archive, from its first range
+            entries, rows = [], [(None, None, None, None, f"{part.archive}, directory: {e}")] if part.start == 0 else []
+        for entry in entries:
             if not part.start <= entry.header_offset < part.end:
                 continue
             try:
                 row = again(lambda e=entry: member(fs, path, e), self.tries)
-            except (OSError, ValueError, zlib.error) as e:
+            except OSError as e:
                 if self.stop:
                     raise OSError(f"{path}, offset {entry.header_offset}: {e}") from e
                 row = (json.loads(entry.comment), None, None, None, str(e))
@@ -185,7 +193,7 @@ def again(f, tries: int):
     for k in range(tries):
         try:
             return f()
-        except (OSError, ValueError, zlib.error, zipfile.BadZipFile) as e:
+        except (OSError, ValueError, EOFError, struct.error, zlib.error, zipfile.BadZipFile) as e:
             if k + 1 == tries:
                 raise OSError(str(e)) from e
             time.sleep(0.1 * 2**k)
@@ -217,7 +225,7 @@ def member(fs, path: str, entry: zipfile.ZipInfo) -> tuple:
             raise ValueError("checksum of the member")
         payload, n_bytes = from_png(media)
         return json.loads(entry.comment), n_bytes, payload, media, None
-    except (OSError, ValueError, zlib.error):
+    except (OSError, ValueError, EOFError, struct.error, zlib.error):
         _open.clear()
         raise
 

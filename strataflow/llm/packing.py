@@ -24,8 +24,8 @@ from . import bpe
 from .common import read, written
 
 CAPACITY, END_ID = 1024, 2
-#: Parts of one length that are ranked apart; rows of one length can be most of the input.
-RANK_BUCKETS = 128
+#: Rows of one length that are ranked together; rows of one length can be most of the input.
+RANKED = 1 << 16
 #: Two-length patterns may leave so many tokens free; three-length patterns fill the sequence.
 SLACK = 8
 #: Texts over so many characters go through the streaming encoder.
@@ -105,11 +105,12 @@ def triples(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate([*out, np.stack([a[ok], b[ok], c[ok]], 1)])
 
 
-def fit(found: np.ndarray, counts: np.ndarray, rounds: int = 30, width: int = 96) -> np.ndarray:
+def fit(found: np.ndarray, counts: np.ndarray, rounds: int = 1000, width: int = 96) -> np.ndarray:
     """Repeat counts x >= 0 of the patterns, of least squared distance between what they use and counts.
 
     An active-set method: patterns that the residual asks for most, with lengths apart, become free together; those
-    that the least-squares solution over the free ones makes negative leave again."""
+    that the least-squares solution over the free ones makes negative leave again. It ends when no pattern that isn't free
+    has a gradient over half a document (the free ones have none), which is the condition of the optimum."""
     x, free = np.zeros(len(found)), np.zeros(len(found), bool)
     if not len(found):
         return x
@@ -222,12 +223,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     full = pieces.filter(F.col("length") == capacity)
     full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = pieces.filter(F.col("length") < capacity)
-    rest = rest.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
+    parts = [max(1, -(-histogram.get(n, 0) // RANKED)) for n in range(capacity + 1)]
+    rest = rest.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(F.lit(parts), F.col("length").cast("int"))).cast("int"))
     counts = rest.groupBy("length", "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    if sum(parts) <= 1 << 20:  # a row for each part
+        counts = F.broadcast(counts)
     order = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "ids_crc32", "start")
-    rest = rest.withColumn("__r", F.row_number().over(order)).join(F.broadcast(counts), ["length", "__b"])  # at most capacity x RANK_BUCKETS rows
+    rest = rest.withColumn("__r", F.row_number().over(order)).join(counts, ["length", "__b"])
     rest = rest.withColumn("rank", F.col("__s") + F.col("__r") - 1).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     keys = (where["length"] << 44) + where["lo"]
 

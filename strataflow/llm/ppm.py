@@ -6,13 +6,15 @@ A byte is coded in its longest known context: p = (2c - 1) / 2n, with escape d /
 bytes, n: their count), where bytes of longer contexts are excluded from c's competitors; after order 0 the bytes never
 seen share what is left. Training is in one pass over all training texts; the model is then fixed (pretrained).
 
-Words are told apart by 64-bit hashes. Nothing grows with the corpus on one machine: counts are grouped by key, code lengths are worked out apart for each
-two-byte context ending (only orders 0 and 1, at most 65,792 counts, are broadcast), and a block of documents (a partition
-of the scan) gets just the code lengths and word counts that occur in it, by a co-group.
+Words are told apart by 64-bit hashes. Nothing grows with the corpus on one machine: counts are grouped by key, code lengths
+are worked out apart for each three-byte context ending (only orders 0 to 2, at most 16,843,008 counts, go to every task),
+and a block of documents (BLOCK rows of a partition) gets just the code lengths and word counts that occur in it, by a
+co-group.
 
 Cases: null and empty texts are the end alone; very long texts count whole; repeated rows score alike; without any training
 text all bytes are equally likely and every token is unknown; other columns are ignored; an empty table gives an empty
-result. The rows must come from files or another source that deals them the same way twice.
+result. A block must hold the same rows each time it is read. Rows that don't come from files as they are get written
+first; should a block meet another one's table all the same, its unknown bytes or words stop the query.
 """
 
 from __future__ import annotations
@@ -30,8 +32,12 @@ from .shingles import word_spans
 ORDER, END = 5, 10
 #: Bytes of a context and the byte after it, the last in the low bits.
 _GRAM = (1 << 8 * (ORDER + 1)) - 1
-#: Text bytes whose grams are sorted at a time.
+#: Text bytes whose grams are sorted at a time; rows of a block; grams whose code lengths are worked out at a time.
 _STRETCH = 1 << 20
+BLOCK = 1 << 13
+_GRAMS = 1 << 18
+#: Bytes of a context's ending that tasks are dealt by; the orders below are held by every task.
+_ENDING = 3
 
 
 def coded(text: str | None) -> bytes:
@@ -96,31 +102,41 @@ def stretches(texts: list[str | None]) -> Iterator[list[bytes]]:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """Of docs with text, train, block, one block a partition: block, word, key, n.
+    """Of docs with text, train, block (ascending in a partition): block, word, key, n.
 
     key: of a word its hash (0: the end), else a gram; n: how often in training."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: tuple[list, list] = ([], [])  # of grams, of words
-        block = 0
-        for b in batches:
-            train = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
-            for use in (False, True):
-                for texts in stretches(b.column(0).filter(pa.array(train == use)).to_pylist()):
-                    for k, values in enumerate((grams_of(texts), tokens_of(texts)[0])):
-                        key, n = _counted(values)
-                        parts[k].append((key, n if use else np.zeros(len(n), np.int64)))
-                        if len(parts[k]) >= 16:
-                            parts[k][:] = [_added(parts[k])]
-            block = b.column(2)[0].as_py() if b.num_rows else block
+    def table(block: int, parts: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         for k, part in enumerate(parts):
             if part:
                 key, n = _added(part)
                 for at in range(0, len(key), 200_000):
                     m = len(key[at : at + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int32)), pa.array(np.full(m, bool(k))), pa.array(key[at : at + m]), pa.array(n[at : at + m])], ["block", "word", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block, np.int64)), pa.array(np.full(m, bool(k))), pa.array(key[at : at + m]), pa.array(n[at : at + m])], ["block", "word", "key", "n"])
 
-    return docs.select("text", "train", "block").mapInArrow(run, "block int, word boolean, key long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: tuple[list, list] = ([], [])  # of grams, of words
+        block = None
+        for whole in batches:
+            blocks = whole.column(2).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
+            for x, y in zip(cut[:-1], cut[1:]):
+                if block is not None and block != blocks[x]:
+                    yield from table(block, parts)
+                    parts = ([], [])
+                block, b = int(blocks[x]), whole.slice(x, y - x)
+                train = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+                for use in (False, True):
+                    for texts in stretches(b.column(0).filter(pa.array(train == use)).to_pylist()):
+                        for k, values in enumerate((grams_of(texts), tokens_of(texts)[0])):
+                            key, n = _counted(values)
+                            parts[k].append((key, n if use else np.zeros(len(n), np.int64)))
+                            if len(parts[k]) >= 16:
+                                parts[k][:] = [_added(parts[k])]
+        if block is not None:
+            yield from table(block, parts)
+
+    return docs.select("text", "train", "block").mapInArrow(run, "block long, word boolean, key long, n long")
 
 
 def _level(gram: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,16 +187,36 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, low: dict[int, tuple[np.ndarra
 def model(grams: DataFrame) -> DataFrame:
     """key, value: the log10 probability of each gram of key, n (sums of training counts, one row a gram)."""
     low = {}
-    for j in (0, 1):  # at most 256 and 65,536 rows
-        rows = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
-        low[j] = (rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    for j in range(_ENDING):  # at most 256, 65,536 and 16,777,216 rows
+        rows = grams.filter("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+        order = np.argsort(rows["pair"].to_numpy())
+        low[j] = (rows["pair"].to_numpy()[order], rows["n"].to_numpy()[order])
 
-    def run(group: pa.Table) -> pa.Table:
-        key, n = group["key"].to_numpy(), group["n"].to_numpy()
-        return pa.table({"key": key, "value": code_lengths(key, n, low)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # whole endings, then those of the last one so far
+        have = 0
+
+        def done(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(code_lengths(key, n, low))], ["key", "value"])
 
-    ending = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    return grams.groupBy(ending.alias("ending")).applyInArrow(run, "key long, value double")
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            have += b.num_rows
+            if have < _GRAMS:
+                continue
+            key, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            ending = key >> 8 & ((1 << 8 * _ENDING) - 1)
+            cut = int(np.argmax(ending == ending[-1]))  # equal endings stand together
+            if cut:
+                yield done(key[:cut], n[:cut])
+            held, have = [(key[cut:], n[cut:])], len(key) - cut if cut else 0
+        if held:
+            yield done(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+
+    ending = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _ENDING) - 1))
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = grams.select("key", "n", ending.alias("ending")).repartition(parts, "ending").sortWithinPartitions("ending")
+    return rows.select("key", "n").mapInArrow(run, "key long, value double")
 
 
 def bundled(rows: DataFrame) -> DataFrame:
@@ -196,9 +232,9 @@ def bundled(rows: DataFrame) -> DataFrame:
             if len(group):
                 first = group[cut[:-1]]
                 bundle = [pa.array([x[a:z].tobytes() for a, z in zip(cut[:-1], cut[1:])], pa.binary()) for x in (key, value)]
-                yield pa.RecordBatch.from_arrays([pa.array((first >> 1).astype(np.int32)), pa.array((first & 1).astype(bool)), *bundle], ["block", "word", "keys", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array(first >> 1), pa.array((first & 1).astype(bool)), *bundle], ["block", "word", "keys", "values"])
 
-    return rows.select("block", "word", "key", "value").mapInArrow(run, "block int, word boolean, keys binary, values binary")
+    return rows.select("block", "word", "key", "value").mapInArrow(run, "block long, word boolean, keys binary, values binary")
 
 
 class Lookup:
@@ -220,14 +256,22 @@ class Lookup:
         out = self.value[at]
         other = np.flatnonzero(self.key[at] != gram)
         if len(other):
-            out[other] = self.code[np.searchsorted(self.gram, gram[other])]
+            place = np.minimum(np.searchsorted(self.gram, gram[other]), len(self.gram) - 1)
+            if not len(self.gram) or (self.gram[place] != gram[other]).any():
+                raise ValueError("a block has rows that its table wasn't made from")
+            out[other] = self.code[place]
         return out
 
 
-def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learning from rows that aren't held out."""
+def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", settled: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learning from rows that aren't held out.
+
+    settled: docs are read from files as they are, so a partition has the same rows each time; else they are written first."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out")).withColumn("block", F.spark_partition_id())
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
+    docs = docs if settled else written(docs, "ppm-docs")
+    # partition and row number, so a block is BLOCK rows of one partition
+    docs = docs.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK).cast("long"))
     rows = written(counts(docs.select("text", (~F.col("held_out")).alias("train"), "block")), "ppm-counts")
     totals = written(rows.groupBy("word", "key").agg(F.sum("n").alias("n")), "ppm-totals")
     total, distinct = totals.filter("word and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -262,4 +306,4 @@ def scores(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str =
 def op4_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model of six sevenths of them."""
     docs = read(spark, sf_dir, "documents")
-    return scores(docs, crc_mod(F.col("doc_id"), 7) == 2)
+    return scores(docs, crc_mod(F.col("doc_id"), 7) == 2, settled=True)

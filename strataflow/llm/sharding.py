@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, read, written
 
-#: Blocks of one shard. The driver holds shards x BLOCKS totals, whatever the input.
-BLOCKS = 1024
+#: Blocks of one shard, or more of them, so that one has about DOCS_A_BLOCK documents at most. The driver holds a total a
+#: block: shards x BLOCKS numbers up to 10^9 documents, one for each 131,072 documents beyond.
+BLOCKS, DOCS_A_BLOCK = 1024, 1 << 20
 #: Size classes of the second flow: documents of one class are within 64 bytes, larger ones share the last.
 CLASSES = 64
 
@@ -119,11 +120,13 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: Seq
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
     slim = written(slim.withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")), "reshard-docs")
-    if slim.isEmpty():
+    total = slim.count()
+    blocks = max(BLOCKS, -(-total // DOCS_A_BLOCK))
+    if not total:
         return slim.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(False).alias("moved"))
-    hashed = F.pmod("key", F.lit(BLOCKS)).cast("int")
+    hashed = F.pmod("key", F.lit(blocks)).cast("int")
     first = written(_flowed(slim, "old_shard", hashed, "__first", capacities, shards), "reshard-flow")
-    bySize = (F.least(F.floor(F.col("size") / 64), F.lit(CLASSES - 1)) * CLASSES + F.pmod("key", F.lit(CLASSES))).cast("int")
+    bySize = (F.least(F.floor(F.col("size") / 64), F.lit(CLASSES - 1)) * blocks + F.pmod("key", F.lit(max(CLASSES, blocks // CLASSES)))).cast("int")
     done = written(_flowed(first, "__first", bySize, "shard", capacities, shards), "reshard-even")
     done = done.withColumn("__b", hashed)
     counts = done.groupBy("shard", "__b").agg(F.count("*").alias("n")).collect()  # at most shards x blocks

@@ -7,7 +7,7 @@ it. Features are the presence of words and word beginnings; those whose share in
 clear margin take part. Labels, language, source and ids are no features.
 
 P is a bounded sample of labelled documents (MOST_POSITIVE: a documented bound, least hash of the id first), where near copies
-(texts that agree in their three least hashed shingles of five words) count once. U is every document that may be learnt
+(texts that agree in one of BANDS bands of three minima over their shingles of five words) count once. U is every document that may be learnt
 from; its labels, if any, are not looked at. What training needs of U is exact and small: how many documents have each
 candidate feature, and how many have each set of the chosen ones. Risk and gradient are sums over those sets, taken on the
 driver if there are at most MOST_SETS of them, else by a pass over their table for each step. The prior is a count over all
@@ -20,6 +20,7 @@ result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, crc_mod, discard, least_hashed, read, text_scores, written
+from .common import crc_mod, discard, least_hashed, read, text_scores, written
 from .shingles import shingle_hashes
 
 #: Bound of the labelled sample (documents), and of the candidate features it gives (the most frequent ones).
 MOST_POSITIVE, MOST_CANDIDATES = 4000, 1 << 16
+#: Bands by which near copies among them are told.
+BANDS = 12
 #: Feature sets that are summed up on the driver (more of them are summed up by Spark).
 MOST_SETS = 1 << 18
 #: Beginnings of words that count as features, in characters.
@@ -47,31 +50,40 @@ def features_of_word(word: str) -> tuple[str, ...]:
     return (f"{word} ", *(word[:n] for n in BEGINNINGS if len(word) >= n))
 
 
-def features_of_token(token: str) -> set[str]:
-    """Of the words in it; white space parts words, so a text's features are those of its tokens."""
-    return {f for w in _letters.findall(token) for f in features_of_word(w)}
-
-
-def tokens_of(text: str | None) -> set[str]:
-    return set(text.lower().split()) if text else set()
+def words_of(text: str | None) -> Iterator[str]:
+    """The runs of letters, some of them more than once; white space parts words, so each of a text's tokens is split once."""
+    for t in set(text.lower().split()) if text else ():
+        if t.isalpha():
+            yield t
+        else:
+            yield from _letters.findall(t)
 
 
 def features_of(text: str | None) -> set[str]:
-    return {f for t in tokens_of(text) for f in features_of_token(t)}
+    return {f for w in words_of(text) for f in features_of_word(w)}
 
 
 class Present:
     """Which of the given features a text has, as ascending numbers."""
 
     def __init__(self, names: list[str]):
-        number = {f: k for k, f in enumerate(names)}
-        self.of = BoundedCache(lambda t: tuple(number[f] for f in features_of_token(t) if f in number))
+        self.number = {f: k for k, f in enumerate(names)}
+        least = min(BEGINNINGS)
+        # a word and its features begin alike
+        self.heads, self.least = {f.rstrip(" ")[:least] for f in names}, least
 
     def __call__(self, text: str | None) -> np.ndarray:
         found: set[int] = set()
-        for ks in map(self.of.__getitem__, tokens_of(text)):
-            if ks:
-                found.update(ks)
+        heads, least, get, add = self.heads, self.least, self.number.get, found.add
+        for w in words_of(text):
+            if w[:least] in heads:
+                add(get(w + " ", -1))
+                size = len(w)
+                for n in BEGINNINGS:
+                    if size < n:
+                        break
+                    add(get(w[:n], -1))
+        found.discard(-1)
         return np.sort(np.fromiter(found, np.uint32, len(found)))
 
 
@@ -151,21 +163,54 @@ def numbered(texts: DataFrame, names: list[str], extra: str = "") -> DataFrame:
     return texts.mapInArrow(run, "features binary" + extra)
 
 
+_steps = np.random.default_rng(41).integers(0, 1 << 62, BANDS * 3, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None) -> list[int]:
+    """BANDS numbers: texts of which five-word shingles are mostly the same agree in some of them."""
+    s = shingle_hashes((text or "").encode(), 5)
+    if not len(s):
+        return []
+    least = np.full(len(_steps), np.iinfo(np.uint64).max)
+    for k in range(0, len(s), 4096):
+        np.minimum(least, (s[k : k + 4096, None] * _steps).min(0), out=least)
+    return (least.reshape(BANDS, 3) * _steps[:3]).sum(1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def apart(sketches: list[list[int]]) -> list[int]:
+    """The first of each group of texts that agree in a band."""
+    first, up = {}, list(range(len(sketches)))
+
+    def find(k: int) -> int:
+        while up[k] != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    for k, bands in enumerate(sketches):
+        for band, x in enumerate(bands):
+            a, b = find(first.setdefault((band, x), k)), find(k)
+            up[max(a, b)] = min(a, b)
+    return [k for k in range(len(sketches)) if find(k) == k]
+
+
 def candidates(positive: DataFrame) -> tuple[list[str], DataFrame]:
     """(features in LEAST_DOCS or more texts of P, in order; P as a table of key, text without near copies)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            key = [shingle_hashes((t or "").encode(), 5)[:3].tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(0), pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))], ["key", "text", "names"])
-
-    rows = positive.select("text").mapInArrow(keyed, "key binary, text string, names array<string>")
-    # of near copies the least text; a repeated id can bring many rows
-    rows = rows.groupBy("key").agg(F.min(F.struct("text", "names")).alias("r")).select("key", "r.text", "r.names")
-    rows = written(least_hashed(rows, MOST_POSITIVE, "key"), "positive")
+            key = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+            names = pa.array([sorted(features_of(t)) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(0), pa.array(list(map(sketch, texts)), pa.list_(pa.int64())), names], ["key", "text", "bands", "names"])
+
+    rows = positive.select("text").mapInArrow(keyed, "key binary, text string, bands array<long>, names array<string>")
+    # copies are one; a repeated id can bring many rows
+    rows = written(least_hashed(rows.dropDuplicates(["key"]), MOST_POSITIVE, "key"), "positive")
+    known = rows.select("key", "bands").orderBy("key").collect()  # MOST_POSITIVE rows at most
+    keys = [(bytes(known[k].key),) for k in apart([list(r.bands) for r in known])]
+    rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(keys, "key binary")), "key")
     many = rows.select(F.explode("names").alias("f")).groupBy("f").count().filter(F.col("count") >= LEAST_DOCS)
-    return sorted(r.f for r in many.orderBy(F.desc("count"), "f").limit(MOST_CANDIDATES).collect()), rows
+    return sorted(r.f for r in many.orderBy(F.desc("count"), "f").limit(MOST_CANDIDATES).collect()), rows.select("key", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, label: str = "toxic", text: str = "text", doc_id: str = "doc_id") -> Toxicity:
@@ -226,7 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, l
         yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.binary()), pa.array(list(many.values()), pa.int64())], ["features", "n"])
 
     of_u = written(rows.mapInArrow(grouped_sets, "features binary, n long").groupBy("features").agg(F.sum("n").alias("n")), "feature-sets", True)
-    discard(rows, positive)
+    discard(rows)
     one = sets_of([of_chosen(x) for x in p["features"].to_pylist()], np.ones(n_p))
     w, b = nnpu(one, summed(of_u), n_u, width, prior)
     return Toxicity({names[k]: float(w[place[k]]) for k in np.flatnonzero(chosen)}, b)

@@ -55,6 +55,22 @@ def test_ppm_equals_plain_implementation(spark, odd):
     assert {r.train_tokens for r in got} == {n}
 
 
+def test_ppm_blocks_and_deals_give_one_result(spark, odd, monkeypatch):
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+    want = key(ppm.scores(odd, held))
+    monkeypatch.setattr(ppm, "BLOCK", 2)
+    monkeypatch.setattr(ppm, "_GRAMS", 50)
+    assert key(ppm.scores(odd.repartition(3, "text"), held)) == want
+
+
+def test_ppm_lookup_refuses_what_it_does_not_know():
+    known = np.array([3, 9, 27], np.int64)
+    assert ppm.Lookup(known, np.array([1.0, 2.0, 3.0]))(np.array([27, 3])).tolist() == [3.0, 1.0]
+    with pytest.raises(ValueError):
+        ppm.Lookup(known, np.array([1.0, 2.0, 3.0]))(np.array([3, 4]))
+
+
 def test_ppm_probabilities_sum_to_one():
     texts = [b"the cat sat on the mat \n", b"a cat and the hat \n"]
     key, n = ppm._counted(ppm.grams_of(texts))

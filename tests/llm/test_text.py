@@ -103,6 +103,29 @@ def test_media(spark, odd, tmp_path):
     assert media.read_archives(spark, f"{folder}-0", empty).count() == 0
 
 
+def test_media_is_what_another_decoder_reads(spark):
+    """The JDK's own image reader gives the payload, sample by sample."""
+    for text in ("", "abc", "x" * 64, "naïve 中文 " * 50):
+        payload, n = media.payload_of(text)
+        png = media.to_png(payload, n)
+        jvm = spark._jvm
+        image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(png))
+        assert (image.getWidth(), image.getHeight()) == (64, len(payload) // 64)
+        got = image.getRaster().getDataBuffer().getData()
+        assert bytes(got) == payload and payload[:n] == text.encode() and not any(payload[n:])
+
+
+def test_unreadable_directory(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string").repartition(2)
+    folder = f"file://{tmp_path}/a"
+    manifest = media.write_archives(docs, folder)
+    files = sorted((tmp_path / "a").glob("*.zip"))
+    assert len(files) == 2
+    files[0].write_bytes(files[0].read_bytes()[:40])
+    rows = media.read_archives(spark, folder, manifest, onError="row", tries=2).collect()
+    assert sorted((r.doc_id is None, r.error is not None, r.payload is None) for r in rows) == [(False, False, False), (True, True, True)]
+
+
 def test_media_member_retry(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string").coalesce(1)
     folder = f"file://{tmp_path}/a"
@@ -167,3 +190,91 @@ def test_resharding_reads_files_back(spark, odd):
     plain = lambda df: sorted(str(tuple(r)) for r in df.select(columns).collect())
     assert plain(sharding.resharded_files(docs, old, 3)) == plain(sharding.reshard(docs, old, 3))
     assert sharding.resharded_files(docs.limit(0), old, 3).count() == 0
+
+
+def test_native_and_streaming_ids_agree(library, monkeypatch):
+    rng, fast = random.Random(9), packing.FastIds()
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    whole = [fast(t).tolist() for t in texts]
+    monkeypatch.setattr(packing, "WHOLE", 3)
+    assert whole == [fast(t).tolist() for t in texts] == [ids(library, t) for t in texts]
+
+
+def least_squares(a, y):
+    """Least squared distance over x >= 0 by trying every set of positive columns."""
+    best = float((y**2).sum())
+    for mask in range(1, 1 << a.shape[1]):
+        c = [k for k in range(a.shape[1]) if mask >> k & 1]
+        x, *_ = np.linalg.lstsq(a[:, c], y, rcond=None)
+        if (x >= -1e-9).all():
+            best = min(best, float(((a[:, c] @ x - y) ** 2).sum()))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fit_is_optimal(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.choice(np.arange(1, 24), 9, False))
+    found = packing.triples(lengths, 24)
+    found = found[rng.permutation(len(found))[:10]]
+    counts = np.zeros(25)
+    counts[lengths] = rng.integers(0, 60, len(lengths))
+    a = np.zeros((25, len(found)))
+    for p, row in enumerate(found):
+        for v in row[row > 0]:
+            a[v, p] += 1
+    x = packing.fit(found, counts)
+    got = float(((a @ x - counts) ** 2).sum())
+    assert (x >= 0).all() and got <= least_squares(a, counts) + 1.0
+
+
+def most_packed(h, capacity):
+    """The fewest sequences by exhaustive search over how the longest piece's sequence is filled."""
+    from functools import cache
+
+    @cache
+    def need(left):
+        if not any(n for _, n in left):
+            return 0
+        top = max(v for v, n in left if n)
+        best = 99
+
+        def fill(rest, room, most):
+            nonlocal best
+            best = min(best, 1 + need(tuple(rest.items())))
+            for v in list(rest):
+                if rest[v] and v <= room and v <= most:
+                    fill({**rest, v: rest[v] - 1}, room - v, v)
+
+        rest = dict(left)
+        rest[top] -= 1
+        fill(rest, capacity - top, top)
+        return best
+
+    return need(tuple(sorted(h.items())))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_of_few_pieces_is_nearly_the_fewest(seed):
+    rng = np.random.default_rng(seed)
+    h = {int(v): int(rng.integers(1, 3)) for v in rng.choice(np.arange(2, 20), 6, False)}
+    assert most_packed(h, 20) <= sum(m for _, m in packing.pack_histogram(h, 20)) <= most_packed(h, 20) + 1
+
+
+def test_many_pieces_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = spark.range(100).selectExpr("id as doc_id", "'same words here' as text").repartition(5)
+    rows = packing.pack(docs, capacity=20).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(rows) == len(places) == 100 and len({r.sequence_id for r in rows}) == -(-100 // (20 // rows[0].length))
+
+
+def test_blocks_grow_with_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "BLOCKS", 4)
+    monkeypatch.setattr(sharding, "DOCS_A_BLOCK", 16)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('w', int(10 + id % 90))").alias("text"))
+    placed = sharding.reshard(docs, F.lit(0), 4).collect()
+    size = [sum(r.size for r in placed if r.shard == s) for s in range(4)]
+    assert max(size) - min(size) <= 200 and sorted((r.shard, r.slot) for r in placed) == [(s, k) for s in range(4) for k in range(sum(r.shard == s for r in placed))]
