@@ -1,5 +1,6 @@
 """Near duplicates and repeated passages against brute force."""
 
+import math
 import random
 import re
 
@@ -153,6 +154,53 @@ def test_links_between_clumps(spark):
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
 
 
+def clumped(n_clumps, n_lone, seed):
+    """Vectors of one label: clumps of 3 to 250 with spreads around the threshold, and others alone."""
+    rng = np.random.default_rng(seed)
+    x = [rng.standard_normal((n_lone, 24))]
+    for size in rng.choice((3, 10, 40, 250), n_clumps, p=(0.5, 0.3, 0.17, 0.03)):
+        x.append(rng.standard_normal(24) + rng.uniform(0.05, 0.4) * rng.standard_normal((size, 24)))
+    x = np.float32(np.concatenate(x))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    return [(i, [float(c) for c in v], 1) for i, v in enumerate(x)], [tuple(p) for p in np.argwhere(np.triu(u @ u.T >= 0.93, 1)).tolist()]
+
+
+def test_thousands_of_a_label_descend_to_brute_force(spark, monkeypatch):
+    """Far more vectors than a bucket, links beyond LIST and beyond MOST_LIST: what the lists alone find, and the result."""
+    rows, links = clumped(120, 1500, 3)
+    degree = np.bincount(np.array(links).ravel(), minlength=len(rows))
+    assert len(rows) > 3000 and degree.max() > neighbours.MOST_LIST and ((degree > neighbours.LIST) & (degree < neighbours.MOST_LIST)).sum() > 50
+    asked = []
+    blocks = neighbours.compared
+    monkeypatch.setattr(neighbours, "AUDITED", 200)
+    monkeypatch.setattr(neighbours, "compared", lambda members, threshold: asked.append(members.filter("asked").count()) or blocks(members, threshold))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df).collect()}
+    assert len(asked) == 1 and asked[0] < len(rows) / 4, "only full lists and the audited go through blocks"
+    have = np.array([got[i].n_links for i in range(len(rows))])
+    assert (have <= degree).all() and have.sum() >= 0.99 * degree.sum()
+    assert {i: r.component_id for i, r in got.items()} == closure(range(len(rows)), links)
+
+
+def test_failed_audit_ends_exact(spark, monkeypatch):
+    """Lists that never get anywhere: more trees, then every node by blocks."""
+    rows, links = clumped(20, 300, 5)
+    monkeypatch.setattr(neighbours, "projected", lambda nodes, trees: spark.createDataFrame([], "u long, v long, sim double"))
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in links) for i in got}
+    assert {i: r.component_id for i, r in got.items()} == closure(range(len(rows)), links)
+
+
+def test_embeddings_in_double_precision_repeats_and_clashes(spark):
+    """Doubles that float32 would move over the threshold, repeated and null ids, columns named like the operator's own."""
+    turn = math.acos(0.93)
+    pair = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(1, pair(0.0), 1, 0, 0.5), (2, pair(turn * (1 - 1e-9)), 1, 0, 0.5), (3, pair(10.0), 1, 0, 0.5), (4, pair(10.0 + turn * (1 + 1e-9)), 1, 0, 0.5), (5, pair(20.0), 1, 0, 0.5), (5, pair(20.0), 1, 0, 0.5), (None, [1e300, 1e300], 2, 0, 0.5)]
+    got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int, sim double")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got if r.vec_id) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 1, 5), (5, 1, 5)]
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+
+
 def linked(rows, width=4):
     """Components by brute force: 100 * intersection >= 80 * union of the shingle sets."""
     sets = {}
