@@ -74,6 +74,8 @@ def cache(spark, a):
     df = spark.read.schema(kv.SCHEMA).parquet(a.path)
     if a.action == "stats":
         return [{k: str(v) for k, v in r.asDict().items()} for r in kv.stats(df).collect()]
+    if not a.output or a.output.rstrip("/") == a.path.rstrip("/"):
+        raise SystemExit("cache --action clear needs an --output other than --path")
     stays = kv.cleared(df, a.source)
     stays.write.mode("overwrite").parquet(a.output)
     return {"deleted": df.count() - stays.count()}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import relational as rel
+from ..operators import surface as sf
 from ..operators import windows as w
 from ..plans.views import table, view, with_views
 from ..schema import DEFAULT as S
@@ -71,9 +72,9 @@ def idw_surface(spark, sf_dir):
     return shaped(rel.inverse_distance(rel.nearest(q, points, 5, "q", "well_id"), "q", "z"), ["q"], [], ["surface"])
 
 
-@query(with_views(shape("SELECT formation, avg(depth) AS level FROM tops WHERE well_id <= 2 GROUP BY 1", ["formation"], [], ["level"]), "tops"))
+@query(with_views(shape("SELECT formation, avg(depth) AS level FROM tops GROUP BY 1", ["formation"], [], ["level"]), "tops"))
 def constant_surface(spark, sf_dir):
-    return shaped(tops(spark, sf_dir).filter("well_id <= 2").groupBy("formation").agg(F.avg("depth").alias("level")), ["formation"], [], ["level"])
+    return shaped(sf.constant(tops(spark, sf_dir)), ["formation"], [], ["level"])
 
 
 @query(with_views(shape("SELECT well_id, formation, greatest(base_depth - depth, 0) AS thick FROM tops", ["well_id", "formation"], [], ["thick"]), "tops"))
@@ -91,9 +92,9 @@ def first_top(spark, sf_dir):
     return log(spark, sf_dir).groupBy("well_id", "formation").agg(F.min_by("md", "row_seq").alias("top"))
 
 
-@query(with_views("SELECT t.well_id, t.formation, s.s_nationkey AS nation FROM tops t LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) s ON t.well_id = s.s_suppkey", "tops"))
+@query(with_views("SELECT t.well_id, t.formation, s.s_nationkey AS nation FROM tops t LEFT JOIN supplier s ON t.well_id = s.s_suppkey", "tops"))
 def tops_left_join(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("well_id"), F.col("s_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well_id"), F.col("s_nationkey").alias("nation"))
     return tops(spark, sf_dir).join(s, "well_id", "left").select("well_id", "formation", "nation")
 
 
@@ -120,11 +121,10 @@ def collect_sets(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("size")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("kinds"), F.count_distinct("p_type").alias("n_kinds"), F.min_by("p_name", "p_partkey").alias("first_name"))
 
 
-@query(with_views("SELECT l.well_id, row_seq, coalesce(c.cluster, -1) AS cluster FROM well_log l LEFT JOIN (SELECT DISTINCT well_id, CAST(well_id % 4 AS INT) AS cluster FROM well_log WHERE well_id % 3 <> 0) c USING (well_id)", "well_log"))
+@query(with_views("SELECT l.well_id, row_seq, coalesce(c.cluster, -1) AS cluster FROM well_log l LEFT JOIN (SELECT s_suppkey AS well_id, CAST(s_nationkey AS INT) AS cluster FROM supplier) c USING (well_id)", "well_log"))
 def cluster_lookup(spark, sf_dir):
-    df = log(spark, sf_dir)
-    labels = df.select("well_id").distinct().filter("well_id % 3 <> 0").withColumn("cluster", (F.col("well_id") % 4).cast("int"))
-    return rel.lookup(df, labels, "well_id", "cluster", -1).select(*K, "cluster")
+    labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("well_id"), F.col("s_nationkey").cast("int").alias("cluster"))
+    return rel.lookup(log(spark, sf_dir), labels, "well_id", "cluster", -1).select(*K, "cluster")
 
 
 @query(with_views("SELECT well_id, row_seq, CASE WHEN well_id % 7 = 0 THEN 'reference' ELSE 'lateral' END AS role FROM well_log", "well_log"))

@@ -109,12 +109,12 @@ def cache_stats(spark, sf_dir):
     return kv.stats(_cache(spark, sf_dir)).select("source", "entries", iso("oldest"), iso("newest"))
 
 
-_LATEST = "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events WHERE event_id % 3 = 0) WHERE r = 1"
+_LATEST = "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events) WHERE r = 1"
 
 
-@query(f"SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS data FROM ({_LATEST}) UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_id % 3 = 0)")
+@query(f"SELECT CAST(user_id AS VARCHAR) AS key, CAST(event_id AS VARCHAR) AS data FROM ({_LATEST}) UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def upsert_latest(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     new = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("source"), F.col("props").alias("params"), F.col("event_id").cast("string").alias("data"), F.col("ts").cast("timestamp").alias("fetched_at"))
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit("old").alias("source"), F.lit("{}").alias("params"), F.col("c_mktsegment").alias("data"), F.timestamp_seconds(F.lit(0)).alias("fetched_at"))
     return kv.upserted(old, new).select("key", "data")

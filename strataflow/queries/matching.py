@@ -14,6 +14,8 @@ from ..schema import DEFAULT as S
 from . import query, shape, shaped
 
 K = ["well_id", "row_seq"]
+#: Formations whose columns fit a row.
+MOST_FORMATIONS = 1000
 O = "OVER (PARTITION BY well_id ORDER BY row_seq)"
 
 
@@ -47,21 +49,38 @@ def pad_truncate(spark, sf_dir):
     return shaped(e.withColumns({"total": total(wide), "n": F.size(wide), "head": total(mt.padded(F.col("embedding"), 16))}), ["vec_id"], ["n"], ["total", "head"])
 
 
-def _pick(k, by="i"):
-    return f"(SELECT row_seq AS {by}, gr - avg(gr) OVER () AS v FROM well_log WHERE well_id = {k} AND gr IS NOT NULL)"
+_V = "SELECT well_id, row_seq AS i, md, gr - avg(gr) OVER (PARTITION BY well_id) AS v FROM well_log"
+_PICKED = "(SELECT well_id FROM well_log GROUP BY 1 ORDER BY count(gr) DESC, well_id LIMIT 1)"
+_THREE = "(SELECT well_id FROM well_log GROUP BY 1 ORDER BY count(gr) DESC, well_id LIMIT 3)"
 
 
-@query(with_views(shape(f"SELECT * FROM (SELECT lag, s / (sqrt(na) * sqrt(nb)) AS score FROM (SELECT sum(v * v) AS na FROM {_pick(1)}) CROSS JOIN (SELECT sum(v * v) AS nb FROM {_pick(2)}) CROSS JOIN (SELECT l.lag, sum(a.v * b.v) AS s FROM {_pick(1)} a, range(-20, 21) l(lag), {_pick(2)} b WHERE b.i = a.i - l.lag GROUP BY 1)) ORDER BY round(abs(score), 9) DESC, lag LIMIT 1", [], ["lag"], ["score"]), "well_log"))
+@query(with_views(shape(f"""WITH v AS ({_V}), r AS (SELECT * FROM v WHERE well_id IN {_PICKED}),
+ n AS (SELECT well_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1), st AS (SELECT well_id, median(d) AS step FROM (SELECT well_id, md - lag(md) OVER (PARTITION BY well_id ORDER BY i) AS d FROM v) GROUP BY 1),
+ c AS (SELECT a.well_id, a.i - r.i AS lag, sum(coalesce(a.v, 0) * coalesce(r.v, 0)) AS s FROM v a, r GROUP BY 1, 2),
+ b AS (SELECT c.well_id, lag, s / (n.n * (SELECT n.n FROM n WHERE well_id IN {_PICKED})) AS score FROM c JOIN n USING (well_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(abs(score), 9) DESC, lag) AS rank FROM b WHERE isfinite(score))
+ SELECT n.well_id, coalesce(lag, 0) AS lag, coalesce(score, 0) AS score, coalesce(lag, 0) * coalesce(step, 0) AS "offset" FROM n LEFT JOIN (SELECT * FROM k WHERE rank = 1) USING (well_id) LEFT JOIN st USING (well_id)""", ["well_id"], ["lag"], ["score", "offset"]).replace("CAST(offset AS DOUBLE) + ", 'CAST("offset" AS DOUBLE) + ').replace(" AS offset", ' AS "offset"'), "well_log"))
 def xcorr_lag(spark, sf_dir):
+    """Every series against the reference, at all lags."""
     df = log(spark, sf_dir)
-    one = lambda k: df.filter((F.col("well_id") == k) & F.col("gr").isNotNull()).crossJoin(F.broadcast(df.filter(F.col("well_id") == k).agg(F.avg("gr").alias("m")))).select(F.col("row_seq").alias("i"), (F.col("gr") - F.col("m")).alias("v"))
-    return shaped(mt.xcorr(one(1), one(2), 20), [], ["lag"], ["score"])
+    return shaped(mt.correlated(df, rel.typewell(df)), ["well_id"], ["lag"], ["score", "offset"])
 
 
-@query(with_views(shape("SELECT a.well_id, least(greatest(coalesce(CASE WHEN stddev_pop(a.gr) * stddev_pop(b.gr) > 1e-12 THEN covar_pop(a.gr, b.gr) / (stddev_pop(a.gr) * stddev_pop(b.gr)) END, 0), 0), 1) AS similarity FROM well_log a JOIN (SELECT row_seq, gr FROM well_log WHERE well_id = 3) b USING (row_seq) WHERE a.gr IS NOT NULL AND b.gr IS NOT NULL GROUP BY 1", ["well_id"], [], ["similarity"]), "well_log"))
+_SIMILAR = "least(greatest(coalesce(CASE WHEN stddev_pop(a.gr) * stddev_pop(b.gr) > 1e-12 THEN covar_pop(a.gr, b.gr) / (stddev_pop(a.gr) * stddev_pop(b.gr)) END, 0), 0), 1) AS similarity"
+
+
+@query(with_views(shape(f"SELECT a.well_id, {_SIMILAR} FROM well_log a JOIN (SELECT row_seq, gr FROM well_log WHERE well_id IN {_PICKED}) b USING (row_seq) WHERE a.gr IS NOT NULL AND b.gr IS NOT NULL GROUP BY 1", ["well_id"], [], ["similarity"]), "well_log"))
 def strat_similarity(spark, sf_dir):
     df = log(spark, sf_dir)
-    return shaped(mt.similarity(df, df.filter("well_id = 3")), ["well_id"], [], ["similarity"])
+    return shaped(mt.similarity(df, rel.typewell(df)), ["well_id"], [], ["similarity"])
+
+
+@query(with_views(shape(f"SELECT well_id, candidate, similarity FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY round(similarity, 9) DESC, candidate) AS rank FROM (SELECT a.well_id, b.well_id AS candidate, {_SIMILAR} FROM well_log a JOIN (SELECT * FROM well_log WHERE well_id IN {_THREE}) b USING (row_seq) WHERE a.gr IS NOT NULL AND b.gr IS NOT NULL AND a.well_id <> b.well_id GROUP BY 1, 2)) WHERE rank = 1", ["well_id"], ["candidate"], ["similarity"]), "well_log"))
+def best_typewell(spark, sf_dir):
+    """The most similar of the three series with most readings, for every other series."""
+    df = log(spark, sf_dir)
+    three = df.groupBy("well_id").agg(F.count("gr").alias("n")).orderBy(F.desc("n"), "well_id").limit(3).select("well_id")
+    return shaped(mt.best_typewell(df, df.join(F.broadcast(three), "well_id", "left_semi")), ["well_id"], ["candidate"], ["similarity"])
 
 
 _FLAT = "SELECT *, tvt - 1 AS physics_tvt, gr - avg(gr) OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS spike"
@@ -139,7 +158,9 @@ def tps_surface(spark, sf_dir):
 @query()
 def formation_features(spark, sf_dir):
     tops = view(spark, sf_dir, "tops")
-    names = sorted(r[0] for r in tops.select("formation").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in tops.select("formation").distinct().limit(MOST_FORMATIONS + 1).collect())
+    if len(names) > MOST_FORMATIONS:
+        raise ValueError(f"a wide row has the columns of at most {MOST_FORMATIONS} formations")
     wells = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 53).cast("double").alias("y"), F.lit(-1000.0).alias("z"))
     out = sf.formation_features(wells, tops, ["s_suppkey"], names)
     return shaped(out, ["s_suppkey"], [], [c for c in out.columns if c != "s_suppkey"])
