@@ -37,4 +37,4 @@ def shape(inner: str, keys: list[str], ints: list[str] = (), doubles: list[str]
 
 
 def load() -> None:
-    from . import joins, lookups, matching, models, series  # noqa: F401
+    from . import jobs, joins, lookups, matching, models, series  # noqa: F401

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,3 +77,20 @@ def read_priors(spark: SparkSession, path: str) -> dict:
 
 def write_priors(spark: SparkSession, priors: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(priors, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a session that runs
+    on this machine alone gets a temporary one; on a cluster it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="strataflow-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by new_folder() that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
