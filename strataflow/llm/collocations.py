@@ -1,29 +1,31 @@
 """Operator 12: phrase collocations, counted by Aho-Corasick automata over candidates from a sketch.
 
-Texts are normalised once: A-Z lower-cased, words between single spaces, pieces between guards (" a b \\n c d "), the texts of
-a language joined to rows of about CHUNK characters. A text longer than that is cut between words; each row but the last
-repeats the OVERLAP words that follow it, and a row of weight -1 with just those takes their second count back.
-
-1. A count sketch (one row of counters, about one a word, at most 2^MOST_BITS) over the hashes of all phrases gives upper
-   bounds: what falls into a counter below the least count can't be frequent. Counters are summed by Spark, block by block,
-   and only one bit each (count reached or not) travels to the tasks: at most 2^MOST_BITS / 8 bytes. Beyond as many words the
-   bounds get looser and the candidates more; the result stays exact. Words are counted exactly in the same pass.
-2. A second pass gathers the distinct candidates: phrases whose bit is set, and those of all phrases of two words within.
+Texts are normalised once: A-Z lower-cased, words between single spaces, pieces between guards (" a b . c d "; no word holds
+the guard, which is a delimiter itself), the texts of a language joined to rows of about CHUNK bytes. A longer text is cut
+between words; each row but the last repeats the OVERLAP words that follow it, and a row of weight -1 with just those takes
+their second count back.
+
+1. A count sketch (one row of counters, about one a word, at most 2^MOST_BITS) over the hashes of all words and phrases gives
+   upper bounds: what falls into a counter below the least count can't be frequent. Counters are summed by Spark, block by
+   block, and only one bit each (count reached or not) travels to the tasks: at most 2^MOST_BITS / 8 bytes. Beyond as many words
+   the bounds get looser and the candidates more; the result stays exact.
+2. A second pass gathers the distinct candidates (phrases whose bit is set, and those of all words and phrases within) and
+   counts the words whose bit is set.
 3. Candidates of a language are dealt to shards of about MOST_PATTERNS by a hash of their first two words. Every text sends each
-   shard only the runs of words in which such a phrase can start (no word goes to more than three shards), and each part of
-   about BLOCK characters of them is scanned by the shard's automaton, whose patterns are guarded by the delimiter on both
+   shard only the runs of words in which one of its candidates can start (so no word goes to more than three shards), and each
+   part of about BLOCK bytes of them is scanned by the shard's automaton, whose patterns are guarded by the delimiter on both
    sides; overlapping matches share it. Counts are summed, then the thresholds apply.
 
 Cases: null and empty texts add nothing; a null language is `und`; repeated rows count again, whatever their ids; very long
 texts are cut as above; other columns are ignored; ties are broken by the phrase in UTF-8 order; an empty table gives an
-empty result. Products are exact up to 38 digits (counts up to 10^15).
+empty result. Products are exact up to 38 digits (counts up to 10^15). Within a row of a task phrases are told apart by 64 bits.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 from operator import itemgetter
 
 import ahocorasick
@@ -33,96 +35,121 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, mix64, read, written
+from .common import discard, mix64, read, written
 
 CHUNK, OVERLAP = 1 << 18, 2
-#: Counters a word of the corpus, and the bounds of their number (powers of two). A block of counters is summed in one place.
+#: The number of counters is a power of two between these; a block of counters is summed in one place.
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 30, 16
-#: Phrases of a task between two emissions; patterns of an automaton; characters that it scans in a task.
-SLAB, MOST_PATTERNS, BLOCK = 1 << 21, 100_000, 24 << 20
-LOWER = {b: b + 32 for b in range(65, 91)}
-DELIMITERS, BLANKS = re.compile(r"[ \t]*[.,;:!?\n-\r][.,;:!?\n-\r \t]*"), re.compile(r"[ \t]+")
-GUARD = "\n"
+#: Phrases of a task between two emissions; patterns of an automaton; bytes that it scans in a task.
+SLAB, MOST_PATTERNS, BLOCK = 1 << 21, 50_000, 12 << 20
+GUARD = b"."
+#: Bytes as normal texts have them: A-Z lower-cased, the tab a space, every delimiter the guard.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else GUARD[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 
 
-def normal(text: str | None) -> str:
-    """Words between single spaces, pieces between guards, without ends."""
-    return BLANKS.sub(" ", DELIMITERS.sub(GUARD, (text or "").translate(LOWER))).strip(" \n").replace(GUARD, f" {GUARD} ")
+def tokens(text: str | None) -> list[bytes]:
+    """Words and guards."""
+    return (text or "").encode().translate(BYTES).replace(GUARD, b" . ").split()
 
 
-def slices(text: str, size: int) -> Iterator[tuple[str, int]]:
-    """(text, weight): a normal text in slices of about `size` characters whose weighted counts are those of the whole."""
-    while len(text) > size and (cut := text.find(" ", size)) >= 0:
-        end = cut
-        for _ in range(OVERLAP):
-            end = text.find(" ", end + 1)
-            if end < 0:
-                end = len(text)
-                break
-        yield text[:end], 1
-        yield text[cut + 1 : end], -1
-        text = text[cut + 1 :]
-    yield text, 1
+def slices(words: list[bytes], size: int) -> Iterator[tuple[list[bytes], int]]:
+    """(words, weight): slices of about `size` bytes whose weighted counts are those of the whole."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    a = 0
+    while True:
+        z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)) + 1
+        if z >= len(words):
+            yield words[a:], 1
+            return
+        yield words[a : z + OVERLAP], 1
+        yield words[z : z + OVERLAP], -1
+        a = z
 
 
 def prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, text (normal, guarded at both ends by a space), weight, words (their number)."""
+    """lang, text (normal, a space at both ends), weight, words (their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[str]] = {}
+        held: dict[str, list[bytes]] = {}
         size: Counter[str] = Counter()
 
-        def row(key: str, whole: str, weight: int) -> tuple:
-            tokens = whole.split(" ")
-            return key, f" {whole} ", weight, len(tokens) - tokens.count(GUARD)
+        def row(key: str, words: list[bytes], weight: int) -> tuple:
+            return key, b" %b " % b" ".join(words), weight, len(words) - words.count(GUARD)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "text", "weight", "words"])
 
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                whole = normal(raw)
-                if len(whole) > CHUNK:
-                    for part in slices(whole, CHUNK):
+            for key, raw in zip(b.column(0), b.column(1)):
+                key, words = key.as_py(), tokens(raw.as_py())
+                n = sum(map(len, words)) + len(words)
+                if n > CHUNK:
+                    for part in slices(words, CHUNK):
                         yield out([row(key, *part)])
-                elif whole:
-                    held.setdefault(key, []).append(whole)
-                    size[key] += len(whole)
+                elif words:
+                    held.setdefault(key, []).extend([GUARD, *words])
+                    size[key] += n
                     if size[key] > CHUNK or size.total() > 16 * CHUNK:
                         key = max(size, key=lambda k: size[k])
-                        yield out([row(key, f" {GUARD} ".join(held.pop(key)), 1)])
+                        yield out([row(key, held.pop(key), 1)])
                         del size[key]
         if held:
-            yield out([row(key, f" {GUARD} ".join(texts), 1) for key, texts in held.items()])
+            yield out([row(key, words, 1) for key, words in held.items()])
 
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, text string, weight int, words long")
 
 
-class Phrases:
-    """Hashes of the phrases of two and of three words that start at each word of a text; 0 where none does."""
-
-    def __init__(self) -> None:
-        self.word = BoundedCache(lambda w: 0 if w == GUARD else xxhash.xxh3_64_intdigest(w) | 1)
-
-    def __call__(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        h = np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
-        h = np.concatenate([h, np.zeros(2, np.uint64)])
-        a, b, c = h[:-2], h[1:-1], h[2:]
-        two = mix64(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(xxhash.xxh3_64_intdigest(lang)))
-        three = mix64(two * np.uint64(0x9E3779B97F4A7C15) + c)
-        two, three = two | np.uint64(1), three | np.uint64(1)
-        two[(a == 0) | (b == 0)] = 0
-        three[(two == 0) | (c == 0)] = 0
-        return two, three
+class Spans:
+    """Places and hashes of the words of a normal text and of the phrases of two and three words that start at each; hash 0
+    where none does. Hashes come from prefix sums over the text's bytes, so that no word is touched alone."""
+
+    table = np.random.default_rng(12).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers = inverses = np.ones(1, np.uint64)
+
+    def __init__(self, lang: str, text: bytes) -> None:
+        b = np.frombuffer(text, np.uint8)
+        if len(b) > len(Spans.powers):
+            n = 1 << len(b).bit_length()
+            for name, base in (("powers", self.base), ("inverses", self.inverse)):
+                x = np.full(n, base)
+                x[0] = 1
+                setattr(Spans, name, np.cumprod(x))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.table[b] * self.powers[: len(b)], out=sums[1:])
+        gap = np.flatnonzero(b == 32)
+        self.text, self.start, self.end = text, gap[:-1] + 1, gap[1:]
+        word = ~((self.end - self.start == 1) & (b[self.start] == GUARD[0]))
+        seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
+
+        def keys(n: int) -> np.ndarray:
+            out = np.zeros(len(word), np.uint64)
+            m = len(word) - n + 1
+            if m > 0:
+                whole = np.logical_and.reduce([word[k : m + k] for k in range(n)])
+                s, e = self.start[:m], self.end[n - 1 :]
+                out[:m] = np.where(whole, mix64((sums[e] - sums[s]) * self.inverses[s] + seed + (e - s).astype(np.uint64)) | np.uint64(1), 0)
+            return out
+
+        self.one, self.two, self.three = (keys(n) for n in (1, 2, 3))
+
+    def phrase(self, at: int, words: int) -> bytes:
+        return self.text[self.start[at] : self.end[at + words - 1]]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The batches' rows, one after the other; the second column as bytes."""
+    for b in batches:
+        for row in zip(*b.columns):
+            yield tuple(c.as_buffer().to_pybytes() if k == 1 else c.as_py() for k, c in enumerate(row))
 
 
 def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
-    """Rows (lang, word, n): words and their counts; rows (block, at, many): counters of a block and what to add to them."""
+    """block, at, many: counters of a block and what to add to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys, n = Phrases(), [], 0
-        words: Counter[tuple[str, str]] = Counter()
-        schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("block", pa.int32()), ("at", pa.binary()), ("many", pa.binary())])
+        keys, n = [], 0
 
         def counters() -> pa.RecordBatch:
             at, many = np.unique(np.concatenate(keys) >> np.uint64(64 - bits), return_counts=True)
@@ -130,35 +157,20 @@ def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
             ends = [*start[1:].tolist(), len(at)]
             at, many = at.astype(np.uint16), np.minimum(many, least).astype(np.uint8)  # one that reaches the least count alone needs no more
             cells = [[x[s:e].tobytes() for s, e in zip(start.tolist(), ends)] for x in (at, many)]
-            none = [pa.nulls(len(block), t) for t in schema.types[:3]]
-            return pa.RecordBatch.from_arrays([*none, pa.array(block.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], schema=schema)
-
-        def counts() -> pa.RecordBatch:
-            lang, word = zip(*words)
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(words.values(), pa.int64()), *(pa.nulls(len(words), t) for t in schema.types[3:])], schema=schema)
-
-        for b in batches:
-            for lang, text, weight in zip(*(b.column(k).to_pylist() for k in range(3))):
-                found = text[1:-1].split(" ")
-                for w, m in Counter(found).items():
-                    if w != GUARD:
-                        words[lang, w] += m * weight
-                if weight > 0:  # what is counted twice only raises a bound
-                    two, three = hashes(lang, found)
-                    keys += [two[two > 0], three[three > 0]]
-                    n += len(keys[-1]) + len(keys[-2])
-                if n > SLAB:
-                    yield counters()
-                    keys, n = [], 0
-                if len(words) > SLAB // 8:
-                    yield counts()
-                    words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["block", "at", "many"])
+
+        for lang, text, weight in rows_of(batches):
+            if weight > 0:  # what is counted twice only raises a bound
+                spans = Spans(lang, text)
+                keys += [x[x > 0] for x in (spans.one, spans.two, spans.three)]
+                n += sum(map(len, keys[-3:]))
+            if n > SLAB:
+                yield counters()
+                keys, n = [], 0
         if n:
             yield counters()
-        if words:
-            yield counts()
 
-    return pieces.select("lang", "text", "weight").mapInArrow(run, "lang string, word string, n long, block int, at binary, many binary")
+    return pieces.select("lang", "text", "weight").mapInArrow(run, "block int, at binary, many binary")
 
 
 def reached(marks: DataFrame, least: int) -> DataFrame:
@@ -171,88 +183,100 @@ def reached(marks: DataFrame, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "bits"])
 
         for b in batches:
-            for k, at, many in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if k != block:
+            for k, at, many in zip(*b.columns):
+                if k.as_py() != block:
                     if block is not None:
                         yield done()
-                    block, total[:] = k, 0
-                total[np.frombuffer(at, np.uint16)] += np.frombuffer(many, np.uint8)
+                    block, total[:] = k.as_py(), 0
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(many.as_buffer(), np.uint8)
         if block is not None:
             yield done()
 
-    rows = marks.filter("block is not null").select("block", "at", "many")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return marks.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
 
 
-def candidates(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
-    """lang, phrase: the distinct phrases whose bit in the broadcast bitmap is set, and those of all their pairs of words."""
+def heavy(spans: Spans, bitmap: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether the word, and the phrases of two and three words, at each place can be frequent."""
+    held = np.frombuffer(bitmap, np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(bitmap.value, np.uint8)
-        hashes, met, n = Phrases(), [], 0
+    def bit(key: np.ndarray) -> np.ndarray:
+        at = key >> np.uint64(64 - bits)
+        return (key > 0) & (held[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
-        def heavy(key: np.ndarray) -> np.ndarray:
-            at = key >> np.uint64(64 - bits)
-            return (key > 0) & (held[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+    later = lambda x: np.append(x[1:], False)
+    one = bit(spans.one)
+    two = one & later(one) & bit(spans.two)
+    return one, two, two & later(two) & bit(spans.three)
 
-        for b in batches:
-            lang_out, out = [], []
-            for lang, text, weight in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if weight < 0:
-                    continue
-                words = text[1:-1].split(" ")
-                two, three = hashes(lang, words)
-                good = heavy(two)
-                both = good & np.append(good[1:], False) & heavy(three)
-                for key, ok, size in ((two, good, 2), (three, both, 3)):
+
+def candidates(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
+    """lang, phrase, n: candidates (n null), and the words that can be frequent with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, remembered, new = [], 0, []
+        words: Counter[tuple[str, bytes]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = [*new, *((lang, word, n) for (lang, word), n in words.items())]
+            new.clear()
+            words.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
+
+        for lang, text, weight in rows_of(batches):
+            spans = Spans(lang, text)
+            one, two, three = heavy(spans, bitmap.value, bits)
+            for word, n in Counter(compress(text[1:-1].split(b" "), one.tolist())).items():
+                words[lang, word] += n * weight
+            if weight > 0:
+                for key, ok, size in ((spans.two, two, 2), (spans.three, three, 3)):
                     at = np.flatnonzero(ok)
                     fresh, first = np.unique(key[at], return_index=True)
                     for old in met:
-                        spot = np.minimum(np.searchsorted(old, fresh), len(old) - 1)
-                        new = old[spot] != fresh
-                        fresh, first = fresh[new], first[new]
+                        unmet = old[np.minimum(np.searchsorted(old, fresh), len(old) - 1)] != fresh
+                        fresh, first = fresh[unmet], first[unmet]
                     if len(fresh):
                         met.append(fresh)
-                        n += len(fresh)
-                        out += [" ".join(words[i : i + size]) for i in at[first].tolist()]
-                        lang_out += [lang] * len(fresh)
+                        remembered += len(fresh)
+                        new += [(lang, spans.phrase(i, size), None) for i in at[first].tolist()]
                 if len(met) > 12:  # a few sorted runs, and not more than SLAB phrases remembered
-                    met, n = ([np.unique(np.concatenate(met))], n) if n < SLAB else ([], 0)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(lang_out), pa.array(out)], ["lang", "phrase"])
-
-    return pieces.select("lang", "text", "weight").mapInArrow(run, "lang string, phrase string").distinct()
-
-
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (key % np.uint64(shards)).astype(np.int64)
-
-
-def dealt(pieces: DataFrame) -> DataFrame:
-    """lang, shard, block, text, weight: the runs of each text in which a phrase of the shard can start. pieces: also shards, blocks."""
+                    met = [np.unique(np.concatenate(met))] if remembered < SLAB else []
+                    remembered = len(met[0]) if met else 0
+            if len(new) + len(words) > SLAB // 8:
+                yield out()
+        if new or words:
+            yield out()
+
+    return pieces.select("lang", "text", "weight").mapInArrow(run, "lang string, phrase string, n long")
+
+
+def runs(spans: Spans, shard: np.ndarray, at: np.ndarray, longer: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, text): the words from each place `at` on, two of them or (longer) three, as normal text of the place's shard."""
+    n = len(spans.start) + 2
+    cell = np.unique(np.concatenate([shard * n + at, shard * n + at + 1, (shard * n + at + 2)[longer]]))
+    own, at = cell // n, cell % n
+    first = np.append(True, np.diff(cell) > 1)  # a run starts: a guard goes before it
+    length = spans.end[at] - spans.start[at] + 1 + 2 * first
+    end = np.cumsum(length)
+    begin = end - length
+    out = np.frombuffer(spans.text, np.uint8)[np.maximum(np.repeat(spans.start[at] - 1 - begin - 2 * first, length) + np.arange(end[-1]), 0)]
+    out[begin[first]], out[begin[first] + 1] = 32, GUARD[0]
+    whole, edge = out.tobytes(), np.append(np.flatnonzero(np.append(True, np.diff(own) > 0)), len(own))
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(own[a]), whole[begin[a] : end[z - 1]] + b" "
+
+
+def dealt(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
+    """lang, shard, block, text, weight: the runs of each text in which a candidate of the shard can start. pieces: also shards, blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Phrases()
-        for b in batches:
-            rows = []
-            for lang, text, weight, shards, blocks in zip(*(b.column(k).to_pylist() for k in range(5))):
-                block = xxhash.xxh3_64_intdigest(text) % blocks
-                if shards == 1:
-                    rows.append((lang, 0, block, text, weight))
-                    continue
-                words = text[1:-1].split(" ")
-                two, _ = hashes(lang, words)
-                cells, own = np.array(words, object), np.where(two > 0, shard_of(two, shards), -1)
-                order = np.argsort(own, kind="stable")
-                edges = np.searchsorted(own[order], np.arange(shards + 1))
-                for shard in np.flatnonzero(np.diff(edges)).tolist():
-                    start = order[edges[shard] : edges[shard + 1]]
-                    at = np.unique((start[:, None] + np.arange(3)).ravel())
-                    at = at[at < len(words)]
-                    run_ends = np.flatnonzero(np.diff(at) > 1) + 1
-                    rows.append((lang, shard, block, f" {' '.join(np.insert(cells[at], run_ends, GUARD))} ", weight))
-            if rows:
+        for lang, text, weight, shards, blocks in rows_of(batches):
+            spans = Spans(lang, text)
+            _, two, three = heavy(spans, bitmap.value, bits)
+            at = np.flatnonzero(two)
+            if len(at):
+                block, shard = xxhash.xxh3_64_intdigest(text) % blocks, (spans.two[at] % np.uint64(shards)).astype(np.int64)
+                rows = [(lang, own, block, part, weight) for own, part in runs(spans, shard, at, three[at])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32()))], ["lang", "shard", "block", "text", "weight"])
 
     return pieces.select("lang", "text", "weight", "shards", "blocks").mapInArrow(run, "lang string, shard int, block long, text string, weight int")
@@ -262,10 +286,15 @@ def with_shards(phrases: DataFrame) -> DataFrame:
     """lang, phrase, shard, blocks. phrases: also shards, blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Phrases()
         for b in batches:
-            shard = [int(hashes(lang, phrase.split(" "))[0][0]) % shards for lang, phrase, shards in zip(*(b.column(k).to_pylist() for k in range(3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard, pa.int32()), b.column(3)], ["lang", "phrase", "shard", "blocks"])
+            shard = np.zeros(b.num_rows, np.int32)
+            langs, shards = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy()
+            for lang in set(langs.tolist()):
+                mine = np.flatnonzero(langs == lang)
+                spans = Spans(lang, b" " + b" . ".join(b.column(1)[i].as_buffer().to_pybytes() for i in mine.tolist()) + b" ")
+                firsts = np.flatnonzero(np.append(0, spans.one[:-1]) == 0)
+                shard[mine] = spans.two[firsts[spans.one[firsts] > 0]] % shards[mine].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shard), b.column(3)], ["lang", "phrase", "shard", "blocks"])
 
     return phrases.select("lang", "phrase", "shards", "blocks").mapInArrow(run, "lang string, phrase string, shard int, blocks long")
 
@@ -294,34 +323,35 @@ def scanned(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     return each.groupBy(*keys).cogroup(texts.groupBy(*keys)).applyInArrow(scan, "lang string, phrase string, a long")
 
 
-def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, a of all phrases of two or three words that occur `least` times; lang, word, n of all words)."""
+def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, phrase, a of all phrases of two or three words that occur `least` times; lang, word, n of all words that do, and
+    maybe others; lang, n: number of words)."""
     if not 1 <= least <= 255:
         raise ValueError("the least count must be from 1 to 255")
     spark = docs.sparkSession
     pieces = written(prepared(docs, text, lang), "pieces")
     total = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0))).first()[0]
     bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
-    marks = written(sketched(pieces, bits, least), "sketch")
-    words = written(marks.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words", True)
     bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
-    for block, held in reached(marks, least).toLocalIterator(prefetchPartitions=True):
+    for block, held in reached(sketched(pieces, bits, least), least).toLocalIterator(prefetchPartitions=True):
         bitmap[block << (BLOCK_BITS - 3) : (block + 1) << (BLOCK_BITS - 3)] = held
     sent = spark.sparkContext.broadcast(bytes(bitmap))
-    found = written(candidates(pieces, sent, bits), "candidates", True)
+    both = written(candidates(pieces, sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
+    words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
     plan = found.groupBy("lang").agg(F.ceil(F.count("*") / MOST_PATTERNS).cast("int").alias("shards"))
-    size = pieces.groupBy("lang").agg(F.sum(F.length("text")).alias("size"))
-    plan = size.join(plan, "lang").withColumn("blocks", F.ceil(F.col("size") * F.least("shards", F.lit(3)) / F.col("shards") / BLOCK).cast("long")).drop("size")
-    texts = dealt(pieces.join(plan, "lang"))
-    counts = scanned(with_shards(found.join(plan, "lang")), texts)
-    return written(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "counts", True), words
+    plan = pieces.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
+    plan = written(plan.withColumn("blocks", F.ceil(F.col("size") / F.col("shards") / BLOCK).cast("long")).drop("size"), "plan", True)
+    held = plan.filter("shards is not null").drop("n")
+    counts = scanned(with_shards(found.join(held, "lang")), dealt(pieces.join(held, "lang"), sent, bits))
+    counts = written(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "counts", True)
+    discard(pieces)
+    return counts, words, plan.select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of each language. share: in percent of a phrase's count,
     from which on a longer phrase around it drops it."""
-    counts, words = counted(docs, least, text, lang)
-    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts, words, total = counted(docs, least, text, lang)
     parts = F.split("phrase", " ")
     found = counts.withColumn("size", F.size(parts)).withColumns({"w1": parts[0], "w2": parts[1], "w3": F.get(parts, F.lit(2))})
     three = found.filter("size = 3").withColumns({"head": F.concat_ws(" ", "w1", "w2"), "tail": F.concat_ws(" ", "w2", "w3")})
