@@ -41,7 +41,7 @@ CHUNK, OVERLAP = 1 << 18, 2
 #: The number of counters is a power of two between these; a block of counters is summed in one place.
 LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 30, 16
 #: Phrases of a task between two emissions; patterns of an automaton; bytes that it scans in a task.
-SLAB, MOST_PATTERNS, BLOCK = 1 << 21, 50_000, 12 << 20
+SLAB, MOST_PATTERNS, BLOCK = 1 << 20, 50_000, 12 << 20
 GUARD = b"."
 #: Bytes as normal texts have them: A-Z lower-cased, the tab a space, every delimiter the guard.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else GUARD[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
@@ -134,9 +134,6 @@ class Spans:
 
         self.one, self.two, self.three = (keys(n) for n in (1, 2, 3))
 
-    def phrase(self, at: int, words: int) -> bytes:
-        return self.text[self.start[at] : self.end[at + words - 1]]
-
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The batches' rows, one after the other; the second column as bytes."""
@@ -210,18 +207,29 @@ def heavy(spans: Spans, bitmap: bytes, bits: int) -> tuple[np.ndarray, np.ndarra
     return one, two, two & later(two) & bit(spans.three)
 
 
+def strings(text: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The parts of a text as an Arrow array, gathered at once."""
+    length = end - start
+    offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+    data = np.frombuffer(text, np.uint8)[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def candidates(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
     """lang, phrase, n: candidates (n null), and the words that can be frequent with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, remembered, new = [], 0, []
+        met: list[np.ndarray] = []
         words: Counter[tuple[str, bytes]] = Counter()
 
-        def out() -> pa.RecordBatch:
-            rows = [*new, *((lang, word, n) for (lang, word), n in words.items())]
-            new.clear()
+        def out(lang: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([lang, phrase, n], ["lang", "phrase", "n"])
+
+        def counts() -> pa.RecordBatch:
+            lang, word = zip(*words)
+            made = out(pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(words.values(), pa.int64()))
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "n"])
+            return made
 
         for lang, text, weight in rows_of(batches):
             spans = Spans(lang, text)
@@ -237,15 +245,16 @@ def candidates(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
                         fresh, first = fresh[unmet], first[unmet]
                     if len(fresh):
                         met.append(fresh)
-                        remembered += len(fresh)
-                        new += [(lang, spans.phrase(i, size), None) for i in at[first].tolist()]
+                        at = at[first]
+                        yield out(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), strings(text, spans.start[at], spans.end[at + size - 1]), pa.nulls(len(at), pa.int64()))
                 if len(met) > 12:  # a few sorted runs, and not more than SLAB phrases remembered
-                    met = [np.unique(np.concatenate(met))] if remembered < SLAB else []
-                    remembered = len(met[0]) if met else 0
-            if len(new) + len(words) > SLAB // 8:
-                yield out()
-        if new or words:
-            yield out()
+                    met = [np.unique(np.concatenate(met))]
+                    if len(met[0]) > SLAB:
+                        met = []
+            if len(words) > SLAB // 16:
+                yield counts()
+        if words:
+            yield counts()
 
     return pieces.select("lang", "text", "weight").mapInArrow(run, "lang string, phrase string, n long")
 
