@@ -64,26 +64,25 @@ def with_priors(df: DataFrame, priors: dict) -> DataFrame:
     return df.withColumns({f"prior_{k}": F.lit(float(v)) for k, v in priors.items() if isinstance(v, (int, float)) and not isinstance(v, bool)})
 
 
-def anchors(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
-    """What is known of the target, as constants of the series, and the signals before the first unknown row."""
-    known = F.col(s.known).isNotNull()
-    df = df.withColumn("__rn", F.row_number().over(s.ordered))
+def anchors(df: DataFrame, s: SeriesSchema = DEFAULT, gr: str | None = None) -> DataFrame:
+    """What is known of the target, as constants of the series: the signals (gr: the gamma column) before the first unknown row,
+    and each row's distance from their means over the last 20 known rows (all rows if none is known)."""
+    known, gr = F.col(s.known).isNotNull(), gr or s.gr
+    df = df.withColumns({"__rn": F.row_number().over(s.ordered), "__rank": F.sum(known.cast("int")).over(s.so_far), "__k": F.sum(known.cast("int")).over(s.from_here)})
     whole, far = s.whole, s.far
     df = df.withColumns({
         "anchor_tvt_mean": F.avg(s.known).over(whole), "anchor_tvt_last": F.last(s.known, True).over(far),
         "anchor_tvt_range": F.max(s.known).over(whole) - F.min(s.known).over(whole),
-        "anchor_global_slope": F.coalesce(F.regr_slope(F.col(s.known), F.when(known, F.col("__rn")).cast("double")).over(whole), F.lit(0.0)),
+        "anchor_global_slope": F.coalesce(F.regr_slope(F.col(s.known), F.when(known, F.col("__rank")).cast("double")).over(whole), F.lit(0.0)),
         "anchor_length": F.sum(known.cast("int")).over(whole), "nan_length": F.sum((~known).cast("int")).over(whole),
         "__b": F.coalesce(F.min(F.when(~known, F.col("__rn"))).over(whole), F.count("*").over(whole) + 1),
     })
     near = (F.col("__b") == 1) | F.col("__rn").between(F.col("__b") - 20, F.col("__b") - 1)
-    near_gr = F.when(near, F.col(s.gr))
-    df = df.withColumns({"gr_at_boundary": F.avg(near_gr).over(whole), "gr_std_at_boundary": F.coalesce(F.stddev_samp(near_gr).over(whole), F.lit(0.0)), "__z": F.avg(F.when(near, F.col(s.z))).over(whole)})
+    near_gr, late = F.when(near, F.col(gr)), (F.col("anchor_length") == 0) | known & (F.col("__k") <= 20)
+    mean = lambda c: F.avg(F.when(late, F.col(c))).over(whole)
+    df = df.withColumns({"gr_at_boundary": F.avg(near_gr).over(whole), "gr_std_at_boundary": F.coalesce(F.stddev_samp(near_gr).over(whole), F.lit(0.0)), "gr_vs_pre_nan": F.col(gr) - mean(gr), "z_vs_pre_nan": F.col(s.z) - mean(s.z)})
     length = F.col("anchor_length") + F.col("nan_length")
-    return df.withColumns({
-        "tvt_known_frac": F.col("anchor_length") / length, "nan_to_anchor_ratio": F.col("nan_length") / F.greatest(F.lit(1), F.col("anchor_length")),
-        "gr_vs_pre_nan": F.col(s.gr) - F.col("gr_at_boundary"), "z_vs_pre_nan": F.col(s.z) - F.col("__z"),
-    }).drop("__rn", "__b", "__z")
+    return df.withColumns({"tvt_known_frac": F.col("anchor_length") / length, "nan_to_anchor_ratio": F.col("nan_length") / F.greatest(F.lit(1), F.col("anchor_length"))}).drop("__rn", "__b", "__rank", "__k")
 
 
 def sequence_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
@@ -97,9 +96,10 @@ def sequence_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
     df = w.lags(df, "__gr", (1, 2, 3, 5, 10, 20, -1, -2, -3, -5, -10, -20), "gr_lag", s)
     df = w.differences(df, "__gr", "gr_d", s)
     df = df.withColumns({"gr_d1_abs": F.abs("gr_d1"), "gr_grad_smooth": F.col("gr_mean_5") - F.lag("gr_mean_5").over(s.ordered), "gr_sand_proxy": (F.col("__gr") < SAND).cast("int"), "gr_shale_proxy": (F.col("__gr") > SHALE).cast("int")})
-    df = geometry(md_fraction(w.repaired_steps(df, s.md, "md_step", s), s), s)
-    df = w.differences(df, s.z, "z_d", s)
-    df = df.withColumns({"z_d1_abs": F.abs("z_d1"), "z_rmean_10": F.avg(s.z).over(s.last(10))} | {f"z_curve_{k}": F.avg("z_d2").over(s.last(k)) for k in (5, 10, 20)})
+    df = df.withColumn("__dm", F.col(s.md) - F.lag(s.md).over(s.ordered))
+    df = df.withColumn("md_step", F.coalesce("__dm", F.median("__dm").over(s.whole)))
+    df = w.differences(geometry(md_fraction(df, s), s), s.z, "z_d", s).withColumn("__dz", F.coalesce("z_d1", F.lit(0.0)))
+    df = df.withColumns({"z_d1_abs": F.abs("z_d1"), "z_rmean_10": F.avg(s.z).over(s.last(10))} | {f"z_curve_{k}": F.stddev_samp("__dz").over(s.last(k)) for k in (5, 10, 20)})
     df = df.withColumn("z_deviation", F.col(s.z) - F.col("z_rmean_10"))
     df = df.withColumns({"tvt_ffill": w.filled_forward(s.known, s), "last_known_tvt": F.last(s.known, True).over(s.far), "in_nan_zone": F.col(s.known).isNull().cast("int")})
     df = w.since_known(df, s.known, "dist_from_last_known", s)
@@ -107,7 +107,7 @@ def sequence_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
     df = w.trailing_known(df, s.known, (5, 10, 20, 50, 100, 200), "tvt_pre_slope_", s=s)
     df = df.withColumns({f"tvt_extrap_{k}": F.col("last_known_tvt") + F.col(f"tvt_pre_slope_{k}") * F.col("dist_from_last_known") for k in (5, 10, 20, 50)})
     df = w.rolling(df, "tvt_ffill", ("mean", "std"), (5, 10, 20, 50), "tvt", s)
-    df = anchors(w.lags(df, "tvt_ffill", (1, 2, 3, 5, 10, 20), "tvt_lag", s), s).drop("__gr", "__t")
+    df = anchors(w.lags(df, "tvt_ffill", (1, 2, 3, 5, 10, 20), "tvt_lag", s), s, "__gr").drop("__gr", "__t", "__dm", "__dz")
     names = {f"{n}_{k}_{x}": f"{n}_r{k}_{x}" for n in ("gr", "tvt") for k in ("mean", "std", "min", "max") for x in (3, 5, 10, 20, 50)} | {f"gr_lag_lead{k}": f"gr_lead{k}" for k in (1, 2, 3, 5, 10, 20)}
     df = df.withColumnsRenamed(names)
     return df.fillna(0, subset=[c for c in df.columns if c not in before])

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT, SeriesSchema
+from . import clusters as cl
 from . import relational as rel
 
 #: Presets of (trees, step, depth, loss).
@@ -78,40 +80,68 @@ def ablation(train: DataFrame, val: DataFrame, groups: dict[str, Sequence[str]],
 
 
 class WellClusterer:
-    """Scaled, reduced (PCA) and clustered series summaries. k = 0: the k of 3..9 with the best silhouette."""
+    """Scaled, reduced (PCA) and clustered series summaries. k = 0: the k of 3..9 with the best silhouette.
+
+    hierarchical: Ward's agglomerative clustering (its merge tree stays in `merges`), else k-means."""
 
     def __init__(self, k: int = 0, parts: int = 10, hierarchical: bool = False, seed: int = 42):
         self.k, self.parts, self.hierarchical, self.seed = k, parts, hierarchical, seed
 
     def _model(self, k: int):
-        return BisectingKMeans(k=k, seed=self.seed, featuresCol="reduced") if self.hierarchical else KMeans(k=k, seed=self.seed, featuresCol="reduced", initSteps=10)
+        return KMeans(k=k, seed=self.seed, featuresCol="reduced", initSteps=10)
+
+    def reduced(self, wells: DataFrame) -> DataFrame:
+        """wells and `reduced`, the point of each in the space of clusters."""
+        return self.prepare.transform(wells.fillna(0.0)).drop("raw", "scaled")
 
-    def fit(self, wells: DataFrame, features: Sequence[str]) -> WellClusterer:
-        self.features = list(features)
+    def fit(self, wells: DataFrame, features: Sequence[str], well: str = DEFAULT.well) -> WellClusterer:
+        self.features, self.well = list(features), well
         prepare = Pipeline(stages=[
             VectorAssembler(inputCols=self.features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
             PCA(k=min(self.parts, len(self.features)), inputCol="scaled", outputCol="reduced"),
         ])
         self.prepare = prepare.fit(wells.fillna(0.0))
-        ready = self.prepare.transform(wells.fillna(0.0)).cache()
+        ready = self.reduced(wells).cache()
         if not self.k:
             judge = ClusteringEvaluator(featuresCol="reduced")
             n = ready.count()
             scores = {k: judge.evaluate(self._model(k).fit(ready).transform(ready)) for k in range(3, 10) if k < n}
             self.k = max(scores, key=lambda k: (scores[k], -k)) if scores else 1
-        self.model = self._model(self.k).fit(ready)
+        if self.hierarchical:
+            points = ready.select(well, vector_to_array("reduced").alias("v"))
+            self.merges = cl.ward(points, well, "v")
+            labelled = points.join(cl.cut(self.merges, points, well, self.k), well)
+            means = labelled.select("cluster_id", F.posexplode("v").alias("p", "x")).groupBy("cluster_id", "p").agg(F.avg("x").alias("x"))
+            rows = means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda v: v["x"]).alias("c"))  # k rows, an entry a dimension
+            self.centres = [r["c"] for r in rows.orderBy("cluster_id").collect()]
+            self.labels = labelled.select(well, "cluster_id")
+        else:
+            self.model = self._model(self.k).fit(ready)
+            self.centres = [[float(v) for v in c] for c in self.model.clusterCenters()]  # k rows
         ready.unpersist()
         return self
 
     def assign(self, wells: DataFrame) -> DataFrame:
-        """wells with cluster_id and cluster_dist, the distance to its own centre (new series are predicted too)."""
-        centres = [[float(v) for v in c] for c in self.model.clusterCenters()]  # k rows
-        out = self.model.transform(self.prepare.transform(wells.fillna(0.0))).withColumnRenamed("prediction", "cluster_id")
-        from pyspark.ml.functions import vector_to_array
-
-        centre = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in centres)), F.col("cluster_id") + 1)
-        d = F.aggregate(F.zip_with(vector_to_array("reduced"), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        return out.withColumn("cluster_dist", F.sqrt(d)).drop("raw", "scaled", "reduced")
+        """wells with cluster_id and cluster_dist, the distance to the centre of its cluster. New series go to the nearest centre;
+        series of an agglomerative fit keep the cluster that the merges gave them."""
+        v = vector_to_array("reduced")
+        distance = lambda c: F.sqrt(F.aggregate(F.zip_with(v, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        out = self.reduced(wells).withColumn("__d", F.array(*(F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres))))
+        nearest = F.array_min("__d")["i"]
+        if self.hierarchical:
+            out = out.join(self.labels, self.well, "left").withColumn("cluster_id", F.coalesce("cluster_id", nearest))
+        else:
+            out = out.withColumn("cluster_id", nearest)
+        return out.withColumn("cluster_dist", F.get("__d", F.col("cluster_id"))["d"]).drop("reduced", "__d")
+
+    def members(self, wells: DataFrame, cluster: int) -> DataFrame:
+        """The series of a cluster."""
+        return cl.members(self.assign(wells), self.well, cluster)
+
+    def similar(self, wells: DataFrame, k: int = 5) -> DataFrame:
+        """query, well, distance, rank: the k series of its own cluster nearest to each series."""
+        points = self.reduced(wells).select(self.well, vector_to_array("reduced").alias("v"))
+        return cl.similar(points, self.assign(wells).select(self.well, "cluster_id"), self.well, "v", k)
 
 
 def per_cluster(df: DataFrame, features: Sequence[str], label: str, cluster: str = "cluster_id", least: int = 50, **preset) -> dict[int, object]:

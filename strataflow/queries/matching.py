@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as fc
 from ..operators import matching as mt
+from ..operators import neighbours as nb
 from ..operators import relational as rel
 from ..operators import surface as sf
 from ..operators import windows as w
 from ..plans.views import table, view, with_views
 from ..schema import DEFAULT as S
+from ..sources.files import new_folder
 from . import query, shape, shaped
 
 K = ["well_id", "row_seq"]
@@ -26,12 +28,49 @@ def log(spark, sf_dir):
 _UNIT = "list_transform(embedding, lambda v: v::DOUBLE)"
 
 
-@query(shape("SELECT query, vec_id, sim, rank FROM (SELECT q.vec_id AS query, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id) WHERE rank <= 5", ["query", "vec_id"], ["rank"], ["sim"]))
+def _topk(where: str) -> str:
+    cosine = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+    return shape(f"SELECT query, vec_id, sim, rank FROM (SELECT q.vec_id AS query, e.vec_id, {cosine} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine}, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE {where} AND q.vec_id <> e.vec_id) WHERE rank <= 5", ["query", "vec_id"], ["rank"], ["sim"])
+
+
+@query(_topk("q.vec_id % 50 = 0"))
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return shaped(mt.cosine_topk(e.filter("vec_id % 50 = 0"), e, 5, "vec_id", "embedding"), ["query", "vec_id"], ["rank"], ["sim"])
 
 
+@query(_topk("true"))
+def cosine_topk_all(spark, sf_dir):
+    """Every embedding against all others."""
+    e = table(spark, sf_dir, "embeddings")
+    return shaped(mt.cosine_topk(e, e, 5, "vec_id", "embedding"), ["query", "vec_id"], ["rank"], ["sim"])
+
+
+def _index(spark, sf_dir):
+    """An index of the embeddings in a new folder: half of them built, the others appended; opened again."""
+    e, path = table(spark, sf_dir, "embeddings"), new_folder(spark, "index")
+    nb.EmbeddingIndex.build(e.filter("vec_id % 2 = 0"), path, "vec_id", "embedding", cells=16)
+    return nb.EmbeddingIndex(spark, path).append(e).tuned(0.95, 5), e
+
+
+@query()
+def index_topk(spark, sf_dir):
+    """The five nearest rows of every embedding in the cells that the index reads for it."""
+    index, e = _index(spark, sf_dir)
+    found = index.query(e, 5).withColumnRenamed("score", "sim")
+    return shaped(found, ["query", "vec_id"], ["rank"], ["sim"])
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, true AS reaches_recall FROM embeddings")
+def index_recall(spark, sf_dir):
+    """What the reopened index holds, and whether it finds 95 % of the true neighbours of all rows."""
+    index, e = _index(spark, sf_dir)
+    true, found = (df.select("query", "vec_id") for df in (mt.cosine_topk(e, e, 5, "vec_id", "embedding"), index.query(e, 5)))
+    hits = true.join(found, ["query", "vec_id"], "left_semi").agg(F.count("*").alias("hits"))
+    wanted, held = true.agg(F.count("*").alias("wanted")), index.rows().agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_keys"))
+    return held.crossJoin(hits).crossJoin(wanted).select("n_rows", "n_keys", (F.col("hits") >= 0.95 * F.col("wanted")).alias("reaches_recall"))  # a row each
+
+
 @query(shape("""WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda v: v / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8)) AS v FROM embeddings),
  p AS (SELECT label AS proto, list(m ORDER BY i) AS p FROM (SELECT label, i, avg(v[i]) AS m FROM u, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
  s AS (SELECT vec_id, proto, exp(list_dot_product(v, list_transform(p, lambda x: x / (sqrt(list_dot_product(p, p)) + 1e-8)))) AS e FROM u, p)

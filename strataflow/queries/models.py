@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
+from ..operators import grouped as gr
 from ..operators import models as ml
 from ..operators import relational as rel
 from ..plans.views import view
@@ -52,3 +53,55 @@ def cross_validation(spark, sf_dir):
     rows = ml.cross_validated(_frame(spark, sf_dir), FEATURES, "tvt", 2, trees=3, depth=3)
     df = spark.createDataFrame([(int(f), float(m), float(r)) for f, m, r in rows], "fold int, mae double, rmse double")
     return shaped(df.agg(F.avg("mae").alias("mae_mean"), F.stddev_samp("mae").alias("mae_std"), F.avg("rmse").alias("rmse_mean")), [], [], ["mae_mean", "mae_std", "rmse_mean"])
+
+
+def _wells(spark, sf_dir):
+    wells = ft.well_fingerprint(view(spark, sf_dir, "well_log"))
+    return wells, [c for c in wells.columns if c != "well_id"]
+
+
+@query()
+def ward_merges(spark, sf_dir):
+    """The merge tree of all series by their scaled fingerprints."""
+    wells, names = _wells(spark, sf_dir)
+    made = ml.WellClusterer(5, hierarchical=True).fit(wells, names).merges
+    return shaped(made, ["left", "right"], ["size", "round"], ["height"])
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    """Five agglomerative clusters of all series, and how far each is from its cluster's mean."""
+    wells, names = _wells(spark, sf_dir)
+    return shaped(ml.WellClusterer(5, hierarchical=True).fit(wells, names).assign(wells), ["well_id"], ["cluster_id"], ["cluster_dist"])
+
+
+@query()
+def similar_series(spark, sf_dir):
+    """The five series of its own cluster that are nearest to each series."""
+    wells, names = _wells(spark, sf_dir)
+    return shaped(ml.WellClusterer(3).fit(wells, names).similar(wells), ["query", "well_id"], ["rank"], ["distance"])
+
+
+def _by_cluster(spark, sf_dir):
+    wells, names = _wells(spark, sf_dir)
+    labels = ml.WellClusterer(3).fit(wells, names).assign(wells).select("well_id", "cluster_id")
+    rows = _frame(spark, sf_dir).join(labels, "well_id").withColumn("held", F.pmod(F.xxhash64("well_id"), F.lit(5)) == 0)
+    models = gr.trained(rows, GROUPED, "tvt", held=F.col("held"), preset="quick").cache()  # a few rows, used twice
+    return gr.predicted(rows, models, GROUPED), models
+
+
+GROUPED = [*FEATURES, "tvt_ffill", "dist_from_last_known"]
+
+
+@query()
+def cluster_predictions(spark, sf_dir):
+    """A boosted model of each cluster at the quick preset, stopped early, and its prediction of every row."""
+    rows, _ = _by_cluster(spark, sf_dir)
+    return shaped(rows, ["well_id", "row_seq"], ["cluster_id", "model_cluster"], ["prediction"])
+
+
+@query()
+def cluster_errors(spark, sf_dir):
+    """Errors of these models on held-out series, by cluster, and the round at which training stopped."""
+    rows, models = _by_cluster(spark, sf_dir)
+    return shaped(gr.errors_by_cluster(rows.filter("held"), models, "tvt"), ["cluster_id"], ["n", "members", "rounds", "model_cluster"], ["mae", "rmse"])

@@ -197,21 +197,53 @@ def state_change(spark, sf_dir):
 
 
 _A = ["anchor_tvt_mean", "anchor_tvt_last", "anchor_tvt_range", "anchor_global_slope", "gr_at_boundary", "gr_std_at_boundary", "tvt_known_frac", "nan_to_anchor_ratio", "gr_vs_pre_nan", "z_vs_pre_nan"]
-_NEAR = "(b = 1 OR row_seq BETWEEN b - 20 AND b - 1)"
 
 
-@query(oracle(f"""SELECT l.*, a.* EXCLUDE (well_id), al::DOUBLE / (al + nl) AS tvt_known_frac, nl::DOUBLE / greatest(1, al) AS nan_to_anchor_ratio, gr - gr_at_boundary AS gr_vs_pre_nan, z - zb AS z_vs_pre_nan, al AS anchor_length, nl AS nan_length
- FROM well_log l JOIN (SELECT well_id, avg(tvt_input) AS anchor_tvt_mean, arg_max(tvt_input, row_seq) FILTER (tvt_input IS NOT NULL) AS anchor_tvt_last, max(tvt_input) - min(tvt_input) AS anchor_tvt_range, coalesce(regr_slope(tvt_input, row_seq), 0) AS anchor_global_slope,
-   count(tvt_input) AS al, count(*) - count(tvt_input) AS nl, avg(CASE WHEN {_NEAR} THEN gr END) AS gr_at_boundary, coalesce(stddev_samp(CASE WHEN {_NEAR} THEN gr END), 0) AS gr_std_at_boundary, avg(CASE WHEN {_NEAR} THEN z END) AS zb
-   FROM (SELECT *, coalesce(min(CASE WHEN tvt_input IS NULL THEN row_seq END) {ALL}, count(*) {ALL} + 1) AS b FROM well_log) GROUP BY well_id) a USING (well_id)""", ["anchor_length", "nan_length"], _A))
+@query(oracle(f"""SELECT l.*, a.* EXCLUDE (well_id), al::DOUBLE / (al + nl) AS tvt_known_frac, nl::DOUBLE / greatest(1, al) AS nan_to_anchor_ratio, gr - gp AS gr_vs_pre_nan, z - zp AS z_vs_pre_nan, al AS anchor_length, nl AS nan_length
+ FROM well_log l JOIN (SELECT well_id, avg(tvt_input) AS anchor_tvt_mean, arg_max(tvt_input, row_seq) FILTER (tvt_input IS NOT NULL) AS anchor_tvt_last, max(tvt_input) - min(tvt_input) AS anchor_tvt_range, coalesce(regr_slope(tvt_input, rk), 0) AS anchor_global_slope,
+   count(tvt_input) AS al, count(*) - count(tvt_input) AS nl, avg(gr) FILTER (b = 1 OR row_seq BETWEEN b - 20 AND b - 1) AS gr_at_boundary, coalesce(stddev_samp(gr) FILTER (b = 1 OR row_seq BETWEEN b - 20 AND b - 1), 0) AS gr_std_at_boundary,
+   avg(gr) FILTER (known = 0 OR (tvt_input IS NOT NULL AND kk <= 20)) AS gp, avg(z) FILTER (known = 0 OR (tvt_input IS NOT NULL AND kk <= 20)) AS zp
+   FROM (SELECT *, count(tvt_input) OVER (PARTITION BY well_id ORDER BY row_seq) AS rk, count(tvt_input) OVER (PARTITION BY well_id ORDER BY row_seq DESC) AS kk, count(tvt_input) {ALL} AS known, coalesce(min(CASE WHEN tvt_input IS NULL THEN row_seq END) {ALL}, count(*) {ALL} + 1) AS b FROM well_log) GROUP BY well_id) a USING (well_id)""", ["anchor_length", "nan_length"], _A))
 def anchor_stats(spark, sf_dir):
     return shaped(ft.anchors(log(spark, sf_dir)), K, ["anchor_length", "nan_length"], _A)
 
 
-@query()
+def _filled(column: str, limit: int) -> str:
+    """The column gap-filled as gap_fill_linear does, from the helper columns of _GAPS."""
+    return f"CASE WHEN {column} IS NOT NULL THEN {column} WHEN row_seq - {column}_r0 <= {limit} THEN CASE WHEN {column}_r1 IS NULL THEN {column}_v0 ELSE {column}_v0 + ({column}_v1 - {column}_v0) * (row_seq - {column}_r0) / ({column}_r1 - {column}_r0) END END"
+
+
+_SO_FAR = "OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_ONWARD = "OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_GAPS = ", ".join(f"last_value({c} IGNORE NULLS) {_SO_FAR} AS {c}_v0, max(CASE WHEN {c} IS NOT NULL THEN row_seq END) {_SO_FAR} AS {c}_r0, first_value({c} IGNORE NULLS) {_ONWARD} AS {c}_v1, min(CASE WHEN {c} IS NOT NULL THEN row_seq END) {_ONWARD} AS {c}_r1" for c in ("gr", "tvt_input"))
+#: The sequence family, column by column.
+_SEQUENCE = {
+    **{f"gr_r{n}_{k}": f"{f}(g) {last(k)}" for k in (3, 5, 10, 20, 50) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))},
+    **{f"gr_range_{k}": f"max(g) {last(k)} - min(g) {last(k)}" for k in (10, 20, 50)},
+    **{f"gr_{n}{k}": f"{f}(g, {k}) {O}" for k in (1, 2, 3, 5, 10, 20) for n, f in (("lag", "lag"), ("lead", "lead"))},
+    "gr_d1": f"g - lag(g) {O}", "gr_d2": f"g - 2 * lag(g) {O} + lag(g, 2) {O}", "gr_d1_abs": f"abs(g - lag(g) {O})", "gr_grad_smooth": f"m5 - lag(m5) {O}", "gr_sand_proxy": "(g < 60)::INT", "gr_shale_proxy": "(g > 100)::INT",
+    "md_step": f"coalesce(dm, median(dm) {ALL})", "md_frac": f"(md - min(md) {ALL}) / greatest(1, max(md) {ALL} - min(md) {ALL})",
+    "horiz_dist": "sqrt(x * x + y * y)", "x_d1": "dx", "y_d1": "dy", "horiz_speed": "sqrt(dx * dx + dy * dy)", "horiz_dir_deg": "degrees(atan2(dy, dx))",
+    "z_d1": "dz", "z_d2": f"dz - lag(dz) {O}", "z_d1_abs": "abs(dz)", "z_rmean_10": f"avg(z) {last(10)}", "z_deviation": f"z - avg(z) {last(10)}", **{f"z_curve_{k}": f"stddev_samp(coalesce(dz, 0)) {last(k)}" for k in (5, 10, 20)},
+    "tvt_ffill": "tvt_input_v0", "last_known_tvt": "lk", "dist_from_last_known": "dist", "in_nan_zone": "(tvt_input IS NULL)::INT", "tvt_d1": f"t - lag(t) {O}", "tvt_d2": f"t - 2 * lag(t) {O} + lag(t, 2) {O}",
+    **{f"tvt_pre_slope_{k}": f"s{k}" for k in (5, 10, 20, 50, 100, 200)}, **{f"tvt_extrap_{k}": f"lk + coalesce(s{k}, 0) * dist" for k in (5, 10, 20, 50)},
+    **{f"tvt_r{n}_{k}": f"{f}(tvt_input_v0) {last(k)}" for k in (5, 10, 20, 50) for n, f in (("mean", "avg"), ("std", "stddev_samp"))}, **{f"tvt_lag{k}": f"lag(tvt_input_v0, {k}) {O}" for k in (1, 2, 3, 5, 10, 20)},
+    "anchor_tvt_mean": f"avg(tvt_input) {ALL}", "anchor_tvt_last": "lk", "anchor_tvt_range": f"max(tvt_input) {ALL} - min(tvt_input) {ALL}", "anchor_global_slope": f"regr_slope(tvt_input, rk) {ALL}", "anchor_length": "al", "nan_length": "n - al",
+    "tvt_known_frac": "al / n", "nan_to_anchor_ratio": "(n - al) / greatest(1, al)", "gr_at_boundary": f"avg(CASE WHEN near THEN g END) {ALL}", "gr_std_at_boundary": f"stddev_samp(CASE WHEN near THEN g END) {ALL}",
+    "gr_vs_pre_nan": f"g - avg(CASE WHEN late THEN g END) {ALL}", "z_vs_pre_nan": f"z - avg(CASE WHEN late THEN z END) {ALL}",
+}
+_GIVEN = ["md", "x", "y", "z", "gr", "tvt", "tvt_input"]
+_SEQUENCE_SQL = f"""SELECT well_id, row_seq, {", ".join(_GIVEN)}, {", ".join(f"coalesce({e}, 0) AS {n}" for n, e in _SEQUENCE.items())} FROM (
+ SELECT *, avg(g) {last(5)} AS m5, {", ".join(f"CASE WHEN tvt_input IS NULL THEN regr_slope(CASE WHEN kk <= {k} THEN tvt_input END, -kk) {ALL} END AS s{k}" for k in (5, 10, 20, 50, 100, 200))},
+  b = 1 OR row_seq BETWEEN b - 20 AND b - 1 AS near, al = 0 OR (tvt_input IS NOT NULL AND kk <= 20) AS late FROM (
+  SELECT *, coalesce({_filled("gr", 5)}, median(gr) {ALL}, 0) AS g, {_filled("tvt_input", 3)} AS t, md - lag(md) {O} AS dm, x - lag(x) {O} AS dx, y - lag(y) {O} AS dy, z - lag(z) {O} AS dz,
+   last_value(tvt_input IGNORE NULLS) {FAR} AS lk, row_seq - coalesce(tvt_input_r0, 0) AS dist, count(tvt_input) {_SO_FAR} AS rk, count(tvt_input) {_ONWARD} AS kk, count(tvt_input) {ALL} AS al, count(*) {ALL} AS n,
+   coalesce(min(CASE WHEN tvt_input IS NULL THEN row_seq END) {ALL}, count(*) {ALL} + 1) AS b FROM (SELECT *, {_GAPS} FROM well_log)))"""
+
+
+@query(oracle(_SEQUENCE_SQL, [], [*_GIVEN, *_SEQUENCE]))
 def sequence_features(spark, sf_dir):
-    df = ft.sequence_features(log(spark, sf_dir))
-    return shaped(df, K, [], [c for c in df.columns if c not in (*K, "formation")])
+    return shaped(ft.sequence_features(log(spark, sf_dir)), K, [], [*_GIVEN, *_SEQUENCE])
 
 
 @query()
