@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from .common import discard, mix64, read, written
 
 CHUNK, OVERLAP = 1 << 18, 2
-#: The number of counters is a power of two between these; a block of counters is summed in one place.
-LEAST_BITS, MOST_BITS, BLOCK_BITS = 18, 30, 16
-#: Phrases of a task between two emissions; patterns of an automaton; bytes that it scans in a task.
-SLAB, MOST_PATTERNS, BLOCK = 1 << 20, 50_000, 12 << 20
+#: The number of counters is a power of two between these; they are summed in 2^BLOCKS blocks.
+LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
+#: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
+SLAB, WORDS, MET = 1 << 21, 1 << 18, 21
+#: Patterns of an automaton; bytes that it scans in a task.
+MOST_PATTERNS, BLOCK = 50_000, 12 << 20
 GUARD = b"."
 #: Bytes as normal texts have them: A-Z lower-cased, the tab a space, every delimiter the guard.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else GUARD[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
@@ -142,19 +144,30 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c.as_buffer().to_pybytes() if k == 1 else c.as_py() for k, c in enumerate(row))
 
 
+def gaps(at: np.ndarray, many: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending places as bytes of their gaps, and what to add there: a gap of 255 or more takes steps of 255 that add nothing."""
+    gap = np.diff(at, prepend=0)
+    steps = gap // 255
+    end = np.cumsum(steps + 1) - 1
+    step, add = np.full(end[-1] + 1, 255, np.uint8), np.zeros(end[-1] + 1, np.uint8)
+    step[end], add[end] = gap % 255, many
+    return step.tobytes(), add.tobytes()
+
+
 def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
-    """block, at, many: counters of a block and what to add to them."""
+    """block, at, many: counters of a block (their gaps) and what to add to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [], 0
 
         def counters() -> pa.RecordBatch:
             at, many = np.unique(np.concatenate(keys) >> np.uint64(64 - bits), return_counts=True)
-            block, start = np.unique(at >> np.uint64(BLOCK_BITS), return_index=True)
-            ends = [*start[1:].tolist(), len(at)]
-            at, many = at.astype(np.uint16), np.minimum(many, least).astype(np.uint8)  # one that reaches the least count alone needs no more
-            cells = [[x[s:e].tobytes() for s, e in zip(start.tolist(), ends)] for x in (at, many)]
-            return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cells)], ["block", "at", "many"])
+            keys.clear()
+            at, many = at.astype(np.int64), np.minimum(many, least).astype(np.uint8)  # one that reaches the least count alone needs no more
+            edge = np.searchsorted(at >> (bits - BLOCKS), np.arange((1 << BLOCKS) + 1))
+            blocks = [k for k in range(1 << BLOCKS) if edge[k + 1] > edge[k]]
+            cells = [gaps(at[edge[k] : edge[k + 1]] & ((1 << (bits - BLOCKS)) - 1), many[edge[k] : edge[k + 1]]) for k in blocks]
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*cells))], ["block", "at", "many"])
 
         for lang, text, weight in rows_of(batches):
             if weight > 0:  # what is counted twice only raises a bound
@@ -163,18 +176,18 @@ def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
                 n += sum(map(len, keys[-3:]))
             if n > SLAB:
                 yield counters()
-                keys, n = [], 0
+                n = 0
         if n:
             yield counters()
 
     return pieces.select("lang", "text", "weight").mapInArrow(run, "block int, at binary, many binary")
 
 
-def reached(marks: DataFrame, least: int) -> DataFrame:
+def reached(marks: DataFrame, bits: int, least: int) -> DataFrame:
     """block, bits: for each counter of the block whether its sum reaches the least count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
+        block, total = None, np.zeros(1 << (bits - BLOCKS), np.int32)
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "bits"])
@@ -185,7 +198,8 @@ def reached(marks: DataFrame, least: int) -> DataFrame:
                     if block is not None:
                         yield done()
                     block, total[:] = k.as_py(), 0
-                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(many.as_buffer(), np.uint8)
+                place = np.cumsum(np.frombuffer(at.as_buffer(), np.uint8), dtype=np.int64)
+                total[place] += np.frombuffer(many.as_buffer(), np.uint8)  # of a step and a gap of 0 after it the gap counts
         if block is not None:
             yield done()
 
@@ -216,45 +230,40 @@ def strings(text: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def candidates(pieces: DataFrame, bitmap, bits: int) -> DataFrame:
-    """lang, phrase, n: candidates (n null), and the words that can be frequent with their counts."""
+    """lang, phrase, n: candidates (n null), and the words that can be frequent with their counts.
+
+    A task leaves out most of the candidates that it has told already: a place by their hash remembers the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: list[np.ndarray] = []
-        words: Counter[tuple[str, bytes]] = Counter()
+        met = np.zeros(1 << MET, np.uint64)
+        words: dict[str, Counter[bytes]] = {}
 
-        def out(lang: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([lang, phrase, n], ["lang", "phrase", "n"])
+        def out(lang: str, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), phrase, n], ["lang", "phrase", "n"])
 
-        def counts() -> pa.RecordBatch:
-            lang, word = zip(*words)
-            made = out(pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(words.values(), pa.int64()))
+        def counts() -> Iterator[pa.RecordBatch]:
+            for lang, held in words.items():
+                yield out(lang, pa.array(held, pa.string()), pa.array(held.values(), pa.int64()))
             words.clear()
-            return made
 
         for lang, text, weight in rows_of(batches):
             spans = Spans(lang, text)
             one, two, three = heavy(spans, bitmap.value, bits)
-            for word, n in Counter(compress(text[1:-1].split(b" "), one.tolist())).items():
-                words[lang, word] += n * weight
+            held = words.setdefault(lang, Counter())
+            (held.update if weight > 0 else held.subtract)(compress(text[1:-1].split(b" "), one.tolist()))
             if weight > 0:
                 for key, ok, size in ((spans.two, two, 2), (spans.three, three, 3)):
                     at = np.flatnonzero(ok)
-                    fresh, first = np.unique(key[at], return_index=True)
-                    for old in met:
-                        unmet = old[np.minimum(np.searchsorted(old, fresh), len(old) - 1)] != fresh
-                        fresh, first = fresh[unmet], first[unmet]
-                    if len(fresh):
-                        met.append(fresh)
-                        at = at[first]
-                        yield out(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), strings(text, spans.start[at], spans.end[at + size - 1]), pa.nulls(len(at), pa.int64()))
-                if len(met) > 12:  # a few sorted runs, and not more than SLAB phrases remembered
-                    met = [np.unique(np.concatenate(met))]
-                    if len(met[0]) > SLAB:
-                        met = []
-            if len(words) > SLAB // 16:
-                yield counts()
-        if words:
-            yield counts()
+                    place = (key[at] >> np.uint64(64 - MET)).astype(np.int64)
+                    new = met[place] != key[at]
+                    at, place = at[new], place[new]
+                    if len(at):
+                        met[place] = key[at]
+                        at = at[np.unique(key[at], return_index=True)[1]]
+                        yield out(lang, strings(text, spans.start[at], spans.end[at + size - 1]), pa.nulls(len(at), pa.int64()))
+            if sum(map(len, words.values())) > WORDS:
+                yield from counts()
+        yield from counts()
 
     return pieces.select("lang", "text", "weight").mapInArrow(run, "lang string, phrase string, n long")
 
@@ -342,8 +351,8 @@ def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "l
     total = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0))).first()[0]
     bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
     bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
-    for block, held in reached(sketched(pieces, bits, least), least).toLocalIterator(prefetchPartitions=True):
-        bitmap[block << (BLOCK_BITS - 3) : (block + 1) << (BLOCK_BITS - 3)] = held
+    for block, held in reached(sketched(pieces, bits, least), bits, least).toLocalIterator(prefetchPartitions=True):
+        bitmap[block << (bits - BLOCKS - 3) : (block + 1) << (bits - BLOCKS - 3)] = held
     sent = spark.sparkContext.broadcast(bytes(bitmap))
     both = written(candidates(pieces, sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
     words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
