@@ -6,16 +6,15 @@ its old shard's bytes, cut into blocks (hash buckets); whole blocks lie inside o
 of the few cut blocks are told apart one by one. A second flow over small documents then evens out what the
 granularity of documents left over.
 
-Cases: null text counts 1 byte; null ids are rows like any other; equal rows are dealt independently; an empty
-table gives an empty result; a document larger than a shard's capacity goes whole to one shard.
+Cases: null text counts 1 byte; null ids are rows like any other; equal rows are dealt independently, and where there are more
+than HOT of them they go to as many blocks as others do, by their place in the input, so that no task holds them all; an
+empty table gives an empty result; a document larger than a shard's capacity goes whole to one shard.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from .common import fresh_path, read, written
 #: Blocks of one shard, or more of them, so that one has about DOCS_A_BLOCK documents at most. The driver holds a total a
 #: block: shards x BLOCKS numbers up to 10^9 documents, one for each 131,072 documents beyond.
 BLOCKS, DOCS_A_BLOCK = 1024, 1 << 20
+#: Equal rows beyond which they are told apart by their place in the input.
+HOT = 10_000
 #: Size classes of the second flow: documents of one class are within 64 bytes, larger ones share the last.
 CLASSES = 64
 
@@ -106,24 +107,32 @@ def _flowed(docs: DataFrame, old: str, block: Column, new: str, capacities: Sequ
     starts = _block_starts(rows, "bytes")
     at = spark.createDataFrame([(i, b, s) for (i, b), s in starts.items()], "__i int, __b int, __s long")
     parts = spark.createDataFrame([(i, [x[1:] for x in ends if x[0] == i]) for i in olds], "__i int, __cuts array<struct<lo:long,hi:long,to:int>>")
-    order = Window.partitionBy(old, "__b").orderBy("key", "doc_id", "text_crc32", "size")
+    order = Window.partitionBy(old, "__b").orderBy("key", "doc_id", "text_crc32", "size", "row")
     mid = F.col("__s") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.floor(F.col("size") / 2)
     docs = docs.join(F.broadcast(at.withColumnRenamed("__i", old)), [old, "__b"]).join(F.broadcast(parts.withColumnRenamed("__i", old)), old)
     hit = F.filter("__cuts", lambda c: (c["lo"] < F.col("__m")) & (F.col("__m") <= c["hi"]))
     return docs.withColumn("__m", mid).withColumn(new, F.get(hit, F.lit(0))["to"]).drop("__s", "__m", "__cuts", "__b")
 
 
-def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: Sequence[int] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def salted(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """rows whose key also hangs on their place where more than HOT of them share it (the few such keys are counted first)."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > HOT).select(F.col(key).alias("__hot"))
+    return rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(key, F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(key, place))).drop("__hot")
+
+
+def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: Sequence[int] | None = None, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard, slot (gapless in its shard), moved: one row for each row of docs.
 
-    old_shard: int column with values from 0; capacities: bytes of the new shards (equal by default)."""
+    old_shard: int column with values from 0; capacities: bytes of the new shards (equal by default); row: a column that
+    numbers the rows, carried along as `row` (by default their places as read)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))
     slim = written(slim.withColumn("key", F.xxhash64("doc_id", "text_crc32", "size")), "reshard-docs")
     total = slim.count()
     blocks = max(BLOCKS, -(-total // DOCS_A_BLOCK))
     if not total:
-        return slim.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(False).alias("moved"))
+        return slim.select("doc_id", "size", "text_crc32", "old_shard", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(False).alias("moved"), *(["row"] if row else []))
+    slim = salted(slim, "key", "row")
     hashed = F.pmod("key", F.lit(blocks)).cast("int")
     first = written(_flowed(slim, "old_shard", hashed, "__first", capacities, shards), "reshard-flow")
     bySize = (F.least(F.floor(F.col("size") / 64), F.lit(CLASSES - 1)) * blocks + F.pmod("key", F.lit(max(CLASSES, blocks // CLASSES)))).cast("int")
@@ -131,62 +140,64 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 8, capacities: Seq
     done = done.withColumn("__b", hashed)
     counts = done.groupBy("shard", "__b").agg(F.count("*").alias("n")).collect()  # at most shards x blocks
     at = docs.sparkSession.createDataFrame([(s, b, n) for (s, b), n in _block_starts(counts, "n").items()], "shard int, __b int, __s long")
-    order = Window.partitionBy("shard", "__b").orderBy("key", "doc_id", "text_crc32", "size", "old_shard")
+    order = Window.partitionBy("shard", "__b").orderBy("key", "doc_id", "text_crc32", "size", "old_shard", "row")
     out = done.join(F.broadcast(at), ["shard", "__b"]).withColumn("slot", F.col("__s") + F.row_number().over(order) - 1)
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"))
+    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", (F.col("old_shard") != F.col("shard")).alias("moved"), *(["row"] if row else []))
 
 
-def _numbered(rows: DataFrame, doc_id: str, keys: list[str]) -> DataFrame:
-    """rows and __k: 1, 2, ... for rows that are equal in the id and keys."""
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id, *keys).orderBy(F.lit(0))))
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows and __k: 1, 2, ... for those of equal key, which no task needs to hold together: parts of more than HOT equal ones are
+    numbered apart, each from where the parts before it end. rows is read more than once, in the same order."""
+    rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    rows = salted(rows.withColumn("__part", F.col(key)).withColumn("__at", F.pmod("__at", F.lit(1024))), "__part", "__at")
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.filter(F.col("__part") != F.col(key)).groupBy(key, "__part").agg(F.count("*").alias("__n")).withColumn("__s", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    parts = parts.select("__part", "__s")  # at most 1024 rows a hot key
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__part").orderBy(F.lit(0))))
+    return rows.join(parts, "__part", "left").withColumn("__k", F.col("__r") + F.coalesce("__s", F.lit(0))).drop("__at", "__part", "__r", "__s")
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None) -> list[int]:
+def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", old_shard: Column | None = None, row: str | None = None) -> list[int]:
     """Write the shards that gain or lose documents to path/shard=N; the rest stay untouched.
 
-    Returns the shards written. placed: of reshard(). Rows of one id are told apart by their texts, equal ones by
-    old_shard, which is needed where they may stand in several old shards with other columns that differ."""
+    Returns the shards written. placed: of reshard(). Rows meet by `row`, the column of docs that numbered them, where given;
+    else rows of one id are told apart by their texts, equal ones by old_shard, which is needed where they may stand in several
+    old shards with other columns that differ. docs may be the files at path itself."""
     moved = placed.filter("moved").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     touched = sorted(r[0] for r in moved.collect())  # at most the number of shards
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    mine, theirs = [F.col(doc_id), (F.octet_length(body) + 1).cast("long"), F.crc32(body)], [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
-    if old_shard is not None:
-        mine, theirs = [*mine, old_shard.cast("int")], [*theirs, F.col("old_shard")]
-    to = placed.groupBy(F.xxhash64(*theirs).alias("__h")).agg(F.sort_array(F.collect_list("shard")).alias("__to"))
-    to = to.filter(F.exists("__to", lambda s: s.isin(touched)))
-    # the texts are dealt once: the join and the numbering have the same key
-    rows = docs.withColumn("__h", F.xxhash64(*mine)).join(to, "__h").withColumn("__k", F.row_number().over(Window.partitionBy("__h").orderBy(F.lit(0))))
-    rows = rows.withColumn("shard", F.get("__to", F.col("__k") - 1)).filter(F.col("shard").isin(touched)).select(*docs.columns, "shard")
+    to = placed.filter(F.col("shard").isin(touched))
+    keep = [c for c in docs.columns if c != "shard"]
+    if row:
+        rows = docs.select(*keep).join(to.select(F.col("row").alias("__placed"), "shard"), F.col(row) == F.col("__placed"))
+    else:
+        body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+        mine, theirs = [F.col(doc_id), (F.octet_length(body) + 1).cast("long"), F.crc32(body)], [F.col("doc_id"), F.col("size"), F.col("text_crc32")]
+        if old_shard is not None:
+            mine, theirs = [*mine, old_shard.cast("int")], [*theirs, F.col("old_shard")]
+        every = _numbered(placed.select(F.xxhash64(*theirs).alias("__h"), "shard"), "__h").filter(F.col("shard").isin(touched))
+        rows = _numbered(docs.select(*keep, F.xxhash64(*mine).alias("__h")), "__h").join(every, ["__h", "__k"])
     path = path or fresh_path(docs.sparkSession, "shards")
-    if touched:
+    filled = {r[0] for r in to.select("shard").distinct().collect()}
+    if filled:
         # dynamic: only the shards that rows go to are replaced
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    filled = {r[0] for r in placed.select("shard").distinct().collect()}
+        rows.select(*keep, "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for emptied in set(touched) - filled:
-        docs.limit(0).write.mode("overwrite").parquet(f"{path}/shard={emptied}")
+        docs.select(*keep).limit(0).write.mode("overwrite").parquet(f"{path}/shard={emptied}")
     return touched
 
 
-def _all(conditions) -> Column:
-    return reduce(and_, conditions)
-
-
 def resharded_files(docs: DataFrame, old_shard: Column, shards: int = 8) -> DataFrame:
-    """The columns of reshard(), for the rows of a layout in files: the affected shards are rewritten, the others laid out
-    by old_shard as they are, and all rows read back with the shard that they lie in."""
+    """The columns of reshard(), for the rows of a layout in files: docs are laid out by old_shard, then only the affected shards
+    are rewritten in place, and all rows are read back with the shard that they lie in. The layout's rows carry a number."""
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "shards")
-    placed = written(reshard(docs, old_shard, shards), "placed")
-    laid = docs.withColumn("shard", old_shard.cast("int"))
-    touched = rewrite_affected(docs, placed, path, old_shard=old_shard)
-    kept = placed.filter(~F.col("old_shard").isin(touched)).limit(1)
-    if not touched or not kept.isEmpty():
-        laid.filter(~F.col("shard").isin(touched)).write.mode("append").partitionBy("shard").parquet(path)
+    laid = docs.drop("shard").withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int"), "shard": old_shard.cast("int")})
+    laid.write.partitionBy("shard").parquet(path)
+    layout = lambda: spark.read.schema(laid.schema).parquet(path)  # noqa: E731  (its files change)
+    placed = written(reshard(layout(), F.col("__old"), shards, row="__row"), "placed")
+    rewrite_affected(layout(), placed, path, row="__row")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found = spark.read.schema(laid.schema).parquet(path).select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), "shard")
-    keys = ["size", "text_crc32", "old_shard", "shard"]
-    to = _numbered(placed, "doc_id", keys).select(F.col("doc_id").alias("__id"), "slot", "moved", *(F.col(n).alias(f"{n}_to") for n in (*keys, "__k")))
-    out = _numbered(found, "doc_id", keys).join(to, F.col("doc_id").eqNullSafe(F.col("__id")) & _all(F.col(n) == F.col(f"{n}_to") for n in (*keys, "__k")), "left")
-    return out.select("doc_id", *keys, "slot", "moved")
+    found = layout().select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.col("__old").alias("old_shard"), "shard", "__row")
+    return found.join(placed.select(F.col("row").alias("__row"), "slot", "moved"), "__row", "left").drop("__row")
 
 
 def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

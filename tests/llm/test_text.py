@@ -192,6 +192,42 @@ def test_resharding_reads_files_back(spark, odd):
     assert sharding.resharded_files(docs.limit(0), old, 3).count() == 0
 
 
+def test_many_equal_rows_are_resharded(spark, monkeypatch, tmp_path):
+    """A third of the rows and more are equal: no task or array holds them all, sizes and slots stay right."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "HOT", 50)
+    same = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"), F.lit("s").alias("source"))
+    docs = same.unionByName(spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("repeat('w', int(1 + id % 7))").alias("text"), F.concat(F.lit("s"), F.col("id") % 5).alias("source")))
+    out = sharding.resharded_files(docs, F.crc32(F.col("source").cast("binary")) % 8, 8)
+    rows = out.toPandas()
+    assert len(rows) == 60_000 and sorted(rows.groupby(rows["doc_id"].isna()).size()) == [20_000, 40_000]
+    size = rows.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() - size.min() <= 16
+    for _, part in rows.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert ((rows["old_shard"] != rows["shard"]) == rows["moved"]).all()
+
+
+def test_equal_rows_are_numbered_in_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "HOT", 50)
+    rows = sharding._numbered(spark.range(5000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 40).alias("h")), "h").toPandas()
+    for _, part in rows.groupby("h"):
+        assert sorted(part["__k"]) == list(range(1, len(part) + 1))
+
+
+def test_op8_query(spark):
+    """The registered query, with shards that the flow leaves as they are."""
+    out = sharding.op8_flow_resharding(spark, "/root/testdata/sf0.001").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    assert sorted(out["doc_id"]) == sorted(docs["doc_id"])
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in zip(docs["doc_id"], docs["text"])}
+    assert all(crc[i] == c for i, c in zip(out["doc_id"], out["text_crc32"]))
+    assert sorted(out["shard"].unique()) == list(range(8)) and (out["law"] == "bytes").all()
+
+
 def test_native_and_streaming_ids_agree(library, monkeypatch):
     rng, fast = random.Random(9), packing.FastIds()
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 60))) for _ in range(200)]
