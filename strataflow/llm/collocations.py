@@ -42,8 +42,8 @@ CHUNK, OVERLAP = 1 << 18, 2
 LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
 #: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
 SLAB, WORDS, MET = 1 << 21, 1 << 18, 21
-#: Patterns of an automaton; bytes that it scans in a task.
-MOST_PATTERNS, BLOCK = 50_000, 12 << 20
+#: Patterns of an automaton; bytes that it scans in a task; bytes from which a task gathers candidates (a task tells each once).
+MOST_PATTERNS, BLOCK, GATHER = 50_000, 12 << 20, 128 << 20
 GUARD = b"."
 #: Bytes as normal texts have them: A-Z lower-cased, the tab a space, every delimiter the guard.
 BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else GUARD[0] if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
@@ -161,9 +161,13 @@ def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
         keys, n = [], 0
 
         def counters() -> pa.RecordBatch:
-            at, many = np.unique(np.concatenate(keys) >> np.uint64(64 - bits), return_counts=True)
+            at = np.concatenate(keys)
             keys.clear()
-            at, many = at.astype(np.int64), np.minimum(many, least).astype(np.uint8)  # one that reaches the least count alone needs no more
+            at >>= np.uint64(64 - bits)
+            at.sort()
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            many = np.minimum(np.diff(first, append=len(at)), least).astype(np.uint8)  # one that reaches the least count alone needs no more
+            at = at[first].astype(np.int64)
             edge = np.searchsorted(at >> (bits - BLOCKS), np.arange((1 << BLOCKS) + 1))
             blocks = [k for k in range(1 << BLOCKS) if edge[k + 1] > edge[k]]
             cells = [gaps(at[edge[k] : edge[k + 1]] & ((1 << (bits - BLOCKS)) - 1), many[edge[k] : edge[k + 1]]) for k in blocks]
@@ -348,13 +352,14 @@ def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "l
         raise ValueError("the least count must be from 1 to 255")
     spark = docs.sparkSession
     pieces = written(prepared(docs, text, lang), "pieces")
-    total = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0))).first()[0]
+    total, size = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
     bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
     for block, held in reached(sketched(pieces, bits, least), bits, least).toLocalIterator(prefetchPartitions=True):
         bitmap[block << (bits - BLOCKS - 3) : (block + 1) << (bits - BLOCKS - 3)] = held
     sent = spark.sparkContext.broadcast(bytes(bitmap))
-    both = written(candidates(pieces, sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(size) // GATHER))
+    both = written(candidates(pieces.coalesce(tasks), sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
     words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
     plan = found.groupBy("lang").agg(F.ceil(F.count("*") / MOST_PATTERNS).cast("int").alias("shards"))
     plan = pieces.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
