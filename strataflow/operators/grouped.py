@@ -111,10 +111,11 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return dict(np.load(io.BytesIO(data)))
 
 
-def trained(df: DataFrame, features: Sequence[str], label: str, cluster: str = "cluster_id", held: Column | None = None, preset: str | tuple = "quick", least: int = 50, patience: int = PATIENCE) -> DataFrame:
+def trained(df: DataFrame, features: Sequence[str], label: str, cluster: str = "cluster_id", held: Column | None = None, preset: str | tuple = "quick", least: int = 50, patience: int = PATIENCE, rounds: DataFrame | None = None) -> DataFrame:
     """cluster, member, n, rounds, edges, model: the members of each cluster's model and of the fallback (cluster FALLBACK).
 
-    held: rows that only judge when to stop. preset: a name of PRESETS or (trees, step, depth, loss). Rows without label or
+    held: rows that only judge when to stop. preset: a name of PRESETS or (trees, step, depth, loss). rounds: models stopped
+    before (cluster, rounds), as many trees as these had are made (the final fit, on held rows too). Rows without label or
     cluster take no part in a cluster's model, those without label in none."""
     trees, step, depth, loss = PRESETS[preset] if isinstance(preset, str) else preset
     known = df.filter(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
@@ -126,7 +127,10 @@ def trained(df: DataFrame, features: Sequence[str], label: str, cluster: str = "
     sizes = sizes.filter((F.col("cluster") != FALLBACK) & (F.col("n") >= least)).unionByName(every).filter("n > 0")
     parts = F.ceil(F.col("n") / ROWS).cast("long")
     both = rows.filter(F.col("cluster") != FALLBACK).unionByName(rows.withColumn("cluster", F.lit(FALLBACK)))
-    both = both.join(F.broadcast(sizes.withColumn("parts", parts)), "cluster")  # a row a cluster
+    sizes = sizes.withColumn("parts", parts)
+    known = rounds.groupBy("cluster").agg(F.ceil(F.avg("rounds")).cast("int").alias("__trees")) if rounds is not None else None
+    sizes = sizes.join(known, "cluster", "left").withColumn("__trees", F.coalesce("__trees", F.lit(trees))) if rounds is not None else sizes.withColumn("__trees", F.lit(trees))
+    both = both.join(F.broadcast(sizes), "cluster")  # a row a cluster
     both = both.withColumn("member", F.pmod("__h", "parts").cast("int")).filter(F.col("member") < MEMBERS).drop("parts", "n", "__h")
 
     def fit(t: pa.Table) -> pa.Table:
@@ -134,7 +138,7 @@ def trained(df: DataFrame, features: Sequence[str], label: str, cluster: str = "
         y, out = t["__y"].to_numpy(), t["__held"].to_numpy(zero_copy_only=False)
         if out.all():
             out = np.zeros(len(out), bool)
-        model = boosted(binned(t, features, edges), y, out, trees, step, depth, loss, patience)
+        model = boosted(binned(t, features, edges), y, out, t["__trees"][0].as_py(), step, depth, loss, patience)
         return pa.table({"cluster": t["cluster"][:1], "member": t["member"][:1], "n": pa.array([int((~out).sum())], pa.int64()), "rounds": pa.array([len(model["value"])], pa.int32()), "edges": pa.array([edges.tolist()], pa.list_(pa.list_(pa.float64()))), "model": pa.array([packed(model)], pa.binary())})
 
     return both.groupBy("cluster", "member").applyInArrow(fit, "cluster int, member int, n long, rounds int, edges array<array<double>>, model binary")
@@ -172,3 +176,8 @@ def errors_by_cluster(rows: DataFrame, models: DataFrame, label: str, cluster: s
     out = rows.filter(F.col(label).isNotNull()).groupBy(cluster, "model_cluster").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
     about = models.groupBy(F.col("cluster").alias("model_cluster")).agg(F.count("*").alias("members"), F.min_by("rounds", "member").alias("rounds"))
     return out.join(F.broadcast(about), "model_cluster")
+
+
+def final(df: DataFrame, stopped: DataFrame, features: Sequence[str], label: str, cluster: str = "cluster_id", preset: str | tuple = "quick", least: int = 50) -> DataFrame:
+    """Models of all rows, each with as many trees as the one of `stopped` (of trained() with held rows) did best with."""
+    return trained(df, features, label, cluster, None, preset, least, rounds=stopped.select("cluster", "rounds"))

@@ -28,8 +28,8 @@ def lift(steps: DataFrame, order: str, error: str) -> DataFrame:
     return steps.withColumn("lift", (first - F.col(error)) / first * 100)
 
 
-def regressor(features: Sequence[str], label: str, trees: int = 20, step: float = 0.1, depth: int = 5, loss: str = "absolute", validation: str | None = None) -> Pipeline:
-    more = {"validationIndicatorCol": validation} if validation else {}
+def regressor(features: Sequence[str], label: str, trees: int = 20, step: float = 0.1, depth: int = 5, loss: str = "absolute", validation: str | None = None, tolerance: float = 0.01) -> Pipeline:
+    more = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, stepSize=step, maxDepth=depth, lossType=loss, seed=42, **more)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), gbt])
 
@@ -42,6 +42,21 @@ def evaluated(train: DataFrame, val: DataFrame, features: Sequence[str], label:
     return model, r["mae"], r["rmse"]
 
 
+def stopped(train: DataFrame, val: DataFrame, features: Sequence[str], label: str, share: float = 0.2, seed: int = 42, s: SeriesSchema = DEFAULT, **preset) -> tuple[object, int, float, float]:
+    """(model, trees, MAE, RMSE on val): training ends where the error on a share of train's series falls no further; val is unseen."""
+    use = lambda df, held: df.filter(F.col(label).isNotNull()).select(label, *features).fillna(0.0).withColumn("held", F.lit(held))
+    fit, judge = rel.split_wells(train, share, seed, s)
+    model = regressor(features, label, validation="held", **preset).fit(use(fit, False).unionByName(use(judge, True)))
+    r = rel.errors(model.transform(use(val, True)), label, "prediction").first()
+    return model, model.stages[-1].getNumTrees, r["mae"], r["rmse"]
+
+
+def final_fit(df: DataFrame, features: Sequence[str], label: str, trees: int, **preset):
+    """The model of all labelled rows, with the number of trees at which training stopped."""
+    rows = df.filter(F.col(label).isNotNull()).select(label, *features).fillna(0.0)
+    return regressor(features, label, trees=trees, **preset).fit(rows)
+
+
 def importance(model, features: Sequence[str], k: int = 20) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, map(float, values)), key=lambda x: (-x[1], x[0]))[:k]

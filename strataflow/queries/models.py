@@ -105,3 +105,18 @@ def cluster_errors(spark, sf_dir):
     """Errors of these models on held-out series, by cluster, and the round at which training stopped."""
     rows, models = _by_cluster(spark, sf_dir)
     return shaped(gr.errors_by_cluster(rows.filter("held"), models, "tvt"), ["cluster_id"], ["n", "members", "rounds", "model_cluster"], ["mae", "rmse"])
+
+
+@query()
+def early_stopping(spark, sf_dir):
+    """At the presets of long training: the round where it stopped, the error on series that judged, and of the final fit of all rows."""
+    rows = _frame(spark, sf_dir).withColumns({"cluster_id": F.lit(0), "held": F.pmod(F.xxhash64("well_id"), F.lit(5)) == 0})
+    out = None
+    for preset in ("quick", "full"):
+        models = gr.trained(rows, GROUPED, "tvt", held=F.col("held"), preset=preset).filter(F.col("cluster") == 0).cache()  # a few rows
+        held = gr.errors_by_cluster(gr.predicted(rows, models, GROUPED).filter("held"), models, "tvt").select("rounds", "n", "mae", "rmse")
+        last = gr.final(rows, models, GROUPED, "tvt", preset=preset).filter(F.col("cluster") == 0).cache()
+        fit = gr.errors_by_cluster(gr.predicted(rows, last, GROUPED), last, "tvt").select(F.col("rounds").alias("final_rounds"), F.col("mae").alias("final_mae"))
+        one = held.crossJoin(fit).withColumn("preset", F.lit(preset))  # a row each
+        out = one if out is None else out.unionByName(one)
+    return shaped(out, ["preset"], ["rounds", "n", "final_rounds"], ["mae", "rmse", "final_mae"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.operators import clusters as cl
 from strataflow.operators import grouped as gr
+from strataflow.operators import models as ml
 from strataflow.operators import neighbours as nb
 
 
@@ -68,7 +69,7 @@ def test_ward_merges_and_cuts_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 4)) + 2 * rng.integers(0, 5, 150)[:, None]
     df, want = frame(spark, x), greedy(x)
-    merges = cl.ward(df, "id", "v", finish=40)
+    merges = cl.ward(df, "id", "v", finish=50)
     order = lambda rows: sorted(rows, key=lambda r: (r[2], r))
     assert order((r["left"], r["right"], round(r["height"], 8), r["size"]) for r in merges.collect()) == order(want)
     assert merges.agg(F.max("round")).first()[0] > 3
@@ -136,3 +137,19 @@ def test_members_of_a_large_cluster(spark, steps, monkeypatch):
     out = gr.predicted(steps, models, ["a", "b"])
     e = out.filter("y is not null").agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]
     assert out.count() == 911 and e < 0.6
+
+
+def test_final_fit_takes_the_stopped_rounds(spark, steps):
+    stopped = gr.trained(steps, ["a", "b"], "y", held=F.col("held"), preset=(200, 0.2, 3, "squared"), patience=5).cache()
+    rounds = {r["cluster"]: r["rounds"] for r in stopped.collect()}
+    last = {r["cluster"]: (r["rounds"], r["n"]) for r in gr.final(steps, stopped, ["a", "b"], "y", preset=(200, 0.2, 3, "squared")).collect()}
+    assert {c: r for c, (r, _) in last.items()} == rounds and all(r < 200 for r in rounds.values())
+    assert last[0][1] == steps.filter("cluster_id = 0 and y is not null").count()  # held rows too
+
+
+def test_spark_training_stops(spark, steps):
+    df = steps.filter("y is not null").withColumn("well_id", F.col("id") % 20)
+    train, val = df.filter("well_id < 15"), df.filter("well_id >= 15")
+    model, trees, mae, _ = ml.stopped(train, val, ["a", "b"], "y", trees=60, step=0.5, depth=3, loss="squared", tolerance=0.05)
+    assert 1 <= trees < 60 and mae < 1.2
+    assert ml.final_fit(df, ["a", "b"], "y", trees, step=0.5, depth=3, loss="squared").stages[-1].getNumTrees == trees
