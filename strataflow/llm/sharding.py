@@ -180,7 +180,7 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str, doc_id: str
     filled = {r[0] for r in to.select("shard").distinct().collect()}
     if filled:
         # dynamic: only the shards that rows go to are replaced
-        rows.select(*keep, "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        rows.select(*keep, "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
     for emptied in set(touched) - filled:
         docs.select(*keep).limit(0).write.mode("overwrite").parquet(f"{path}/shard={emptied}")
     return touched
@@ -191,7 +191,7 @@ def resharded_files(docs: DataFrame, old_shard: Column, shards: int = 8) -> Data
     are rewritten in place, and all rows are read back with the shard that they lie in. The layout's rows carry a number."""
     spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "shards")
     laid = docs.drop("shard").withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int"), "shard": old_shard.cast("int")})
-    laid.write.partitionBy("shard").parquet(path)
+    laid.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     layout = lambda: spark.read.schema(laid.schema).parquet(path)  # noqa: E731  (its files change)
     placed = written(reshard(layout(), F.col("__old"), shards, row="__row"), "placed")
     rewrite_affected(layout(), placed, path, row="__row")
