@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import compress
 from operator import itemgetter
 
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import discard, mix64, read, written
 
-CHUNK, OVERLAP = 1 << 18, 2
+CHUNK, OVERLAP = 1 << 17, 2
+#: Rows of texts that a task holds at once.
+ROWS = 256
 #: The number of counters is a power of two between these; they are summed in 2^BLOCKS blocks.
 LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
 #: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
-SLAB, WORDS, MET = 1 << 21, 1 << 18, 21
+SLAB, WORDS, MET = 1 << 21, 1 << 17, 21
 #: Patterns of an automaton; bytes that it scans in a task; bytes from which a task gathers candidates (a task tells each once).
 MOST_PATTERNS, BLOCK, GATHER = 50_000, 12 << 20, 128 << 20
 GUARD = b"."
@@ -345,6 +348,18 @@ def scanned(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     return each.groupBy(*keys).cogroup(texts.groupBy(*keys)).applyInArrow(scan, "lang string, phrase string, a long")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """Tasks started within take so many rows at once: by default a batch could be a whole partition of large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, phrase, a of all phrases of two or three words that occur `least` times; lang, word, n of all words that do, and
     maybe others; lang, n: number of words)."""
@@ -354,19 +369,20 @@ def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "l
     pieces = written(prepared(docs, text, lang), "pieces")
     total, size = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
-    bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
-    for block, held in reached(sketched(pieces, bits, least), bits, least).toLocalIterator(prefetchPartitions=True):
-        bitmap[block << (bits - BLOCKS - 3) : (block + 1) << (bits - BLOCKS - 3)] = held
-    sent = spark.sparkContext.broadcast(bytes(bitmap))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-int(size) // GATHER))
-    both = written(candidates(pieces.coalesce(tasks), sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
-    words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
-    plan = found.groupBy("lang").agg(F.ceil(F.count("*") / MOST_PATTERNS).cast("int").alias("shards"))
-    plan = pieces.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
-    plan = written(plan.withColumn("blocks", F.ceil(F.col("size") / F.col("shards") / BLOCK).cast("long")).drop("size"), "plan", True)
-    held = plan.filter("shards is not null").drop("n")
-    counts = scanned(with_shards(found.join(held, "lang")), dealt(pieces.join(held, "lang"), sent, bits))
-    counts = written(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "counts", True)
+    with small_batches(spark):
+        bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
+        for block, held in reached(sketched(pieces, bits, least), bits, least).toLocalIterator(prefetchPartitions=True):
+            bitmap[block << (bits - BLOCKS - 3) : (block + 1) << (bits - BLOCKS - 3)] = held
+        sent = spark.sparkContext.broadcast(bytes(bitmap))
+        tasks = max(spark.sparkContext.defaultParallelism, -(-int(size) // GATHER))
+        both = written(candidates(pieces.coalesce(tasks), sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
+        words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
+        plan = found.groupBy("lang").agg(F.ceil(F.count("*") / MOST_PATTERNS).cast("int").alias("shards"))
+        plan = pieces.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
+        plan = written(plan.withColumn("blocks", F.ceil(F.col("size") / F.col("shards") / BLOCK).cast("long")).drop("size"), "plan", True)
+        held = plan.filter("shards is not null").drop("n")
+        counts = scanned(with_shards(found.join(held, "lang")), dealt(pieces.join(held, "lang"), sent, bits))
+        counts = written(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "counts", True)
     discard(pieces)
     return counts, words, plan.select("lang", "n")
 
