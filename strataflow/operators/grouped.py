@@ -151,7 +151,7 @@ def predicted(df: DataFrame, models: DataFrame, features: Sequence[str], cluster
     own = models.select(F.col("cluster").alias("model_cluster")).distinct()
     rows = df.join(F.broadcast(own), F.col(cluster).cast("int") == F.col("model_cluster"), "left").withColumn("model_cluster", F.coalesce("model_cluster", F.lit(FALLBACK)))
     sizes = rows.groupBy("model_cluster").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("__blocks"))
-    rows = rows.join(F.broadcast(sizes), "model_cluster").withColumn("__block", F.floor(F.rand(1) * F.col("__blocks")).cast("int")).drop("__blocks")
+    rows = rows.join(F.broadcast(sizes), "model_cluster").withColumn("__block", F.pmod(F.xxhash64(*df.columns), "__blocks").cast("int")).drop("__blocks")
     each = models.join(F.broadcast(sizes), F.col("cluster") == F.col("model_cluster")).select("cluster", "member", "edges", "model", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("block"))
     out = [*df.columns, "model_cluster"]
     kinds = dict(rows.dtypes)

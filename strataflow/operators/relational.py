@@ -18,13 +18,15 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> Da
 
 def typewell(df: DataFrame, s: SeriesSchema = DEFAULT, flag: str = "is_typewell", rows: int = 500) -> DataFrame:
     """Rows of the reference series: those flagged, else those of the series with most readings (least id first),
-    else (no series has a reading) the first `rows` rows in the order of series."""
+    else (no series has a reading) the first `rows` rows in the order of series.
+
+    One small job names the series, so that what follows is a scan with a filter."""
     if flag in df.columns:
         return df.filter(F.col(flag) == 1)
-    best = df.groupBy(s.well).agg(F.count(s.gr).alias("n")).orderBy(F.desc("n"), s.well).limit(1)
-    dense = df.join(F.broadcast(best.filter("n > 0").select(s.well)), s.well, "left_semi")  # one row
-    first = df.orderBy(s.well, *s.order).limit(rows)
-    return dense.unionByName(first.join(F.broadcast(best.filter("n = 0").select("n")), F.lit(True), "left_semi"))
+    best = df.groupBy(s.well).agg(F.count(s.gr).alias("n")).orderBy(F.desc("n"), s.well).limit(1).first()
+    if best and best["n"]:
+        return df.filter(F.col(s.well) == F.lit(best[s.well]))
+    return df.orderBy(s.well, *s.order).limit(rows)
 
 
 def split_wells(df: DataFrame, fraction: float = 0.2, seed: int = 42, s: SeriesSchema = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -180,11 +180,41 @@ def window_match(spark, sf_dir):
     return shaped(wide, K, [], [*names, "tw_tvt_vs_ffill"])
 
 
-@query()
+#: The three best readings of each series at least five rows apart, among its fifteen best: as nested lists.
+_PICKS = """a AS (SELECT well_id, list({'s': gr, 'i': row_seq, 'v': tvt} ORDER BY gr DESC, row_seq)[1:15] AS p FROM well_log WHERE gr IS NOT NULL GROUP BY 1),
+ b AS (SELECT well_id, p[1] AS p1, list_filter(p, lambda x: abs(x.i - p[1].i) >= 5) AS q FROM a),
+ c AS (SELECT well_id, p1, q[1] AS p2, list_filter(q, lambda x: abs(x.i - q[1].i) >= 5)[1] AS p3 FROM b)"""
+
+
+def _scored(spark, sf_dir):
+    entry = F.struct(F.col("gr").alias("score"), F.col("row_seq").cast("int").alias("i"), F.col("tvt").alias("value"))
+    return log(spark, sf_dir).filter("gr is not null").groupBy("well_id").agg(F.collect_list(entry).alias("a"))
+
+
+@query(with_views(f"SELECT well_id, CAST(rank AS INT) AS rank, CAST(p.i AS INT) AS i, p.s AS score FROM (SELECT well_id, unnest([0, 1, 2]) AS rank, unnest([p1, p2, p3]) AS p FROM (WITH {_PICKS} SELECT * FROM c)) WHERE p IS NOT NULL", "well_log"))
 def separated_topk(spark, sf_dir):
-    """The three best windows of each series at least five rows apart, by one fold over the sorted scores."""
-    df = log(spark, sf_dir).filter("gr is not null").groupBy("well_id").agg(F.collect_list(F.struct(F.col("gr").alias("score"), F.col("row_seq").cast("int").alias("i"))).alias("a"))
-    return df.select("well_id", F.posexplode(mt.top_separated(F.col("a"), 3, 5)).alias("rank", "x")).select("well_id", "rank", "x.i", "x.score")
+    """The three best readings of each series at least five rows apart, by one fold over the sorted scores."""
+    return _scored(spark, sf_dir).select("well_id", F.posexplode(mt.top_separated(F.col("a"), 3, 5)).alias("rank", "x")).select("well_id", "rank", "x.i", "x.score")
+
+
+_SUMMARY = ["best_value", "best_score", "second_value", "weighted_value", "spread", "confidence"]
+
+
+@query(with_views(shape(f"""SELECT well_id, p1.v AS best_value, p1.s AS best_score, v2 AS second_value, (greatest(p1.s, 0) + 1e-9) * p1.v + (greatest(s2, 0) + 1e-9) * v2 + (greatest(s3, 0) + 1e-9) * v3 AS w, weighted / weights AS weighted_value, spread, greatest(p1.s, 0) AS confidence FROM (
+ SELECT *, (greatest(p1.s, 0) + 1e-9) * p1.v + (greatest(s2, 0) + 1e-9) * v2 + (greatest(s3, 0) + 1e-9) * v3 AS weighted, greatest(p1.s, 0) + greatest(s2, 0) + greatest(s3, 0) + 3e-9 AS weights, list_stddev_pop([p1.v, v2, v3]) AS spread FROM (
+ SELECT well_id, p1, coalesce(p2, p1).v AS v2, coalesce(p2, p1).s AS s2, coalesce(p3, p2, p1).v AS v3, coalesce(p3, p2, p1).s AS s3 FROM (WITH {_PICKS} SELECT * FROM c)))""", ["well_id"], [], _SUMMARY), "well_log"))
+def separated_summary(spark, sf_dir):
+    """What the three separated best readings of each series say of the target."""
+    df = _scored(spark, sf_dir)
+    return shaped(df.select("well_id", *(c.alias(n) for n, c in mt.topk_summary(F.col("a"), 3, 5).items())), ["well_id"], [], _SUMMARY)
+
+
+@query()
+def hybrid_reloaded(spark, sf_dir):
+    """The hybrid's learner fitted, saved, loaded again and applied."""
+    df, path = log(spark, sf_dir), new_folder(spark, "hybrid")
+    fc.HybridEstimator(trees=5).fit(df).save(spark, path)
+    return shaped(fc.HybridModel.load(spark, path).predict(df), K, [], ["physics_tvt", "physics_confidence", "residual", "hybrid_tvt"])
 
 
 @query()
@@ -194,12 +224,40 @@ def tps_surface(spark, sf_dir):
     return shaped(sf.evaluated(points, sf.fitted(tops)), ["n_nationkey", "formation"], [], ["surface"])
 
 
+def _places(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 53).cast("double").alias("y"), F.lit(-1000.0).alias("z"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal").cast("double")).alias("tvt_input"))
+
+
 @query()
 def formation_features(spark, sf_dir):
+    """Expected depth, distance, thickness and dip correction of every formation at every place."""
     tops = view(spark, sf_dir, "tops")
     names = sorted(r[0] for r in tops.select("formation").distinct().limit(MOST_FORMATIONS + 1).collect())
     if len(names) > MOST_FORMATIONS:
         raise ValueError(f"a wide row has the columns of at most {MOST_FORMATIONS} formations")
-    wells = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 37).cast("double").alias("x"), (F.col("s_suppkey") % 53).cast("double").alias("y"), F.lit(-1000.0).alias("z"))
-    out = sf.formation_features(wells, tops, ["s_suppkey"], names)
+    out = sf.formation_features(_places(spark, sf_dir), tops, ["s_suppkey"], names, target="tvt_input")
     return shaped(out, ["s_suppkey"], [], [c for c in out.columns if c != "s_suppkey"])
+
+
+_PLANE = "SELECT formation, CASE WHEN n < 3 THEN 0 WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN coalesce(xz / nullif(xx + yy, 0), 0) ELSE (xz * yy - yz * xy) / (xx * yy - xy * xy) END AS a, CASE WHEN n < 3 THEN 0 WHEN abs(xx * yy - xy * xy) <= 1e-9 * (xx + yy) ** 2 THEN coalesce(yz / nullif(xx + yy, 0), 0) ELSE (yz * xx - xz * xy) / (xx * yy - xy * xy) END AS b FROM (SELECT formation, count(*) AS n, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, depth) AS xz, covar_pop(y, depth) AS yz FROM tops GROUP BY 1)"
+
+
+@query(with_views(shape(f"SELECT s_suppkey, formation, sqrt(a * a + b * b) AS dip, CASE WHEN sqrt(a * a + b * b) > 0 THEN a * (s_suppkey % 37) + b * (s_suppkey % 53) END AS dip_corr FROM supplier, ({_PLANE})", ["s_suppkey", "formation"], [], ["dip", "dip_corr"]), "tops"))
+def dip_corrections(spark, sf_dir):
+    """What the dip of every formation adds at every place."""
+    return shaped(sf.dip_corrections(_places(spark, sf_dir), view(spark, sf_dir, "tops"), ["s_suppkey"]), ["s_suppkey", "formation"], [], ["dip", "dip_corr"])
+
+
+@query()
+def structural_context(spark, sf_dir):
+    """Expected depth and dip of every formation at the place of every nation."""
+    places = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 1.5).alias("x"), (F.col("n_nationkey") * 2.1).alias("y"))
+    return shaped(sf.structural_context(places, view(spark, sf_dir, "tops"), ["n_nationkey"]), ["n_nationkey", "formation"], [], ["pred", "dip"])
+
+
+@query()
+def thickness_surface(spark, sf_dir):
+    """Base surface less top surface of every formation at every place."""
+    tops = view(spark, sf_dir, "tops")
+    top, base = sf.fitted(tops), sf.fitted(tops, "base_depth")
+    return shaped(sf.thickness_between(_places(spark, sf_dir), top, base, ["s_suppkey"]), ["s_suppkey", "formation"], [], ["thickness"])

@@ -130,7 +130,7 @@ def test_thin_plate_surface(spark):
     got = {r.formation: r.surface for r in sf.evaluated(spark.createDataFrame([(2.5, 1.5)], "x double, y double"), sf.fitted(tops)).collect()}
     assert abs(got["A"] - 6.5) < 1e-6 and got["B"] == 7
     wide = sf.formation_features(spark.createDataFrame([(1, 1.0, 2.0, 0.5)], "k long, x double, y double, z double"), tops, ["k"], ["A", "B"])
-    assert wide.columns == ["k", "pred_top_a", "dist_to_a", "thick_a", "pred_top_b", "dist_to_b", "thick_b"] and wide.first().dist_to_b == 6.5
+    assert wide.columns == ["k", *(f"{c}_{f}" for f in "ab" for c in ("pred_top", "dist_to", "thick", "dip_corr"))] and wide.first().dist_to_b == 6.5
 
 
 def test_physics_recurrence(log):
@@ -147,6 +147,36 @@ def test_hybrid_and_ensemble(log):
     assert len(out) == log.count() and out["TVT_uncertainty"].dropna().ge(0).all()
 
 
+def test_hybrid_is_saved_and_loaded(spark, log, tmp_path):
+    model = fc.HybridEstimator(least=5, trees=3).fit(log)
+    model.save(spark, str(tmp_path / "hybrid"))
+    again = fc.HybridModel.load(spark, str(tmp_path / "hybrid"))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert model.learner is not None and again.n == model.n and order(again.predict(log)) == order(model.predict(log)) == order(fc.hybrid(log, least=5, trees=3))
+    none = fc.HybridEstimator(least=10**6).fit(log)
+    none.save(spark, str(tmp_path / "none"))
+    assert fc.HybridModel.load(spark, str(tmp_path / "none")).learner is None
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+def test_similar_wells_over_ranges(spark, monkeypatch, ranges):
+    monkeypatch.setattr(fc, "RANGES", ranges)
+    rng = np.random.default_rng(8)
+    means = np.concatenate([rng.normal(size=40), np.full(10, 0.25), rng.normal(size=10) * 100])
+    df = spark.createDataFrame([(i, float(m)) for i, m in enumerate(means)], "well_id long, gr double")
+    got = {(r["well_id"], r["other"]): r["score"] for r in fc.similar_wells(df, 3).collect()}
+    order = sorted(range(60), key=lambda i: (means[i], i))
+    want = {(i, order[k + o]): 1 / (1 + abs(means[i] - means[order[k + o]])) for k, i in enumerate(order) for o in (-3, -2, -1, 1, 2, 3) if 0 <= k + o < 60}
+    assert got == pytest.approx(want)
+
+
+def test_topk_summary_is_padded(spark):
+    df = spark.sql("SELECT array(named_struct('score', -1.0D, 'i', 3, 'value', 7.0D)) AS a UNION ALL SELECT cast(array() AS array<struct<score: double, i: int, value: double>>)")
+    rows = df.select(*(c.alias(n) for n, c in mt.topk_summary(F.col("a"), 3, 2).items())).collect()
+    assert [r.asDict() for r in rows if r.best_value] == [{"best_value": 7.0, "best_score": -1.0, "second_value": 7.0, "weighted_value": pytest.approx(7.0), "spread": 0.0, "confidence": 0.0}]
+    assert [r for r in rows if r.best_value is None][0].asDict() == dict.fromkeys(("best_value", "best_score", "second_value", "weighted_value", "spread", "confidence"))
+
+
 def test_window_match_finds_itself(log):
     one = log.filter("well_id = 1")
     got = mt.window_matches(one, one, width=12, stride=4, reference_stride=1).toPandas()
