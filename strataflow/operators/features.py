@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,19 +257,26 @@ def well_fingerprint(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
 
 
 def fingerprint_windows(df: DataFrame, width: int = 100, step: int = 10, s: SeriesSchema = DEFAULT) -> DataFrame:
-    """Depositional features of the `width` rows from the start of each row's bucket of `step` rows on (computed once a
-    bucket, joined to its rows); the last bucket, if shorter than `step`, takes the one before."""
+    """Depositional features of the `width` rows (a multiple of `step`) from the start of each row's bucket of `step` rows on
+    (computed once a bucket, joined to its rows); the last bucket, if shorter than `step`, takes the one before."""
     df = df.withColumns({"__rn": F.row_number().over(s.ordered) - 1, "__n": F.count("*").over(s.whole), "__d": F.abs(F.col(s.gr) - F.lag(s.gr).over(s.ordered))})
     bucket = F.floor(F.col("__rn") / step)
     df = df.withColumn("__b", F.when(F.col("__n") - bucket * step >= step, bucket).otherwise(F.greatest(F.lit(0), bucket - 1)).cast("int"))
-    gr = F.col(s.gr)
-    # a row takes part in the windows of the width / step buckets up to its own: grouping by window does a tenth of a sliding frame's work
-    parts = df.select(s.well, s.gr, "__rn", "__d", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("__rn") - width) / step).cast("int") + 1), bucket.cast("int"))).alias("__k"))
-    inner = F.when(F.col("__rn") > F.col("__k") * step, F.col("__d"))
-    at = parts.groupBy(s.well, "__k").agg(
-        F.count("*").alias("__m"), F.regr_slope(gr, F.col("__rn").cast("double")).alias("__slope"), F.stddev_pop(gr).alias("depo_gr_var"),
-        F.avg((gr > SHALE).cast("double")).alias("depo_shale_fraction"), F.avg((gr < SAND).cast("double")).alias("depo_sand_fraction"), F.sort_array(F.collect_list(inner)).alias("__ds"),
-    ).filter(F.col("__m") >= step)
+    gr, there = F.col(s.gr), F.col(s.gr).isNotNull()
+    # sums and changes by bucket, then of the width / step buckets of a window: no row is repeated
+    x, total = F.col("__rn").cast("double"), lambda c: F.sum(F.when(there, c).otherwise(F.lit(0.0)))
+    sums = {"__c": F.lit(1.0), "__x": x, "__y": gr, "__xx": x * x, "__xy": x * gr, "__yy": gr * gr, "__shale": (gr > SHALE).cast("double"), "__sand": (gr < SAND).cast("double")}
+    parts = df.groupBy(s.well, bucket.cast("int").alias("__k")).agg(
+        F.count("*").alias("__m"), *(total(c).alias(n) for n, c in sums.items()),
+        F.collect_list("__d").alias("__all"), F.collect_list(F.when(F.col("__rn") % step > 0, F.col("__d"))).alias("__own"),  # the first change leads into the window
+    )
+    span, rest = (Window.partitionBy(s.well).orderBy("__k").rangeBetween(k, width // step - 1) for k in (0, 1))
+    at = parts.select(s.well, "__k", *(F.sum(n).over(span).alias(n) for n in ("__m", *sums)), F.sort_array(F.concat("__own", F.flatten(F.collect_list("__all").over(rest)))).alias("__ds")).filter(F.col("__m") >= step)
+    c, mean = F.when(F.col("__c") > 0, F.col("__c")), lambda n: ratio(F.col(n), F.col("__c"))
+    at = at.withColumns({
+        "__slope": ratio(F.col("__xy") - F.col("__x") * F.col("__y") / c, F.when(F.col("__c") > 1, F.col("__xx") - F.col("__x") * F.col("__x") / c)),
+        "depo_gr_var": F.sqrt(F.greatest(F.lit(0.0), mean("__yy") - mean("__y") * mean("__y"))), "depo_shale_fraction": mean("__shale"), "depo_sand_fraction": mean("__sand"),
+    })
     place = 0.75 * (F.size("__ds") - 1)
     low, high = F.get("__ds", F.floor(place).cast("int")), F.get("__ds", F.ceil(place).cast("int"))
     at = at.withColumn("__p", low + (high - low) * (place - F.floor(place)))

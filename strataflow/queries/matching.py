@@ -49,7 +49,7 @@ def cosine_topk_all(spark, sf_dir):
 def _index(spark, sf_dir):
     """An index of the embeddings in a new folder: half of them built, the others appended; opened again."""
     e, path = table(spark, sf_dir, "embeddings"), new_folder(spark, "index")
-    nb.EmbeddingIndex.build(e.filter("vec_id % 2 = 0"), path, "vec_id", "embedding", cells=16)
+    nb.EmbeddingIndex.build(e.filter("vec_id % 2 = 0"), path, "vec_id", "embedding", cells=16, recall=0.0)
     return nb.EmbeddingIndex(spark, path).append(e).tuned(0.95, 5), e
 
 
