@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import discard, mix64, read, written
 
 CHUNK, OVERLAP = 1 << 17, 2
-#: Rows of texts that a task holds at once.
-ROWS = 256
+#: Rows of texts that a task holds at once; parts of a language whose best phrases are ranked apart.
+ROWS, PARTS = 256, 64
 #: The number of counters is a power of two between these; they are summed in 2^BLOCKS blocks.
 LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
 #: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
@@ -404,8 +404,11 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     three = three.join(count_of("w1", "l1"), ["lang", "w1"]).join(pair_of("tail", "r1"), ["lang", "tail"]).join(pair_of("head", "l2"), ["lang", "head"]).join(count_of("w3", "r2"), ["lang", "w3"])
     three = three.withColumns({"s1": score("l1", "r1"), "s2": score("l2", "r2")}).withColumn("first", F.col("s1") <= F.col("s2"))
     three = three.select("lang", "phrase", "a", *(F.when(F.col("first"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("l1", "l2", "l"), ("r1", "r2", "r"), ("s1", "s2", "score"))))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # the best of each part of a language first: no task ranks all phrases of a large one
+    parts = two.unionByName(three).withColumn("__part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    parts = parts.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__part").orderBy(*order))).filter(F.col("__r") <= top).drop("__r", "__part")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
