@@ -174,3 +174,30 @@ def prior_features(spark, sf_dir):
     zone, temp = rules.paleoclimate(F.col("lat"), F.col("age"))
     record = {"regional_age_max_ma": F.col("age"), "paleo_lat": F.col("lat"), "paleo_lon": F.col("lon"), "paleo_climate_zone": zone, "paleo_temp_proxy_c": temp, "paleo_ocean_proximity": rules.ocean_proximity(F.col("lat"), F.col("lon"), F.col("age"))[0], "mineral_site_count": F.col("c_custkey") % 90}
     return shaped(df.withColumns(rules.prior_features(record)), ["c_custkey"], [], _PR)
+
+
+def _rocks(url, params, timeout):
+    """A stand-in for the services, whose answers follow from the question: every place has six columns, each of them two units."""
+    if url.endswith("columns"):
+        first = int(abs(params["lat"]) + abs(params["lng"]))
+        return {"success": {"data": [{"col_id": None if k == 1 else first + 100 * k, "col_name": f"column {k}"} for k in range(6)]}}
+    if url.endswith("units"):
+        c = params["col_id"]
+        kinds = ("sedimentary", "igneous", "metamorphic")
+        return {"success": {"data": [{"unit_id": 10 * c + k, "unit_name": f"unit {k}", "lith_class": kinds[(c + k) % 3], "t_age": c % 50 + k, "b_age": c % 50 + k + 10.0} for k in range(2)]}}
+    raise ConnectionError(url)
+
+
+@query(shape("""WITH p AS (SELECT c_custkey AS place, abs(c_custkey % 181 - 90) + abs(c_custkey % 359 - 179) AS f FROM customer),
+ c AS (SELECT place, f + 100 * k AS col_id, k FROM p, (SELECT unnest([0, 2, 3, 4]) AS k)),
+ u AS (SELECT place, col_id, k, 10 * col_id + j AS unit_id, ['sedimentary', 'igneous', 'metamorphic'][CAST((col_id + j) % 3 + 1 AS INT)] AS lith_class, col_id % 50 + j AS age_top FROM c, (SELECT unnest([0, 1]) AS j))
+ SELECT place, lith_class, count(*) AS units, min(age_top) AS youngest, max(age_top) + 10 AS oldest FROM u GROUP BY 1, 2""", ["place", "lith_class"], ["units"], ["youngest", "oldest"]))
+def formations_near(spark, sf_dir):
+    """Units around every customer's place, asked twice: the second time of the cache alone (there is no network)."""
+    from ..sources.endpoints import Services
+    from ..sources.files import new_folder
+
+    places, cache = _places(spark, sf_dir).select(F.col("c_custkey").alias("place"), "lat", "lon"), new_folder(spark, "services")
+    Services(spark, cache, _rocks).formations_near(places).write.format("noop").mode("overwrite").save()
+    units = Services(spark, cache, tries=1).formations_near(places)
+    return shaped(units.groupBy("place", "lith_class").agg(F.count("*").alias("units"), F.min("age_top").alias("youngest"), F.max("age_bottom").alias("oldest")), ["place", "lith_class"], ["units"], ["youngest", "oldest"])
