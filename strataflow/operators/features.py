@@ -180,23 +180,24 @@ def physics_features(df: DataFrame, s: SeriesSchema = DEFAULT, smooth: bool = Fa
 
 
 def baseline_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
-    """The predictor family: lags, rolling statistics and rates of five signals, target trends, proxies (per series)."""
+    """Lags, rolling statistics and rates of five signals, target trends, proxies, unfilled, with geo_summary() of each series
+    (PredictorFamily has the whole family)."""
     for c in (s.gr, s.md, s.x, s.y, s.z):
         df = w.rolling(w.lags(df, c, (1, 2, 3, 5, 10), f"{c}_lag", s), c, ("mean", "std"), (5, 10, 20), f"{c}_roll", s)
         df = df.withColumn(f"{c}_roc", F.coalesce(F.col(c) - F.lag(c).over(s.ordered), F.lit(0.0)))
     df = w.lags(df, s.known, (1, 2, 5), "tvt_lag", s)
-    df = w.rolling_slope(df, s.known, 10, "tvt_trend", s)
+    df = w.rolling_slope(df, s.known, 10, "tvt_trend", s).withColumn("__dz", F.abs(F.col(s.z) - F.lag(s.z).over(s.ordered)))
     df = df.withColumns({
-        "tvt_delta": F.col(s.known) - F.col("tvt_lag1"), "tvt_delta2": F.col(s.known) - F.col("tvt_lag2"), "tvt_delta5": F.col(s.known) - F.col("tvt_lag5"),
-        "tvt_ffill": w.filled_forward(s.known, s), "tvt_bfill": w.filled_backward(s.known, s), "inclination_proxy": F.avg(F.abs(F.col(f"{s.z}_roc"))).over(s.last(5)),
-        "gr_delta1": F.col(s.gr) - F.col(f"{s.gr}_lag1"), "gr_delta2": F.col(s.gr) - F.col(f"{s.gr}_lag2"), "gr_delta5": F.col(s.gr) - F.col(f"{s.gr}_lag5"),
+        "tvt_delta": F.coalesce(F.col(s.known) - F.col("tvt_lag1"), F.lit(0.0)), "tvt_delta2": F.col("tvt_lag1") - F.col("tvt_lag2"), "tvt_delta5": F.col("tvt_lag1") - F.col("tvt_lag5"),
+        "tvt_ffill": w.filled_forward(s.known, s), "tvt_bfill": w.filled_backward(s.known, s), "inclination_proxy": F.avg("__dz").over(s.last(5)),
+        "gr_delta1": F.col(s.gr) - F.col(f"{s.gr}_lag1"), "gr_delta2": F.col(f"{s.gr}_lag1") - F.col(f"{s.gr}_lag2"), "gr_delta5": F.col(f"{s.gr}_lag1") - F.col(f"{s.gr}_lag5"),
         "gr_roll_range10": F.col(f"{s.gr}_roll_mean_10") - F.col(f"{s.gr}_roll_mean_5"), "gr_formation_stability": F.coalesce(F.stddev_samp(s.gr).over(s.last(30)), F.lit(0.0)),
         "tvt_thickness": F.max(s.known).over(s.whole) - F.min(s.known).over(s.whole),
     })
     df = w.rolling_autocorrelation(df, s.gr, 10, 20, "gr_cyclicity", s)
     df = w.event_count(df, s.gr, 20, 50, "gr_transitions", s)
     df = df.withColumn("tvt_continuity_score", F.coalesce(F.stddev_samp("tvt_delta").over(s.last(10)), F.lit(0.0)))
-    return geo_summary_joined(known_flags(md_fraction(gr_flags(facies_flag(df, s), s), s), s), s)
+    return geo_summary_joined(known_flags(md_fraction(gr_flags(facies_flag(df.drop("__dz"), s), s), s), s), s)
 
 
 def geo_summary(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
@@ -319,6 +320,13 @@ def spectral_features(df: DataFrame, width: int = 100, step: int = 10, s: Series
     return out.select(s.well, "start", F.col("p.cyclicity").alias("depo_cyclicity"), F.col("p.low").alias("depo_spectral_low"), F.col("p.high").alias("depo_spectral_high"))
 
 
+def target_constants(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
+    """well_tvt_range, well_tvt_std: of series with more than ten known values; others: 0."""
+    many = F.count(s.known).over(s.whole) > 10
+    made = {"well_tvt_range": F.max(s.known).over(s.whole) - F.min(s.known).over(s.whole), "well_tvt_std": F.stddev_samp(s.known).over(s.whole)}
+    return df.withColumns({n: F.when(many, c).otherwise(F.lit(0.0)) for n, c in made.items()})
+
+
 def fingerprint(df: DataFrame, width: int = 100, step: int = 10, s: SeriesSchema = DEFAULT) -> DataFrame:
     """fingerprint_windows() with the spectral features, marine score and environment code (1 channel, 2 marine shale,
     3 rhythmic, 4 clean sand, 0 mixed) of each bucket."""
@@ -334,4 +342,5 @@ def fingerprint(df: DataFrame, width: int = 100, step: int = 10, s: SeriesSchema
     code = F.when(F.col("depo_channel_score") > 0.5, 1.0).when(F.col("depo_marine_score") > 0.5, 2.0).when(F.col("depo_cyclicity") > 0.3, 3.0).when(F.col("depo_sand_fraction") > 0.5, 4.0).otherwise(0.0)
     df = df.withColumn("depo_environment_enc", F.when(there, code).otherwise(F.lit(0.0))).drop("__rn", "__n", "__start")
     p = lambda q: F.percentile(s.gr, F.lit(q)).over(s.whole)
+    df = target_constants(df, s) if s.known in df.columns else df
     return df.withColumns({"well_gr_mean": F.avg(s.gr).over(s.whole), "well_gr_std": F.stddev_pop(s.gr).over(s.whole), "well_gr_p10": p(0.1), "well_gr_p90": p(0.9), "well_gr_range": F.max(s.gr).over(s.whole) - F.min(s.gr).over(s.whole)})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as ft
+from ..operators import matching as mt
+from ..operators import predictor as pf
+from ..operators import relational as rel
 from ..operators import windows as w
 from ..plans.views import view, with_views
 from ..schema import DEFAULT as S
@@ -252,10 +255,48 @@ def physics_features(spark, sf_dir):
     return shaped(df, K, [], [c for c in df.columns if c not in (*K, "formation")])
 
 
-@query()
+_SIGNALS = ("gr", "md", "x", "y", "z")
+#: The predictor family, column by column: of each row (with helpers dz, dt, jump and the pairs g10, gr), then of each series.
+_PREDICTOR = {
+    **{f"{c}_lag{k}": f"lag({c}, {k}) {O}" for c in _SIGNALS for k in (1, 2, 3, 5, 10)}, **{f"{c}_roc": f"coalesce({c} - lag({c}) {O}, 0)" for c in _SIGNALS},
+    **{f"{c}_roll_mean{k}": f"avg({c}) {last(k)}" for c in _SIGNALS for k in (5, 10, 20)}, **{f"{c}_roll_std{k}": f"coalesce(stddev_samp({c}) {last(k)}, 0)" for c in _SIGNALS for k in (5, 10, 20)},
+    **{f"tvt_lag{k}": f"lag(tvt_input, {k}) {O}" for k in (1, 2, 5)}, "tvt_delta": "dt", "tvt_trend": f"CASE WHEN count(tvt_input) {last(10)} = count(*) {last(10)} THEN CASE WHEN count(*) {last(10)} = 1 THEN 0 ELSE regr_slope(tvt_input, row_seq) {last(10)} END END",
+    "horiz_dist": "sqrt(x * x + y * y)", "inclination_proxy": f"avg(dz) {last(5)}", "md_frac": f"(md - min(md) {ALL}) / coalesce(nullif(max(md) {ALL} - min(md) {ALL}, 0), 1)",
+    "tvt_ffill": f"coalesce(last_value(tvt_input IGNORE NULLS) {_SO_FAR}, 0)", "tvt_bfill": f"coalesce(first_value(tvt_input IGNORE NULLS) {_ONWARD}, 0)", "tvt_known_flag": "(tvt_input IS NOT NULL)::INT",
+    "tvt_delta2": f"lag(tvt_input) {O} - lag(tvt_input, 2) {O}", "tvt_delta5": f"lag(tvt_input) {O} - lag(tvt_input, 5) {O}", "gr_delta1": f"gr - lag(gr) {O}", "gr_delta2": f"lag(gr) {O} - lag(gr, 2) {O}", "gr_delta5": f"lag(gr) {O} - lag(gr, 5) {O}",
+    "gr_roll_range10": f"avg(gr) {last(10)} - avg(gr) {last(5)}", "gr_shale_proxy": "coalesce((gr > 100)::INT, 0)", "gr_sand_proxy": "coalesce((gr < 60)::INT, 0)", "gr_mudstone_proxy": "coalesce((gr BETWEEN 60 AND 100)::INT, 0)",
+    "gr_autocorr_lag10": f"coalesce(CASE WHEN count(a) {last(10)} = count(CASE WHEN row_seq > 10 THEN 1 END) {last(10)} AND stddev_pop(a) {last(10)} * stddev_pop(b) {last(10)} > 1e-12 THEN covar_pop(a, b) {last(10)} / (stddev_pop(a) {last(10)} * stddev_pop(b) {last(10)}) END, 0)",
+    "gr_transition_count": f"sum(jump) {last(50)}", "gr_formation_stability": f"coalesce(stddev_samp(gr) {last(30)}, 0)", "tvt_depositional_rate": "abs(dt)", "tvt_formation_thickness": f"max(tvt_input) {ALL} - min(tvt_input) {ALL}",
+    "tvt_facies_change": "(abs(dt) > 1)::INT", "tvt_continuity_score": f"coalesce(stddev_samp(dt) {last(10)}, 0)",
+}
+_GEO = {
+    **{f"well_geo_gr_{n}": f"coalesce({f}(gr) {ALL}, 0)" for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}, **{f"well_geo_{p}": f"avg({p}) {ALL}" for p in pf.PROXIES}, "well_geo_tvt_formation_thickness": "coalesce(tvt_formation_thickness, 0)",
+    "well_geo_depositional_energy": f"avg(gr_formation_stability) {ALL} / (coalesce(avg(gr) {ALL}, 0) + 1)", "well_geo_facies_complexity": f"avg(tvt_facies_change) {ALL} * avg(gr_transition_count) {ALL}",
+    "well_geo_lithology_diversity": f"avg(gr_shale_proxy + gr_sand_proxy + gr_mudstone_proxy) {ALL}",
+}
+_FAMILY = [*_SIGNALS, *_PREDICTOR, *_GEO]
+_FAMILY_SQL = f"""WITH f AS (SELECT well_id, row_seq, {", ".join(_SIGNALS)}, {", ".join(f"{e} AS {n}" for n, e in _PREDICTOR.items())} FROM (
+  SELECT *, abs(z - lag(z) {O}) AS dz, coalesce(tvt_input - lag(tvt_input) {O}, 0) AS dt, coalesce((abs(gr - lag(gr) {O}) > 20)::INT, 0) AS jump, CASE WHEN gr IS NOT NULL THEN lag(gr, 10) {O} END AS a, CASE WHEN lag(gr, 10) {O} IS NOT NULL THEN gr END AS b FROM well_log)),
+ g AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _GEO.items())} FROM f), m AS (SELECT {", ".join(f"median({c}) AS {c}" for c in _FAMILY)} FROM g)
+ SELECT well_id, row_seq, {", ".join(f"coalesce(g.{c}, m.{c}) AS {c}" for c in _FAMILY)} FROM g, m"""
+
+
+@query(oracle("SELECT * FROM (" + _FAMILY_SQL + ")", [], _FAMILY))
 def baseline_features(spark, sf_dir):
-    df = ft.baseline_features(log(spark, sf_dir))
-    return shaped(df, K, [], [c for c in df.columns if c not in (*K, "formation")])
+    """The predictor family without matches and clusters, medians exact."""
+    df = log(spark, sf_dir)
+    return shaped(pf.PredictorFamily(exact=True).fit(df).transform(df), K, [], _FAMILY)
+
+
+@query()
+def predictor_family(spark, sf_dir):
+    """The whole family: gated matches of the reference series, clusters of series, approximate medians."""
+    df = log(spark, sf_dir)
+    found = mt.window_matches(df, rel.typewell(df))
+    sampled = found.select("well_id", "i", F.struct(*pf.MATCHES).alias("m"))
+    matches = rel.nearest_fill(df, sampled, 10, "m").select("well_id", "md", "row_seq", "m.*")
+    out = pf.PredictorFamily(3).fit(df, matches).transform(df, matches)
+    return shaped(out, K, ["well_cluster_id"], [*_FAMILY, *pf.MATCHES, "tw_best_tvt_gated", "tw_weighted_tvt_gated", "tw_spread_penalty"])
 
 
 @query()
@@ -332,3 +373,11 @@ def confidence_gate(spark, sf_dir):
 def fingerprint(spark, sf_dir):
     df = ft.fingerprint(view(spark, sf_dir, "well_log_long"), s=LONG)
     return shaped(df, K, [], [c for c in df.columns if c.startswith(("depo_", "well_gr"))])
+
+
+_TC = ["well_tvt_range", "well_tvt_std"]
+
+
+@query(oracle(f"SELECT *, CASE WHEN count(tvt_input) {ALL} > 10 THEN max(tvt_input) {ALL} - min(tvt_input) {ALL} ELSE 0 END AS well_tvt_range, CASE WHEN count(tvt_input) {ALL} > 10 THEN stddev_samp(tvt_input) {ALL} ELSE 0 END AS well_tvt_std FROM well_log", [], _TC))
+def target_constants(spark, sf_dir):
+    return shaped(ft.target_constants(log(spark, sf_dir)), K, [], _TC)
