@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import configured, counted, log, main, replaced
+from jobs.common import configured, counted, main, replaced
 from strataflow.functions import rules
 from strataflow.sources.services import lithology_shares
 
@@ -45,8 +45,7 @@ def context(rows: DataFrame) -> DataFrame:
 def run(spark: SparkSession, input: str, output: str, config: str | None = None) -> DataFrame:
     """Classify the documents of `input`; write output/descriptions and output/context (returned)."""
     names = configured(spark, config, DEFAULTS)
-    docs = spark.read.parquet(input)
-    log.info("reads %s", input)
+    docs = counted(spark.read.parquet(input), input, "read")
     replaced(described(docs, names), f"{output}/descriptions", "lang")
     rows = counted(spark.read.parquet(f"{output}/descriptions"), f"{output}/descriptions", "wrote")
     replaced(context(rows), f"{output}/context", "lang")
