@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, crc_mod, discard, least_hashed, read, written
@@ -205,6 +205,14 @@ def featured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", meta:
     return rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary")
 
 
+def most(found: DataFrame, asked: tuple[int, int]) -> DataFrame:
+    """The rows of highest z of each (v, label), as many as asked for of the label, in one pass over found: every partition
+    ranks its own first (the literal limit lets Spark do so before the exchange)."""
+    best = Window.partitionBy("v", "label").orderBy(F.desc("z"), "key")
+    own = F.when(F.col("label") == 0, F.lit(asked[0])).otherwise(F.lit(asked[1]))
+    return found.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= max(asked)) & (F.col("rank") <= own)).drop("rank")
+
+
 def surest_of(pool: DataFrame, categories: int) -> Surest:
     """surest() over a table of a, b. Rows whose views are alike have one key and count once."""
 
@@ -233,14 +241,7 @@ def surest_of(pool: DataFrame, categories: int) -> Surest:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["v", "label", "key", "z", "a", "b"])
 
         found = pool.mapInArrow(run, "v int, label int, key binary, z double, a binary, b binary").dropDuplicates(["v", "label", "key"])
-        out: list[tuple[list, list]] = []
-        for v in (0, 1):
-            sides = []
-            for label in (0, 1):
-                top = found.filter((F.col("v") == v) & (F.col("label") == label)).orderBy(F.desc("z"), "key").limit(asked[label])
-                sides.append(top)
-            out.append(sides)
-        rows = out[0][0].unionByName(out[0][1]).unionByName(out[1][0]).unionByName(out[1][1]).collect()  # twice EACH at most
+        rows = most(found, asked).collect()  # twice EACH at most
         return [tuple([(bytes(r.key), bytes(r.a), bytes(r.b)) for r in rows if r.v == v and r.label == label] for label in (0, 1)) for v in (0, 1)]
 
     return surest

@@ -189,6 +189,19 @@ def test_surest_documents_equal_brute_force(spark):
     assert all(r[0] not in taken[v] for v in (0, 1) for label in (0, 1) for r in again[v][label])
 
 
+def test_nominations_take_one_pass(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id % 2 as int) v", "cast(id div 2 % 2 as int) label", "cast(cast(id as string) as binary) key", "id % 37.0D z", "cast('a' as binary) a", "cast('b' as binary) b").write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    best = quality.most(found, (3, 5))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan
+    want = []
+    for v in (0, 1):
+        for label, n in ((0, 3), (1, 5)):
+            want += sorted((r for r in found.collect() if (r.v, r.label) == (v, label)), key=lambda r: (-r.z, r.key))[:n]
+    assert {bytes(r.key) for r in best.collect()} == {bytes(r.key) for r in want} and best.count() == 16
+
+
 def test_pseudo_labels_cross_views():
     """Labels show the text view alone what to learn; the metadata view learns it from what the text view is sure of."""
     rng = np.random.default_rng(6)
