@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataflow.llm import linededup, minhash, packing, quality, toxicity
-from strataflow.llm.common import kept_rows, read, written
+from strataflow.llm.common import discard, kept_rows, read, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,10 @@ STAGES = [("quality", good), ("toxicity", harmless), ("line dedup", without_repe
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if k:  # the first stage reads the given table
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
