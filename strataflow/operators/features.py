@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,70 +113,94 @@ def sequence_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:
     return df.fillna(0, subset=[c for c in df.columns if c not in before])
 
 
-def _savgol_rows(x: np.ndarray, width: int, degree: int, derivative: int) -> np.ndarray:
-    """Local polynomial fit of each row's frame; frames at the ends are the first and last whole ones."""
-    n = len(x)
-    width = min(width, n if n % 2 else n - 1)
-    if width <= degree:
-        return np.gradient(x) if derivative and n > 1 else x.copy()
-    h = width // 2
-    powers = np.arange(-h, h + 1)[:, None] ** np.arange(degree + 1)
-    solve = np.linalg.pinv(powers)
-    out = np.empty(n)
-    frames = np.lib.stride_tricks.sliding_window_view(x, width)
-    out[h : n - h] = frames @ solve[derivative]
-    for at, frame in ((range(h), frames[0]), (range(n - h, n), frames[-1])):
-        c, base = solve @ frame, 0 if at.start == 0 else n - width
-        for i in at:
-            t = i - base - h
-            out[i] = sum(c[k] * t**k for k in range(degree + 1)) if not derivative else sum(k * c[k] * t ** (k - 1) for k in range(1, degree + 1))
-    return out
+def stencil(n: int, width: int, degree: int, derivative: bool) -> np.ndarray:
+    """Row p: the weights that give, from the values of a frame, the fitted polynomial (or its slope) at place p of it.
 
+    The frame has the width of the result: `width`, or the greatest odd number of rows in a series of n. Where that is
+    too short for the degree, the frame is the series, and the values stay (or have central differences)."""
+    w = min(width, n - 1 + n % 2)
+    if w <= degree or w < 3:
+        return np.zeros((1, 1)) if derivative and n == 1 else np.gradient(np.eye(n), axis=0) if derivative else np.eye(n)
+    t = np.arange(w)[:, None] - w // 2
+    powers = np.arange(degree + 1)
+    at = powers * t ** np.maximum(powers - 1, 0) if derivative else t**powers
+    return at @ np.linalg.pinv(t.astype(float) ** powers)
+
+
+def local_fit(frame: Column, row: Column, n: Column, width: int, degree: int, derivative: bool = False) -> Column:
+    """Savitzky-Golay smoothing (or slope) of one row; NULL where its frame has a NaN.
+
+    frame: the values of the width - 1 rows before, the row's own and those of as many rows after it (NaN for NULL); row: its
+    place in its series, from 1; n: rows of the series. Rows near an end take the first or last whole frame."""
+    tables = [stencil(k, width, degree, derivative) for k in range(1, width + 1)]
+    kind = F.least(n, F.lit(width)).cast("int") - 1
+    size = F.get(F.array(*(F.lit(len(x)) for x in tables)), kind)
+    place = row - 1 - F.greatest(F.lit(0), F.least(row - 1 - F.floor(size / 2), n - size))
+    begin = (F.least(row - 1, F.lit(width - 1)) - place + 1).cast("int")
+    weights = F.get(F.get(F.array(*(F.array(*(F.array(*map(F.lit, map(float, r))) for r in x)) for x in tables)), kind), place.cast("int"))
+    total = F.aggregate(F.zip_with(F.slice(frame, begin, size), weights, lambda v, c: v * c), F.lit(0.0), lambda t, v: t + v)
+    return F.nanvl(total, F.lit(None).cast("double"))
 
-def savgol(df: DataFrame, columns: dict[str, str], width: int = 11, degree: int = 3, s: SeriesSchema = DEFAULT) -> DataFrame:
-    """For each column and its new name: name, smoothed, and name_d1, its derivative (degree 2); NULLs count as the series'
-    median. The ends of each series need fits of their own, so numpy takes one series at a time, all columns at once."""
-    added = [T.StructField(f"{n}{e}", T.DoubleType()) for n in columns.values() for e in ("", "_d1")]
-    schema = T.StructType([*df.schema.fields, *added])
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(list(s.order))
-        made = {}
-        for column, name in columns.items():
-            x = p[column].astype(float)
-            x = x.fillna(x.median()).fillna(0.0).to_numpy()
-            made |= {name: _savgol_rows(x, width, degree, 0), f"{name}_d1": _savgol_rows(x, width, 2, 1)}
-        return p.assign(**made)
+def _frame(column: str, width: int, s: SeriesSchema) -> Column:
+    return F.collect_list(F.coalesce(F.col(column).cast("double"), F.lit(float("nan")))).over(s.ordered.rowsBetween(1 - width, width - 1))
 
-    return df.groupBy(s.well).applyInPandas(run, schema)
+
+def savgol(df: DataFrame, columns: dict[str, str], width: int = 11, degree: int = 3, s: SeriesSchema = DEFAULT) -> DataFrame:
+    """For each column and its new name: name, smoothed, and name_d1, its slope a row; NULLs count as the series' median."""
+    df = df.withColumns({f"__f{k}": F.coalesce(F.col(c).cast("double"), F.median(c).over(s.whole), F.lit(0.0)) for k, c in enumerate(columns)})
+    df = df.withColumns({f"__a{k}": _frame(f"__f{k}", width, s) for k in range(len(columns))} | {"__rn": F.row_number().over(s.ordered), "__n": F.count("*").over(s.whole)})
+    made = {}
+    for k, name in enumerate(columns.values()):
+        made |= {f"{name}{e}": local_fit(F.col(f"__a{k}"), F.col("__rn"), F.col("__n"), width, degree, bool(e)) for e in ("", "_d1")}
+    return df.withColumns(made).drop("__rn", "__n", *(f"__{x}{k}" for x in "fa" for k in range(len(columns))))
 
 
 def physics_features(df: DataFrame, s: SeriesSchema = DEFAULT, smooth: bool = False) -> DataFrame:
-    """The physics family (22 columns with smooth=True): rates along the path, curvature, dip and state changes."""
-    df = w.gap_fill_linear(df, s.gr, 5, "__g", s)
-    df = df.withColumns({"__g": F.coalesce("__g", F.lit(0.0)), "__rn": F.row_number().over(s.ordered)})
-    df = w.repaired_steps(df, s.md, "__s", s).withColumn("__md", F.sum("__s").over(s.so_far))
-    for y, name in ((s.z, "dz_dmd"), ("__g", "dgr_dmd"), ("dz_dmd", "d2z_dmd2"), ("dgr_dmd", "d2gr_dmd2"), (s.x, "dx_dmd"), (s.y, "dy_dmd")):
-        df = w.gradient(df, y, "__md", name, s)
+    """The physics family (22 columns with smooth=True): rates along the path, curvature, dip and state changes.
+
+    Depth, place and gamma are gap-filled by up to 5 rows (0 beyond), the target by up to 3; a rate that needs an unknown
+    target is 0. Series of under three rows have NULLs. All windows of a family share one exchange and one sort; each
+    step's windows stand in one projection."""
+    given = {"__md": s.md, "__x": s.x, "__y": s.y, "__z": s.z, "__g": s.gr}
+    df = w.gaps_filled(df, {n: (c, 5) for n, c in given.items() if c in df.columns} | ({"__t": (s.known, 3)} if s.known in df.columns else {}), s)
+    zero, nothing = F.lit(0.0), F.lit(None).cast("double")
+    df = df.withColumns({n: F.coalesce(n, zero) if c in df.columns else zero for n, c in given.items()} | ({} if s.known in df.columns else {"__t": zero}))
+    df = df.withColumns({"__h": F.sqrt(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")), "__rn": F.row_number().over(s.ordered), "__n": F.count("*").over(s.whole)})
+    df = w.repaired_steps(df, "__md", "__s", s).withColumn("__s", F.when(F.col("__s") > 1e-9, F.col("__s")).otherwise(1.0))
+
+    def rates(names: dict[str, str]) -> dict[str, Column]:
+        first = F.col("__rn") == 1
+        return {n: F.when(first, F.when(F.col(c).isNotNull(), zero)).otherwise((F.col(c) - F.lag(c).over(s.ordered)) / F.col("__s")) for n, c in names.items()}
+
+    df = df.withColumns(rates({"dz_dmd": "__z", "dgr_dmd": "__g", "dx_dmd": "__x", "dy_dmd": "__y", "dtvt_dmd": "__t", "__dh": "__h"}))
     dx, dy, dz = F.col("dx_dmd"), F.col("dy_dmd"), F.col("dz_dmd")
-    df = df.withColumns({"path_speed": F.sqrt(dx * dx + dy * dy + dz * dz), "__az": F.degrees(F.atan2(dy, dx))})
-    for y, name in (("__az", "azimuth_rate"), ("dx_dmd", "__d2x"), ("dy_dmd", "__d2y")):
-        df = w.gradient(df, y, "__md", name, s)
-    ax, ay, az = F.col("__d2x"), F.col("__d2y"), F.col("d2z_dmd2")
+    df = df.withColumns({"path_speed": F.sqrt(dx * dx + dy * dy + dz * dz), "__az": F.degrees(F.atan2(dy, dx)), "__ag": F.abs("dgr_dmd")})
+    df = df.withColumns(rates({"d2z_dmd2": "dz_dmd", "d2gr_dmd2": "dgr_dmd", "__d2x": "dx_dmd", "__d2y": "dy_dmd", "azimuth_rate": "__az", "d2tvt_dmd2": "dtvt_dmd"}))
+    smoothed = {"__t": (("dtvt_smooth", 2, True),)} | ({"__g": (("gr_savgol", 3, False), ("gr_savgol_d1", 3, True)), "__z": (("z_savgol", 3, False), ("z_savgol_d1", 3, True))} if smooth else {})
+    signals = {"dgr_dmd": 0.4, "d2z_dmd2": 0.3, "dtvt_dmd": 0.3}  # fixed values: weights of the state change
+    df = df.withColumns(
+        {f"{c}_frame": _frame(c, 11, s) for c in smoothed} | {f"__s_{c}": F.stddev_pop(c).over(s.whole) for c in signals} | {"__p": F.percentile("__ag", F.lit(0.75)).over(s.whole)}
+    )
+    ax, ay, az, turn = F.col("__d2x"), F.col("__d2y"), F.col("d2z_dmd2"), F.col("azimuth_rate")
     cross = F.sqrt(F.pow(dy * az - dz * ay, 2) + F.pow(dz * ax - dx * az, 2) + F.pow(dx * ay - dy * ax, 2))
+    along = F.when(F.abs("__dh") > 0.01, F.col("__dh")).otherwise(F.signum("__dh") * 0.01) + 1e-9
+    change = sum((F.abs(c) * weight / (F.col(f"__s_{c}") + 1e-9) for c, weight in signals.items()), zero)
     df = df.withColumns({
-        "azimuth_rate_abs": F.abs("azimuth_rate"), "curvature_3d": F.least(F.lit(1.0), F.greatest(F.lit(0.0), cross / (F.pow("path_speed", 3) + 1e-9))),
-        "dogleg_proxy": F.sqrt(az * az + F.col("azimuth_rate") * F.col("azimuth_rate")), "gr_z_coupling": F.col("dgr_dmd") * dz,
+        "azimuth_rate_abs": F.abs(turn), "curvature_3d": F.least(F.lit(1.0), F.greatest(zero, cross / (F.pow("path_speed", 3) + 1e-9))), "dogleg_proxy": F.sqrt(az * az + turn * turn), "gr_z_coupling": F.col("dgr_dmd") * dz,
+        "formation_dip_proxy": F.when(F.col("dtvt_dmd").isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(-10.0), F.col("dtvt_dmd") / along))), "geo_state_change": change, "transition_signal": (F.col("__ag") > F.col("__p")).cast("int"),
+        **{name: local_fit(F.col(f"{c}_frame"), F.col("__rn"), F.col("__n"), 11, degree, slope) for c, wanted in smoothed.items() for name, degree, slope in wanted},
     })
-    df = w.gap_fill_linear(df, s.known, 3, "__t", s)
-    df = df.withColumn("__t", F.coalesce("__t", F.lit(0.0)))
-    df = w.gradient(w.gradient(df, "__t", "__md", "dtvt_dmd", s), "dtvt_dmd", "__md", "d2tvt_dmd2", s)
-    df = df.withColumns({"dtvt_smooth": F.avg("dtvt_dmd").over(s.last(5)), "__h": F.sqrt(F.pow(F.col(s.x) - F.lag(s.x).over(s.ordered), 2) + F.pow(F.col(s.y) - F.lag(s.y).over(s.ordered), 2)), "__dt": F.col("__t") - F.lag("__t").over(s.ordered)})
-    dip = F.col("__dt") / F.when(F.col("__h") <= 0.01, F.lit(0.01)).otherwise(F.col("__h"))
-    df = df.withColumn("formation_dip_proxy", F.coalesce(F.least(F.lit(10.0), F.greatest(F.lit(-10.0), dip)), F.lit(0.0)))
-    df = w.state_change(df, {"dgr_dmd": 0.4, "dz_dmd": 0.3, "dtvt_dmd": 0.3}, "geo_state_change", s)
-    df = df.withColumnRenamed("geo_state_change_flag", "transition_signal").drop("__g", "__rn", "__s", "__md", "__az", "__d2x", "__d2y", "__t", "__h", "__dt")
-    return savgol(df, {s.gr: "gr_savgol", s.z: "z_savgol"}, s=s) if smooth else df
+    made = [c for c in df.columns if not c.startswith("__") and c in PHYSICS]
+    df = df.withColumns({c: F.when(F.col("__n") >= 3, F.coalesce(c, zero if c != "transition_signal" else F.lit(0))).otherwise(nothing if c != "transition_signal" else F.lit(None).cast("int")) for c in made})
+    return df.drop(*(c for c in df.columns if c.startswith("__")))
+
+
+#: Columns of physics_features(); the last four with smooth=True.
+PHYSICS = (
+    "dz_dmd", "dgr_dmd", "d2z_dmd2", "d2gr_dmd2", "dx_dmd", "dy_dmd", "path_speed", "azimuth_rate", "azimuth_rate_abs", "curvature_3d", "dogleg_proxy", "dtvt_dmd", "d2tvt_dmd2", "dtvt_smooth", "formation_dip_proxy",
+    "gr_z_coupling", "geo_state_change", "transition_signal", "gr_savgol", "z_savgol", "gr_savgol_d1", "z_savgol_d1",
+)
 
 
 def baseline_features(df: DataFrame, s: SeriesSchema = DEFAULT) -> DataFrame:

@@ -43,6 +43,22 @@ def gap_fill_linear(df: DataFrame, column: str, limit: int, name: str, s: Series
     return df.withColumn(name, filled).drop("__rn", "__v0", "__r0", "__v1", "__r1")
 
 
+def gaps_filled(df: DataFrame, wanted: dict[str, tuple[str, int]], s: SeriesSchema = DEFAULT) -> DataFrame:
+    """gap_fill_linear() of many columns at once, new name -> (column, limit): two windows in all."""
+    df = df.withColumn("__rn", F.row_number().over(s.ordered))
+    ends = {}
+    for k, (c, _) in enumerate(wanted.values()):
+        at = F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col("__rn").alias("r")))
+        ends |= {f"__b{k}": F.last(at, True).over(s.so_far), f"__e{k}": F.first(at, True).over(s.from_here)}
+    df, made = df.withColumns(ends), {}
+    for k, (name, (c, limit)) in enumerate(wanted.items()):
+        before, after = F.col(f"__b{k}"), F.col(f"__e{k}")
+        step = F.col("__rn") - before["r"]
+        line = F.when(after.isNull(), before["v"]).otherwise(before["v"] + (after["v"] - before["v"]) * step / (after["r"] - before["r"]))
+        made[name] = F.when(F.col(c).isNotNull(), F.col(c).cast("double")).when(step <= limit, line)
+    return df.withColumns(made).drop("__rn", *ends)
+
+
 def filled_forward(column: str, s: SeriesSchema = DEFAULT) -> Column:
     return F.last(column, True).over(s.so_far)
 

@@ -249,10 +249,56 @@ def sequence_features(spark, sf_dir):
     return shaped(ft.sequence_features(log(spark, sf_dir)), K, [], [*_GIVEN, *_SEQUENCE])
 
 
-@query()
+def _rate(c: str) -> str:
+    return f"CASE WHEN row_seq = 1 THEN CASE WHEN {c} IS NOT NULL THEN 0.0 END ELSE ({c} - lag({c}) {O}) / CASE WHEN step > 1e-9 THEN step ELSE 1 END END"
+
+
+def _cubic(frame: str, slope: bool, degree: int = 3) -> str:
+    """Least squares over the w values fr[b + 1..b + w] of an array at place u of their middle (h places from the ends), by moments."""
+    y = {k: f"list_sum(list_transform(range(0, w), lambda j: {frame}[b + 1 + j] * (j - h) ** {k}))" for k in range(degree + 1)}
+    t = {k: f"list_sum(list_transform(range(0, w), lambda j: ((j - h) ** {k})::DOUBLE))" for k in (0, 2, 4, 6)}
+    a2 = f"({t[0]} * {y[2]} - {t[2]} * {y[0]}) / ({t[0]} * {t[4]} - {t[2]} ** 2)"
+    if degree == 2:
+        return f"{y[1]} / {t[2]} + 2 * u * {a2}"
+    odd = f"({t[2]} * {t[6]} - {t[4]} ** 2)"
+    a1, a3 = f"({t[6]} * {y[1]} - {t[4]} * {y[3]}) / {odd}", f"({t[2]} * {y[3]} - {t[4]} * {y[1]}) / {odd}"
+    if slope:
+        return f"CASE WHEN w > 3 THEN {a1} + 2 * u * {a2} + 3 * u * u * {a3} END"
+    a0 = f"({t[4]} * {y[0]} - {t[2]} * {y[2]}) / ({t[0]} * {t[4]} - {t[2]} ** 2)"
+    return f"CASE WHEN w > 3 THEN {a0} + u * {a1} + u * u * {a2} + u * u * u * {a3} END"
+
+
+def _central(c: str) -> str:
+    return f"(lead({c}, 1, {c}) {O} - lag({c}, 1, {c}) {O}) / CASE WHEN row_seq IN (1, n) THEN 1 ELSE 2 END"
+
+
+def _smoothing(source: str) -> str:
+    """Adds to rows (with n) what _cubic() needs: width w, half h, place u and where the frame begins."""
+    return f"SELECT *, row_seq - 1 - s - h AS u, s - greatest(0, row_seq - 11) AS b FROM (SELECT *, greatest(0, least(row_seq - 1 - h, n - w)) AS s FROM (SELECT *, w // 2 AS h FROM (SELECT *, least(11, n - 1 + n % 2) AS w FROM {source})))"
+
+
+_AROUND = "OVER (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)"
+_GAPS_ALL = ", ".join(f"last_value({c} IGNORE NULLS) {_SO_FAR} AS {c}_v0, max(CASE WHEN {c} IS NOT NULL THEN row_seq END) {_SO_FAR} AS {c}_r0, first_value({c} IGNORE NULLS) {_ONWARD} AS {c}_v1, min(CASE WHEN {c} IS NOT NULL THEN row_seq END) {_ONWARD} AS {c}_r1" for c in ("gr", "md", "x", "y", "z", "tvt_input"))
+_PHYSICS = {
+    **{c: c for c in ("dz_dmd", "dgr_dmd", "d2z_dmd2", "d2gr_dmd2", "dx_dmd", "dy_dmd", "path_speed", "azimuth_rate", "dtvt_dmd", "d2tvt_dmd2")}, "azimuth_rate_abs": "abs(azimuth_rate)", "dogleg_proxy": "sqrt(d2z_dmd2 ** 2 + azimuth_rate ** 2)",
+    "curvature_3d": "least(1, greatest(0, sqrt((dy_dmd * d2z_dmd2 - dz_dmd * d2y) ** 2 + (dz_dmd * d2x - dx_dmd * d2z_dmd2) ** 2 + (dx_dmd * d2y - dy_dmd * d2x) ** 2) / (path_speed ** 3 + 1e-9)))", "gr_z_coupling": "dgr_dmd * dz_dmd",
+    "formation_dip_proxy": "CASE WHEN dtvt_dmd IS NOT NULL THEN least(10, greatest(-10, dtvt_dmd / (CASE WHEN abs(dh) > 0.01 THEN dh ELSE sign(dh) * 0.01 END + 1e-9))) END",
+    "geo_state_change": "0.4 * abs(dgr_dmd) / (sg + 1e-9) + 0.3 * abs(d2z_dmd2) / (sz + 1e-9) + 0.3 * abs(dtvt_dmd) / (st + 1e-9)", "transition_signal": "(abs(dgr_dmd) > p)::INT",
+    "dtvt_smooth": f"CASE WHEN isnan({_cubic('ft', True, 2)}) THEN 0 ELSE {_cubic('ft', True, 2)} END", **{f"{c}_savgol": f"coalesce({_cubic('f' + c[0], False)}, {c[0]})" for c in ("gr", "z")}, **{f"{c}_savgol_d1": f"coalesce({_cubic('f' + c[0], True)}, {c[0]}c)" for c in ("gr", "z")},
+}
+_RATES = {"dz_dmd": "z", "dgr_dmd": "g", "dx_dmd": "x", "dy_dmd": "y", "dtvt_dmd": "t", "dh": "h_"}
+_SECOND = {"d2z_dmd2": "dz_dmd", "d2gr_dmd2": "dgr_dmd", "d2x": "dx_dmd", "d2y": "dy_dmd", "azimuth_rate": "az", "d2tvt_dmd2": "dtvt_dmd"}
+_PHYSICS_SQL = f"""WITH f AS (SELECT well_id, row_seq, count(*) {ALL} AS n, coalesce({_filled("gr", 5)}, 0) AS g, {", ".join(f"coalesce({_filled(c, 5)}, 0) AS {c}" for c in ("md", "x", "y", "z"))}, {_filled("tvt_input", 3)} AS t FROM (SELECT *, {_GAPS_ALL} FROM well_log)),
+ e AS (SELECT *, sqrt(x * x + y * y) AS h_, coalesce(d, median(d) {ALL}, 1) AS step FROM (SELECT *, CASE WHEN md - lag(md) {O} > 0 THEN md - lag(md) {O} END AS d FROM f)),
+ r AS (SELECT *, sqrt(dx_dmd * dx_dmd + dy_dmd * dy_dmd + dz_dmd * dz_dmd) AS path_speed, degrees(atan2(dy_dmd, dx_dmd)) AS az FROM (SELECT *, {", ".join(f"{_rate(c)} AS {n}" for n, c in _RATES.items())} FROM e)),
+ q AS (SELECT *, {", ".join(f"{_rate(c)} AS {n}" for n, c in _SECOND.items())}, {_central("g")} AS gc, {_central("z")} AS zc, list(g) {_AROUND} AS fg, list(z) {_AROUND} AS fz, list(coalesce(t, 'nan'::DOUBLE)) {_AROUND} AS ft FROM r),
+ m AS ({_smoothing(f"(SELECT *, stddev_pop(dgr_dmd) {ALL} AS sg, stddev_pop(d2z_dmd2) {ALL} AS sz, stddev_pop(dtvt_dmd) {ALL} AS st, quantile_cont(abs(dgr_dmd), 0.75) {ALL} AS p FROM q)")})
+ SELECT well_id, row_seq, {", ".join(f"CASE WHEN n >= 3 THEN coalesce({v}, 0) END AS {k}" for k, v in _PHYSICS.items())} FROM m"""
+
+
+@query(oracle(_PHYSICS_SQL, [], list(_PHYSICS)))
 def physics_features(spark, sf_dir):
-    df = ft.physics_features(log(spark, sf_dir), smooth=True)
-    return shaped(df, K, [], [c for c in df.columns if c not in (*K, "formation")])
+    return shaped(ft.physics_features(log(spark, sf_dir), smooth=True), K, [], list(_PHYSICS))
 
 
 _SIGNALS = ("gr", "md", "x", "y", "z")
@@ -299,7 +345,8 @@ def predictor_family(spark, sf_dir):
     return shaped(out, K, ["well_cluster_id"], [*_FAMILY, *pf.MATCHES, "tw_best_tvt_gated", "tw_weighted_tvt_gated", "tw_spread_penalty"])
 
 
-@query()
+@query(oracle(f"""SELECT well_id, row_seq, coalesce({_cubic("fz", False)}, z) AS z_savgol, coalesce({_cubic("fz", True)}, CASE WHEN n > 1 THEN zc ELSE 0 END) AS z_savgol_d1
+ FROM ({_smoothing(f"(SELECT *, {_central('z')} AS zc, list(z) {_AROUND} AS fz FROM (SELECT *, count(*) {ALL} AS n FROM well_log))")})""", [], ["z_savgol", "z_savgol_d1"]))
 def savgol(spark, sf_dir):
     return shaped(ft.savgol(log(spark, sf_dir), {"z": "z_savgol"}), K, [], ["z_savgol", "z_savgol_d1"])
 

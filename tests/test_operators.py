@@ -64,11 +64,33 @@ def test_kalman_and_autoregression_on_a_line():
     assert np.isnan(fc.kalman(np.full(4, np.nan))[0]).all()
 
 
-def test_savgol_keeps_polynomials():
-    x = np.arange(30.0)
-    y = 1 + x - 0.2 * x**2 + 0.01 * x**3
-    assert np.allclose(ft._savgol_rows(y, 11, 3, 0), y) and np.allclose(ft._savgol_rows(2 * x, 11, 2, 1), 2)
-    assert len(ft._savgol_rows(np.array([1.0, 2.0]), 11, 3, 0)) == 2
+def test_savgol_keeps_polynomials(spark):
+    y = lambda x: 1 + x - 0.2 * x**2 + 0.01 * x**3
+    rows = [(k, i, y(i)) for k, n in enumerate((30, 12, 11, 10, 7, 5, 4, 3, 2, 1)) for i in range(n)]
+    df = spark.createDataFrame([(k, float(i), i, float(v)) for k, i, v in rows], "well_id int, md double, row_seq int, z double")
+    got = ft.savgol(df, {"z": "q"}).orderBy("well_id", "row_seq").toPandas()
+    for _, p in got.groupby("well_id"):
+        x, n = p["row_seq"].to_numpy(float), len(p)
+        assert np.allclose(p["q"], y(x))
+        want = 1 - 0.4 * x + 0.03 * x**2 if n > 4 else np.gradient(y(x)) if n > 1 else [0.0]
+        assert np.allclose(p["q_d1"], want)
+    assert np.allclose(ft.stencil(30, 11, 2, True) @ (2 * np.arange(11.0)), 2)
+
+
+def test_physics_family_gaps_and_short_series(spark):
+    rows = [(1, 10.0 * i, i, float(i), 0.0, -float(i), None if 4 <= i <= 12 else float(i % 5), float(i) if i < 9 else None) for i in range(30)] + [(2, 1.0, 1, 1.0, 1.0, 1.0, 1.0, 1.0), (2, 2.0, 2, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "well_id int, md double, row_seq int, x double, y double, z double, gr double, tvt_input double")
+    got = ft.physics_features(df, smooth=True).orderBy("well_id", "row_seq").toPandas()
+    assert set(ft.PHYSICS) <= set(got.columns) and not [c for c in got.columns if c.startswith("__")]
+    long, short = got[got.well_id == 1], got[got.well_id == 2]
+    assert short[list(ft.PHYSICS)].isna().all().all() and not long[list(ft.PHYSICS)].isna().any().any()
+    g = long.gr.interpolate(limit=5).fillna(0).to_numpy()
+    assert np.allclose(long.dgr_dmd, np.diff(g, prepend=g[0]) / 10)
+    t = long.tvt_input.interpolate(limit=3)
+    assert np.allclose(long.dtvt_dmd, (t.diff().where(t.notna()).fillna(0)) / 10)
+    complete = t.rolling(11, center=True).count() == 11
+    assert (long.dtvt_smooth[5:-5][~complete[5:-5]] == 0).all() and (long.geo_state_change[t.isna()] == 0).all()
+    assert long.tvt_input.isna().sum() == 21
 
 
 def test_welch_finds_the_period():
