@@ -12,14 +12,18 @@ from .functions import rules
 from .operators import features as ft
 from .operators import models as ml
 from .operators import relational as rel
+from .plans import pipelines
 from .sources import files, kv
 
 FEATURES = ("md", "x", "y", "z", "gr_rmean_5", "gr_rstd_5", "gr_rmean_20", "horiz_dist", "md_frac", "tvt_ffill", "dist_from_last_known")
 
 
+def _series(spark, path):
+    return files.read_series(spark, path) if path.endswith((".csv", ".parquet")) else files.read_folder(spark, path)
+
+
 def _frame(spark, path, priors):
-    df = files.read_series(spark, path) if path.endswith((".csv", ".parquet")) else files.read_folder(spark, path)
-    return ft.with_priors(ft.sequence_features(df), priors)
+    return ft.with_priors(ft.sequence_features(_series(spark, path)), priors)
 
 
 def train(spark, a):
@@ -93,15 +97,37 @@ def scrape(spark, a):
 
 
 def pipeline(spark, a):
-    """Features, gated feature groups, final errors: the staged pipeline."""
-    df = _frame(spark, a.data, {})
-    groups = {"gamma": ["gr_rmean_5", "gr_rstd_5", "gr_rmean_20"], "target": ["tvt_ffill", "dist_from_last_known"], "position": ["horiz_dist", "md_frac"]}
-    groups = dict(list(groups.items())[: a.phase])
-    t, v = rel.split_wells(df)
-    kept, log = ml.gated(t, v, ["md", "x", "y", "z"], groups, "tvt", trees=a.trees, depth=a.depth)
+    """Feature families in up to four stages, each kept if it lowers the error: sequence, physics, sedimentary, hybrid."""
+    kept, log, _ = pipelines.staged(_series(spark, a.data), a.phase, trees=a.trees, depth=a.depth)
     return {"features": kept, "log": log}
 
 
+def run(spark, a):
+    """From a place to a model: its record, the priors made of it (written to --output), training with them."""
+    record = scrape(spark, argparse.Namespace(lat=a.lat, lon=a.lon, age=a.age, output=None))
+    columns = {k: F.lit(v) for k, v in record.items() if v is not None and not isinstance(v, list)}
+    priors = spark.range(1).select(*(c.alias(k) for k, c in rules.prior_features(columns).items())).first().asDict()
+    if a.output:
+        files.write_priors(spark, priors, a.output)
+    df = ft.with_priors(ft.sequence_features(_series(spark, a.data)), priors)
+    names = [*FEATURES, *(f"prior_{k}" for k in priors)]
+    model, mae, rmse = ml.evaluated(*rel.split_wells(df), names, "tvt", trees=a.trees, depth=a.depth)
+    if a.model:
+        model.write().overwrite().save(a.model)
+    return {"record": record, "mae": mae, "rmse": rmse, "n_features": len(names), "n_priors": len(priors)}
+
+
+def anonymous(spark, a):
+    """The run for coordinates without a datum: probe, alignment, geometry, ablation (report to --output), model."""
+    reference = _series(spark, a.typewell) if a.typewell else None
+    probe, study, model, names = pipelines.anonymous_study(_series(spark, a.data), reference, trees=a.trees, depth=a.depth)
+    if a.output:
+        files.write_report(study, a.output)
+    if a.model:
+        model.write().overwrite().save(a.model)
+    return {"frame": probe, "report": [r["line"] for r in ml.report(study).orderBy("step").collect()], "n_features": len(names)}
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="strataflow")
     sub = out.add_subparsers(dest="command", required=True)
@@ -121,6 +147,8 @@ def parser() -> argparse.ArgumentParser:
     command(cache, ("--path", {"required": True}), ("--action", {"choices": ("stats", "clear"), "default": "stats"}), ("--source", {}), ("--output", {}))
     command(scrape, *((f"--{n}", {"type": float, "required": True}) for n in ("lat", "lon", "age")), ("--output", {}))
     command(pipeline, data, trees, depth, ("--phase", {"type": int, "choices": (1, 2, 3, 4), "default": 3}))
+    command(run, data, model, trees, depth, ("--output", {}), *((f"--{n}", {"type": float, "required": True}) for n in ("lat", "lon", "age")))
+    command(anonymous, data, model, trees, depth, ("--typewell", {}), ("--output", {}))
     return out
 
 

@@ -28,6 +28,23 @@ def lift(steps: DataFrame, order: str, error: str) -> DataFrame:
     return steps.withColumn("lift", (first - F.col(error)) / first * 100)
 
 
+def best(steps: DataFrame, name: str = "name", gain: str = "lift") -> DataFrame:
+    """name and gain of the step that gains most (of equal ones the least name)."""
+    least = steps.join(F.broadcast(steps.agg(F.max(gain).alias("__most"))), F.col(gain) == F.col("__most")).drop("__most")  # one row
+    return least.agg(F.min(name).alias(name), F.max(gain).alias(gain)).filter(F.col(name).isNotNull())
+
+
+def report(steps: DataFrame) -> DataFrame:
+    """step, line: a line of text for each row of ablation(), then the one that gains most (step after the last)."""
+    sign = F.when(F.col("lift") > 0, F.lit("+")).otherwise(F.lit(""))
+    text = lambda c, places: F.regexp_replace(F.format_number(c, places), ",", "")
+    line = F.concat(F.rpad("name", 35, " "), F.lit(" MAE="), text("mae", 4), F.lit("  RMSE="), text("rmse", 4), F.lit("  Lift="), sign, text("lift", 1), F.lit("%  Features="), F.col("n_features").cast("string"))
+    lines = steps.select(F.col("step").cast("long").alias("step"), line.alias("line"))
+    last = best(steps).select(F.concat(F.lit("best: "), "name", F.lit(" ("), F.when(F.col("lift") > 0, "+").otherwise(""), text("lift", 1), F.lit("%)")).alias("line"))
+    end = steps.agg((F.max("step") + 1).cast("long").alias("step"))
+    return lines.unionByName(end.crossJoin(last))  # a row each
+
+
 def regressor(features: Sequence[str], label: str, trees: int = 20, step: float = 0.1, depth: int = 5, loss: str = "absolute", validation: str | None = None, tolerance: float = 0.01) -> Pipeline:
     more = {"validationIndicatorCol": validation, "validationTol": tolerance} if validation else {}
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, stepSize=step, maxDepth=depth, lossType=loss, seed=42, **more)

@@ -29,6 +29,17 @@ def typewell(df: DataFrame, s: SeriesSchema = DEFAULT, flag: str = "is_typewell"
     return df.orderBy(s.well, *s.order).limit(rows)
 
 
+def first_rows(wells: DataFrame, df: DataFrame, columns: list[str], s: SeriesSchema = DEFAULT) -> DataFrame:
+    """Each series of wells once, with the columns of its first row in df (NULL if it has none)."""
+    first = df.groupBy(s.well).agg(F.min_by(F.struct(*columns), F.struct(*s.order)).alias("__first"))
+    return wells.select(s.well).distinct().join(first, s.well, "left").select(s.well, "__first.*")
+
+
+def group_sizes(df: DataFrame, by: str) -> DataFrame:
+    """by, n."""
+    return df.groupBy(by).agg(F.count("*").alias("n"))
+
+
 def split_wells(df: DataFrame, fraction: float = 0.2, seed: int = 42, s: SeriesSchema = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(training, validation) rows, whole series apart: the max(1, int(n * fraction)) series of least md5(seed, id)."""
     wells = df.select(s.well).distinct().withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(s.well).cast("string")).cast("binary")))

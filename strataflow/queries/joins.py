@@ -183,3 +183,42 @@ def ablation_lift(spark, sf_dir):
 
     steps = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("step"), F.avg("p_retailprice").alias("mae"))
     return shaped(lift(steps, "step", "mae"), ["name"], [], ["mae", "lift"])
+
+
+_STEPS = "SELECT *, (first_value(mae) OVER (ORDER BY step) - mae) / first_value(mae) OVER (ORDER BY step) * 100 AS lift FROM (SELECT p_brand AS name, min(p_partkey) AS step, avg(p_retailprice) AS mae, max(p_retailprice) AS rmse, count(*) AS n_features FROM part GROUP BY 1)"
+
+
+def _steps(spark, sf_dir):
+    from ..operators.models import lift
+
+    part = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name"))
+    return lift(part.agg(F.min("p_partkey").alias("step"), F.avg("p_retailprice").alias("mae"), F.max("p_retailprice").alias("rmse"), F.count("*").alias("n_features")), "step", "mae")
+
+
+@query(shape(f"SELECT name, lift FROM ({_STEPS}) ORDER BY lift DESC, name LIMIT 1", ["name"], [], ["lift"]))
+def best_step(spark, sf_dir):
+    """The step that gains most over the first."""
+    from ..operators.models import best
+
+    return shaped(best(_steps(spark, sf_dir)), ["name"], [], ["lift"])
+
+
+@query(f"""WITH s AS ({_STEPS}) SELECT CAST(step AS BIGINT) AS step, printf('%-35s MAE=%.4f  RMSE=%.4f  Lift=%s%.1f%%  Features=%d', name, mae, rmse, CASE WHEN lift > 0 THEN '+' ELSE '' END, lift, n_features) AS line FROM s
+ UNION ALL SELECT (SELECT CAST(max(step) + 1 AS BIGINT) FROM s), printf('best: %s (%s%.1f%%)', name, CASE WHEN lift > 0 THEN '+' ELSE '' END, lift) FROM (SELECT * FROM s ORDER BY lift DESC, name LIMIT 1)""")
+def ablation_report(spark, sf_dir):
+    """Steps as lines of text, and the best of them."""
+    from ..operators.models import report
+
+    return report(_steps(spark, sf_dir))
+
+
+@query(with_views(shape("SELECT c.c_custkey AS well_id, l.md, l.gr, l.z FROM customer c LEFT JOIN (SELECT * FROM well_log WHERE row_seq = 1) l ON c.c_custkey = l.well_id", ["well_id"], [], ["md", "gr", "z"]), "well_log"))
+def first_rows(spark, sf_dir):
+    """Every customer as a series, with the first row of its log."""
+    wells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("well_id"))
+    return shaped(rel.first_rows(wells, log(spark, sf_dir), ["md", "gr", "z"]), ["well_id"], [], ["md", "gr", "z"])
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def group_sizes(spark, sf_dir):
+    return rel.group_sizes(table(spark, sf_dir, "customer"), "c_mktsegment")

@@ -14,6 +14,7 @@ from ..plans.views import table, view, with_views
 from ..schema import DEFAULT as S
 from ..sources.files import new_folder
 from . import query, shape, shaped
+from .series import _GAPS, _filled
 
 K = ["well_id", "row_seq"]
 #: Formations whose columns fit a row.
@@ -145,7 +146,22 @@ def well_transfer(spark, sf_dir):
     return shaped(fc.transferred(df, fc.similar_wells(df, 2)), K, [], ["transfer", "transfer_sigma"])
 
 
-@query()
+_OWN = "OVER (PARTITION BY well_id, tvt_input IS NOT NULL ORDER BY row_seq)"
+_SLOPE = "CASE WHEN stddev_pop(CASE WHEN {rows} THEN {x} END) > {least} THEN coalesce(regr_slope(CASE WHEN {rows} THEN {y} END, CASE WHEN {rows} THEN {x} END), 0) ELSE 0 END"
+_STEP = "least(greatest(0.3 * r.raw + 0.7 * p.change, -3), 3)"
+_CONTINUED = f"""WITH RECURSIVE g AS (SELECT *, coalesce({_filled("gr", 5)}, median(gr) OVER (PARTITION BY well_id), 0) AS g FROM (SELECT *, {_GAPS} FROM well_log)),
+ c AS (SELECT *, CASE WHEN tvt_input IS NOT NULL THEN tvt_input - lag(tvt_input) {_OWN} END AS y1, CASE WHEN tvt_input IS NOT NULL THEN g - lag(g) {_OWN} END AS g1, coalesce(z - lag(z) OVER o, 0) AS dz, coalesce(g - lag(g) OVER o, 0) AS dg,
+   CASE WHEN tvt_input IS NOT NULL THEN count(tvt_input) OVER (PARTITION BY well_id ORDER BY row_seq DESC) END AS k FROM g WINDOW o AS (PARTITION BY well_id ORDER BY row_seq)),
+ t AS (SELECT well_id, {_SLOPE.format(rows="k <= 20", x="-k", y="tvt_input", least=0)} AS trend, {_SLOPE.format(rows="k <= 20", x="z", y="tvt_input", least=0.01)} AS dip, {_SLOPE.format(rows="k <= 19", x="g1", y="y1", least=0.1)} AS gamma,
+   count(tvt_input) AS many, coalesce(arg_max(tvt_input, row_seq) FILTER (tvt_input IS NOT NULL), 0) AS start, arg_min(tvt_input, row_seq) FILTER (tvt_input IS NOT NULL) AS first FROM c GROUP BY 1),
+ r AS MATERIALIZED (SELECT well_id, row_seq, tvt_input AS v, trend, many, start, 0.5 * trend + 0.3 * dip * dz + 0.2 * gamma * dg AS raw FROM c JOIN t USING (well_id)),
+ p AS (SELECT well_id, 0::BIGINT AS row_seq, coalesce(first, start) AS physics_tvt, trend AS change, 0 AS n, 1.0::DOUBLE AS physics_confidence FROM t
+  UNION ALL SELECT r.well_id, r.row_seq, CASE WHEN v IS NOT NULL THEN v WHEN many < 2 THEN start ELSE p.physics_tvt + {_STEP} END, CASE WHEN v IS NOT NULL THEN trend ELSE {_STEP} END, CASE WHEN v IS NOT NULL THEN 0 ELSE p.n + 1 END,
+   CASE WHEN v IS NOT NULL THEN 1 WHEN many < 2 THEN 0.1 ELSE exp(-0.05 * p.n) END FROM p JOIN r ON r.well_id = p.well_id AND r.row_seq = p.row_seq + 1)
+ SELECT * FROM p WHERE row_seq > 0"""
+
+
+@query(with_views(shape(_CONTINUED, K, [], ["physics_tvt", "physics_confidence"]), "well_log"))
 def physics_continuation(spark, sf_dir):
     return shaped(fc.physics(log(spark, sf_dir)), K, [], ["physics_tvt", "physics_confidence"])
 

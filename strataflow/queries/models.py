@@ -120,3 +120,22 @@ def early_stopping(spark, sf_dir):
         one = held.crossJoin(fit).withColumn("preset", F.lit(preset))  # a row each
         out = one if out is None else out.unionByName(one)
     return shaped(out, ["preset"], ["rounds", "n", "final_rounds"], ["mae", "rmse", "final_mae"])
+
+
+@query()
+def staged_pipeline(spark, sf_dir):
+    """All four stages over the whole log: what each family gains on unseen series, and whether it stays."""
+    from ..plans.pipelines import staged
+
+    kept, log, _ = staged(view(spark, sf_dir, "well_log"), trees=20, depth=5)
+    rows = [(n, float(m), bool(a), len(kept)) for n, m, a in log]  # a row a stage
+    return shaped(spark.createDataFrame(rows, "name string, mae double, accepted boolean, n_features int"), ["name", "accepted"], ["n_features"], ["mae"])
+
+
+@query()
+def anonymous_features(spark, sf_dir):
+    """Alignment and geometry of every row, for coordinates without a datum."""
+    from ..plans.pipelines import anonymous
+
+    _, df, groups = anonymous(view(spark, sf_dir, "well_log").drop("formation"))
+    return shaped(df, ["well_id", "row_seq"], [], [*groups["alignment"], *groups["geometry"]])

@@ -11,7 +11,7 @@ from ..operators import relational as rel
 from ..operators import windows as w
 from ..plans.views import view, with_views
 from ..schema import DEFAULT as S
-from ..schema import SeriesSchema
+from ..schema import SeriesSchema, aligned
 from . import query, shape, shaped
 
 K = ["well_id", "row_seq"]
@@ -428,3 +428,30 @@ _TC = ["well_tvt_range", "well_tvt_std"]
 @query(oracle(f"SELECT *, CASE WHEN count(tvt_input) {ALL} > 10 THEN max(tvt_input) {ALL} - min(tvt_input) {ALL} ELSE 0 END AS well_tvt_range, CASE WHEN count(tvt_input) {ALL} > 10 THEN stddev_samp(tvt_input) {ALL} ELSE 0 END AS well_tvt_std FROM well_log", [], _TC))
 def target_constants(spark, sf_dir):
     return shaped(ft.target_constants(log(spark, sf_dir)), K, [], _TC)
+
+
+@query(oracle("SELECT *, 0.25 AS prior_a, 3 AS prior_b FROM well_log", [], ["prior_a", "prior_b"]))
+def constant_priors(spark, sf_dir):
+    """Numeric entries of a record as constant columns; other entries none."""
+    return shaped(ft.with_priors(log(spark, sf_dir), {"a": 0.25, "b": 3, "zone": "polar", "real": True}), K, [], ["prior_a", "prior_b"])
+
+
+_TR = ["md", "gr", "z", "absent"]
+
+
+@query(oracle("SELECT well_id, row_seq, md, coalesce(gr, 0) AS gr, z, 0 AS absent FROM well_log WHERE tvt_input IS NOT NULL", [], _TR))
+def training_rows(spark, sf_dir):
+    """Labelled rows with the columns of a model, absent ones and NULLs as 0."""
+    rows = log(spark, sf_dir).filter(F.col("tvt_input").isNotNull())
+    return shaped(aligned(rows, [*K, *_TR]).fillna(0.0, subset=_TR), K, [], _TR)
+
+
+_UW = [f"u{k}" for k in range(8)]
+_UNIT = "list_transform(a, lambda v: (v - list_avg(a)) / (sqrt(list_sum(list_transform(a, lambda q: (q - list_avg(a)) ** 2))) + 1e-8))"
+
+
+@query(oracle(f"SELECT well_id, row_seq, {', '.join(f'u[{k + 1}] AS u{k}' for k in range(8))} FROM (SELECT *, {_UNIT} AS u FROM (SELECT *, list(gr) OVER ahead AS a, count(gr) OVER ahead AS m FROM well_log WINDOW ahead AS (PARTITION BY well_id ORDER BY row_seq ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE m = 8 AND (row_seq - 1) % 4 = 0)", [], _UW))
+def unit_windows(spark, sf_dir):
+    """Complete windows of eight gamma values from every fourth row on, centred and of unit length."""
+    found = w.sliding_arrays(log(spark, sf_dir), "gr", 8, 4, "a").withColumn("u", w.unit_centred(F.col("a")))
+    return shaped(found.withColumns({f"u{k}": F.get("u", F.lit(k)) for k in range(8)}), K, [], _UW)

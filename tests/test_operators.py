@@ -264,6 +264,27 @@ def test_files_and_commands(spark, log, tmp_path, capsys):
     assert files.read_priors(spark, str(tmp_path / "p")) == {"a": 1.5}
 
 
+def test_staged_and_anonymous_commands(spark, log, tmp_path, capsys):
+    data = str(tmp_path / "log.parquet")
+    log.write.parquet(data)
+    run = lambda *a: (cli.main([*a, "--data", data, "--trees", "2", "--depth", "2"]), json.loads(capsys.readouterr().out.strip().splitlines()[-1]))[1]
+    got = run("pipeline", "--phase", "4")
+    assert [name for name, _, _ in got["log"]] == ["baseline", "physics", "sedimentary", "hybrid"]
+    best = got["log"][0][1]
+    for _, mae, stays in got["log"][1:]:
+        assert stays == (best - mae > ml.GATE)
+        best = mae if stays else best
+    got = run("run", "--lat", "5", "--lon", "10", "--age", "80", "--output", str(tmp_path / "priors"))
+    assert got["n_priors"] == 14 and files.read_priors(spark, str(tmp_path / "priors"))["paleo_lat_norm"] == pytest.approx(5 / 90)
+    got = run("anonymous", "--output", str(tmp_path / "report"))
+    assert len(got["report"]) == 4 and got["report"][-1].startswith("best: ") and spark.read.csv(str(tmp_path / "report"), header=True).count() == 3
+
+
+def test_report_of_no_steps(spark):
+    none = spark.createDataFrame([], "name string, step int, mae double, rmse double, lift double, n_features int")
+    assert ml.best(none).count() == 0 and ml.report(none).count() == 0
+
+
 def test_sequences(spark, log):
     got = sq.windows(log, ["gr", "z"], 8, 4).first()
     assert len(got.inputs) == 8 and len(got.inputs[0]) == 2
