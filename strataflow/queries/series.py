@@ -12,6 +12,7 @@ from ..operators import windows as w
 from ..plans.views import view, with_views
 from ..schema import DEFAULT as S
 from ..schema import SeriesSchema, aligned
+from ..sources.files import kept_table
 from . import query, shape, shaped
 
 K = ["well_id", "row_seq"]
@@ -340,7 +341,7 @@ def predictor_family(spark, sf_dir):
     df = log(spark, sf_dir)
     found = mt.window_matches(df, rel.typewell(df))
     sampled = found.select("well_id", "i", F.struct(*pf.MATCHES).alias("m"))
-    matches = rel.nearest_fill(df, sampled, 10, "m").select("well_id", "md", "row_seq", "m.*")
+    matches = kept_table(rel.nearest_fill(df, sampled, 10, "m").select("well_id", "md", "row_seq", "m.*"), "matches")  # fit and transform read it
     out = pf.PredictorFamily(3).fit(df, matches).transform(df, matches)
     return shaped(out, K, ["well_cluster_id"], [*_FAMILY, *pf.MATCHES, "tw_best_tvt_gated", "tw_weighted_tvt_gated", "tw_spread_penalty"])
 
