@@ -23,10 +23,12 @@ CLASSES = ("sedimentary", "igneous", "metamorphic", "unknown")
 
 def described(docs: DataFrame, names: dict) -> DataFrame:
     """doc_id, lang, source, the four answers of the lithology rules and the province."""
-    text = F.col(names["text"])
-    told = rules.lithology(text, names["classes"] or rules.LITHOLOGY_CLASSES, names["types"] or rules.LITHOLOGY_TYPES, names["environments"] or rules.ENVIRONMENTS)
+    docs = docs.select(*dict.fromkeys(names[k] for k in ("id", "text", "lang", "source")))
+    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a file of one row group would be one task
+    docs = docs.withColumn("__low", F.lower(F.coalesce(F.col(names["text"]), F.lit("")))).withColumn("__text", F.trim("__low"))  # once a document, not once a word
+    told = rules.lithology(F.col("__text"), names["classes"] or rules.LITHOLOGY_CLASSES, names["types"] or rules.LITHOLOGY_TYPES, names["environments"] or rules.ENVIRONMENTS, True)
     answers = [c.alias(n) for c, n in zip(told, ("lith_class", "lith_type", "environment", "confidence"))]
-    province = rules.tectonic_province(text, None, names["provinces"] or rules.PROVINCES)
+    province = rules.tectonic_province(F.col("__low"), None, names["provinces"] or rules.PROVINCES, True)
     return docs.select(F.col(names["id"]).alias("doc_id"), F.coalesce(F.col(names["lang"]), F.lit("und")).alias("lang"), F.coalesce(F.col(names["source"]), F.lit("none")).alias("source"), *answers, province.alias("province"))
 
 

@@ -87,6 +87,13 @@ def test_rock_context(spark, tmp_path):
     assert set(rows(rock_context.run(spark, str(tmp_path / "more"), str(tmp_path / "out")), "lang", "source")) == {("en", "a"), ("und", "none"), ("fr", "c")}
 
 
+def test_texts_are_lowered_once(spark):
+    df = spark.createDataFrame([(1, "  Red SANDSTONE of a delta", "en", "a")], "doc_id long, text string, lang string, source string")
+    out = rock_context.described(df, rock_context.DEFAULTS)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert (out.first()["lith_class"], out.first()["environment"], out.first()["province"]) == ("sedimentary", "deltaic_plain", "unclassified")
+
+
 def test_settings(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"typo": 1}')
     with pytest.raises(ValueError, match="typo"):
