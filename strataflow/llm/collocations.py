@@ -44,7 +44,7 @@ ROWS, PARTS = 256, 64
 #: The number of counters is a power of two between these; they are summed in 2^BLOCKS blocks.
 LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
 #: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
-SLAB, WORDS, MET = 1 << 21, 1 << 17, 21
+SLAB, WORDS, MET = 1 << 22, 1 << 17, 21
 #: Patterns of an automaton; bytes that it scans in a task; bytes from which a task gathers candidates (a task tells each once).
 MOST_PATTERNS, BLOCK, GATHER = 50_000, 12 << 20, 128 << 20
 GUARD = b"."
@@ -158,15 +158,15 @@ def gaps(at: np.ndarray, many: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
-    """block, at, many: counters of a block (their gaps) and what to add to them."""
+    """block, size, at, many: counters of a block (their gaps) and what to add to them, `size` bytes each, packed by zstd: they
+    are most of the shuffled bytes, and the shuffle's own codec can't shorten them, since few bytes repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [], 0
+        keys, n, codec = [], 0, pa.Codec("zstd", 1)
 
         def counters() -> pa.RecordBatch:
             at = np.concatenate(keys)
             keys.clear()
-            at >>= np.uint64(64 - bits)
             at.sort()
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             many = np.minimum(np.diff(first, append=len(at)), least).astype(np.uint8)  # one that reaches the least count alone needs no more
@@ -174,12 +174,13 @@ def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
             edge = np.searchsorted(at >> (bits - BLOCKS), np.arange((1 << BLOCKS) + 1))
             blocks = [k for k in range(1 << BLOCKS) if edge[k + 1] > edge[k]]
             cells = [gaps(at[edge[k] : edge[k + 1]] & ((1 << (bits - BLOCKS)) - 1), many[edge[k] : edge[k + 1]]) for k in blocks]
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*cells))], ["block", "at", "many"])
+            packed = ([codec.compress(x, asbytes=True) for x in c] for c in zip(*cells))
+            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([len(c[0]) for c in cells], pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], ["block", "size", "at", "many"])
 
         for lang, text, weight in rows_of(batches):
             if weight > 0:  # what is counted twice only raises a bound
                 spans = Spans(lang, text)
-                keys += [x[x > 0] for x in (spans.one, spans.two, spans.three)]
+                keys += [(x[x > 0] >> np.uint64(64 - bits)).astype(np.uint32) for x in (spans.one, spans.two, spans.three)]
                 n += sum(map(len, keys[-3:]))
             if n > SLAB:
                 yield counters()
@@ -187,26 +188,27 @@ def sketched(pieces: DataFrame, bits: int, least: int) -> DataFrame:
         if n:
             yield counters()
 
-    return pieces.select("lang", "text", "weight").mapInArrow(run, "block int, at binary, many binary")
+    return pieces.select("lang", "text", "weight").mapInArrow(run, "block int, size int, at binary, many binary")
 
 
 def reached(marks: DataFrame, bits: int, least: int) -> DataFrame:
     """block, bits: for each counter of the block whether its sum reaches the least count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total = None, np.zeros(1 << (bits - BLOCKS), np.int32)
+        block, total, codec = None, np.zeros(1 << (bits - BLOCKS), np.int32), pa.Codec("zstd")
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["block", "bits"])
 
         for b in batches:
-            for k, at, many in zip(*b.columns):
+            for k, size, at, many in zip(*b.columns):
+                at, many = (np.frombuffer(codec.decompress(x.as_buffer(), size.as_py()), np.uint8) for x in (at, many))
                 if k.as_py() != block:
                     if block is not None:
                         yield done()
                     block, total[:] = k.as_py(), 0
-                place = np.cumsum(np.frombuffer(at.as_buffer(), np.uint8), dtype=np.int64)
-                total[place] += np.frombuffer(many.as_buffer(), np.uint8)  # of a step and a gap of 0 after it the gap counts
+                place = np.cumsum(at, dtype=np.int64)
+                total[place] += many  # of a step and a gap of 0 after it the gap counts
         if block is not None:
             yield done()
 

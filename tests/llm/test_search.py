@@ -139,6 +139,13 @@ def test_bounds_are_never_too_low(spark):
     assert all(n < least for (_, _, ok), n in seen.items() if not ok) and any(n >= least for n in seen.values())
 
 
+def test_sketches_travel_packed(spark):
+    """Counters of a slab take far fewer bytes than one a counter for the gap and one for the count."""
+    pieces = collocations.prepared(spark.read.parquet(f"{SF}/documents.parquet"), "text", "lang")
+    marks = collocations.sketched(pieces, 20, 10).collect()
+    assert sum(len(m["at"]) + len(m["many"]) for m in marks) < 0.8 * sum(2 * m["size"] for m in marks)
+
+
 def test_op12_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
