@@ -39,8 +39,11 @@ from pyspark.sql import functions as F
 from .common import discard, mix64, read, written
 
 CHUNK, OVERLAP = 1 << 17, 2
-#: Rows of texts that a task holds at once; parts of a language whose best phrases are ranked apart.
-ROWS, PARTS = 256, 64
+#: Rows and bytes that a task hands to Python at once, rows that it reads at once; parts of a language whose best phrases are
+#: ranked apart.
+ROWS, BYTES_AT_ONCE, ROWS_READ, PARTS = 256, 4 << 20, 32, 64
+#: The size of a page is looked at after so many rows (by default 100 at least, 13 MB of pieces).
+PAGES = {f"parquet.page.size.row.check.{k}": 8 for k in ("min", "max")}
 #: The number of counters is a power of two between these; they are summed in 2^BLOCKS blocks.
 LEAST_BITS, MOST_BITS, BLOCKS = 18, 30, 8
 #: Phrases and words of a task between two emissions; bits of the places where it remembers candidates.
@@ -72,17 +75,18 @@ def slices(words: list[bytes], size: int) -> Iterator[tuple[list[bytes], int]]:
 
 
 def prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, text (normal, a space at both ends), weight, words (their number)."""
+    """lang, text (normal, a space at both ends), weight, words (their number), size (bytes of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size: Counter[str] = Counter()
 
         def row(key: str, words: list[bytes], weight: int) -> tuple:
-            return key, b" %b " % b" ".join(words), weight, len(words) - words.count(GUARD)
+            normal = b" %b " % b" ".join(words)
+            return key, normal, weight, len(words) - words.count(GUARD), len(normal)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], ["lang", "text", "weight", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["lang", "text", "weight", "words", "size"])
 
         for b in batches:
             for key, raw in zip(b.column(0), b.column(1)):
@@ -101,7 +105,7 @@ def prepared(docs: DataFrame, text: str, lang: str) -> DataFrame:
         if held:
             yield out([row(key, words, 1) for key, words in held.items()])
 
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, text string, weight int, words long")
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, text string, weight int, words long, size long")
 
 
 class Spans:
@@ -352,14 +356,17 @@ def scanned(patterns: DataFrame, texts: DataFrame) -> DataFrame:
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
-    """Tasks started within take so many rows at once: by default a batch could be a whole partition of large rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Tasks started within read few rows at once and hand few to Python, also by bytes: by default a batch of either kind could
+    be a whole partition of large rows, held several times over outside the heap."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BYTES_AT_ONCE, "spark.sql.parquet.columnarReaderBatchSize": ROWS_READ}
+    before = {k: spark.conf.get(k) for k in new}
     try:
+        for k, v in new.items():
+            spark.conf.set(k, str(v))
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -368,8 +375,8 @@ def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "l
     if not 1 <= least <= 255:
         raise ValueError("the least count must be from 1 to 255")
     spark = docs.sparkSession
-    pieces = written(prepared(docs, text, lang), "pieces")
-    total, size = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    pieces = written(prepared(docs, text, lang), "pieces", **PAGES)
+    total, size = pieces.agg(F.coalesce(F.sum(F.col("words") * F.col("weight")), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = min(max(int(total).bit_length(), LEAST_BITS), MOST_BITS)
     with small_batches(spark):
         bitmap = bytearray(1 << (bits - 3))  # 2^(MOST_BITS - 3) bytes at most
@@ -380,7 +387,7 @@ def counted(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "l
         both = written(candidates(pieces.coalesce(tasks), sent, bits).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "candidates", True)
         words, found = both.filter("n is not null").withColumnRenamed("phrase", "word"), both.filter("n is null").drop("n")
         plan = found.groupBy("lang").agg(F.ceil(F.count("*") / MOST_PATTERNS).cast("int").alias("shards"))
-        plan = pieces.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
+        plan = pieces.groupBy("lang").agg(F.sum("size").alias("size"), F.sum(F.col("words") * F.col("weight")).alias("n")).join(plan, "lang", "left")
         plan = written(plan.withColumn("blocks", F.ceil(F.col("size") / F.col("shards") / BLOCK).cast("long")).drop("size"), "plan", True)
         held = plan.filter("shards is not null").drop("n")
         counts = scanned(with_shards(found.join(held, "lang")), dealt(pieces.join(held, "lang"), sent, bits))

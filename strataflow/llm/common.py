@@ -39,12 +39,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 FILES_A_CORE = 3
 
 
-def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, slim: bool = False, **options) -> DataFrame:
     """df as a table in the shared folder: lineage ends here and a lost executor loses nothing.
 
-    slim: its rows are short, so it goes to no more than FILES_A_CORE files a core, however many partitions it has."""
+    slim: its rows are short, so it goes to no more than FILES_A_CORE files a core, however many partitions it has. options: of
+    the writer."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
+    (df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism) if slim else df).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strataflow_path = path
     return out

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,27 @@ def test_sketches_travel_packed(spark):
     assert sum(len(m["at"]) + len(m["many"]) for m in marks) < 0.8 * sum(2 * m["size"] for m in marks)
 
 
+def test_large_rows_reach_tasks_few_at_a_time(spark):
+    """Pieces of 128 kB: a batch for Python and one of the reader hold a few MB of them, and the settings come back."""
+    docs = spark.range(0, 120, 1, 1).selectExpr("repeat(concat('w', id, ' '), 40000) AS text", "'en' AS lang")
+    pieces = collocations.written(collocations.prepared(docs, "text", "lang"), "pieces")
+    assert pieces.count() > 100
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    with collocations.small_batches(spark):
+        sizes = [r["bytes"] for r in pieces.select("text").mapInArrow(run, "bytes long").collect()]
+        assert int(spark.conf.get(keys[2])) * collocations.CHUNK <= 4 << 20
+    assert max(sizes) < 8 << 20 < sum(sizes)
+    assert [spark.conf.get(k) for k in keys] == before
+    assert pieces.filter("size != octet_length(text)").isEmpty()
+    collocations.discard(pieces)
+
+
 def test_op12_query(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
