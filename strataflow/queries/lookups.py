@@ -63,10 +63,10 @@ def tectonic_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.tectonic_province(F.col("text"), F.col("source"), _PROV).alias("province"))
 
 
-_T = "lower(trim(text))"
+_T = "lower(trim(replace(coalesce(text, ''), chr(304), 'i' || chr(775))))"  # DuckDB's lower() makes a plain i of a dotted capital
 
 
-@query(f"SELECT doc_id, {case([(has(_T, w), n) for n, w in _LITH], 'unknown')} AS lith_class, {case([(has(_T, [n]), n) for n in ('thing', 'ance', 'keit')], 'unknown')} AS lith_type, {case([(has(_T, w), n) for n, w in _ENV], 'unknown')} AS environment, CAST(0.4 AS DOUBLE) AS confidence FROM documents")
+@query(f"SELECT doc_id, {case([(has(_T, w), n) for n, w in _LITH], 'unknown')} AS lith_class, {case([(has(_T, [n]), n) for n in ('thing', 'ance', 'keit')], 'unknown')} AS lith_type, {case([(has(_T, w), n) for n, w in _ENV], 'unknown')} AS environment, CAST(CASE WHEN regexp_matches(coalesce(text, ''), '{rules.INK}') THEN 0.4 ELSE 0.0 END AS DOUBLE) AS confidence FROM documents")
 def lith_rules(spark, sf_dir):
     names = ("lith_class", "lith_type", "environment", "confidence")
     made = rules.lithology(F.col("text"), _LITH, ("thing", "ance", "keit"), _ENV)
