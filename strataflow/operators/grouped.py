@@ -1,8 +1,8 @@
 """A boosted-tree model for each cluster of series, trained in tasks: models are rows of a table, not objects on the driver.
 
-Feature values are cut into bins once for the whole table. Rows of a cluster are dealt to members of about ROWS rows, each
-trained in its own task on its histogram of bins; a cluster's model is the mean of its members (at most MEMBERS of them: a
-cluster with more rows trains them on a hash sample of ROWS rows each). Clusters with fewer than `least` training rows take
+Feature values are cut into bins once for the whole table. Every row of a cluster is dealt to one of its members, of about ROWS
+rows (beyond MEMBERS of these, of more rows, up to MOST), each trained in its own task on its histogram of bins; a cluster's
+model is the mean of its members, so that all its rows make it. Clusters with fewer than `least` training rows take
 the fallback, a model of all clusters made in the same way. Training stops early where a validation part is given."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .models import PRESETS
 
-BINS, ROWS, MEMBERS, LEAF, TASKS = 64, 100_000, 8, 5, 256
+BINS, ROWS, MEMBERS, MOST, LEAF, TASKS = 64, 100_000, 8, 400_000, 5, 256
 #: The cluster under which the fallback's members stand; rounds without a gain after which training stops.
 FALLBACK, PATIENCE = -1, 50
 
@@ -198,14 +198,14 @@ def trained(df: DataFrame, features: Sequence[str], label: str, cluster: str = "
     every = sizes.agg(F.sum("n").alias("n")).select(F.lit(FALLBACK).alias("cluster"), "n")
     sizes = sizes.filter((F.col("cluster") != FALLBACK) & (F.col("n") >= least))
     sizes = (sizes.unionByName(every) if fallback else sizes).filter("n > 0")
-    parts = F.ceil(F.col("n") / ROWS).cast("long")
+    parts = F.greatest(F.least(F.ceil(F.col("n") / ROWS), F.lit(MEMBERS)), F.ceil(F.col("n") / MOST)).cast("long")
     both = rows.filter(F.col("cluster") != FALLBACK)
     both = both.unionByName(rows.withColumn("cluster", F.lit(FALLBACK))) if fallback else both
     sizes = sizes.withColumn("parts", parts)
     known = rounds.groupBy("cluster").agg(F.ceil(F.avg("rounds")).cast("int").alias("__trees")) if rounds is not None else None
     sizes = sizes.join(known, "cluster", "left").withColumn("__trees", F.coalesce("__trees", F.lit(trees))) if rounds is not None else sizes.withColumn("__trees", F.lit(trees))
     both = both.join(F.broadcast(sizes), "cluster")  # a row a cluster
-    both = both.withColumn("member", F.pmod("__h", "parts").cast("int")).filter(F.col("member") < MEMBERS).drop("parts", "n", "__h")
+    both = both.withColumn("member", F.pmod("__h", "parts").cast("int")).drop("parts", "n", "__h")
 
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by([(c, "ascending") for c in ("__y", *features)])  # sums don't hang on the order of arrival
@@ -246,10 +246,10 @@ def predicted(df: DataFrame, models: DataFrame, features: Sequence[str], cluster
 
 
 def errors_by_cluster(rows: DataFrame, models: DataFrame, label: str, cluster: str = "cluster_id", name: str = "prediction") -> DataFrame:
-    """cluster, n, mae, rmse, model_cluster, members, rounds (of the first member): the errors on rows with a label."""
+    """cluster, n, mae, rmse, model_cluster, members, rounds (the mean of all members, rounded up): the errors on rows with a label."""
     e = F.col(label) - F.col(name)
     out = rows.filter(F.col(label).isNotNull()).groupBy(cluster, "model_cluster").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    about = models.groupBy(F.col("cluster").alias("model_cluster")).agg(F.count("*").alias("members"), F.min_by("rounds", "member").alias("rounds"))
+    about = models.groupBy(F.col("cluster").alias("model_cluster")).agg(F.count("*").alias("members"), F.ceil(F.avg("rounds")).cast("int").alias("rounds"))
     return out.join(F.broadcast(about), "model_cluster")
 
 
